@@ -1,0 +1,48 @@
+"""Connected components of a list of links, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from darkroom.llm.common import staged
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Per node the smallest node among itself and its neighbours; min() combines before the shuffle."""
+    return pairs.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+
+
+def _large_star(links: DataFrame) -> DataFrame:
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    return both.join(_nearest(both), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+
+
+def _small_star(links: DataFrame) -> DataFrame:
+    """Links run from the larger to the smaller node here."""
+    low = _nearest(links)
+    moved = links.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(low.select("a", F.col("m").alias("b")))
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for each node of links (a, b: long), root being the smallest node of its component.
+
+    Loops and repeated links do no harm; no links give no rows. Each round is written to the shared
+    folder, so a lost executor costs at most one round, and only a count and a checksum reach the driver.
+    The links between each node and the hub of its component are all that is left at the end.
+    """
+    now = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    now, mark = staged(now, "links"), None
+    for _ in range(most_rounds):
+        following = staged(_small_star(_large_star(now)).where("a <> b").distinct(), "links")
+        sign = following.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        now = following
+        if sign == mark:
+            break
+        mark = sign
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
+        now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )

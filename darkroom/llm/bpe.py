@@ -84,13 +84,17 @@ def gathered(lists: pa.ListArray, ids_of: Remembered) -> tuple[np.ndarray, np.nd
     at = coded.indices.to_numpy(zero_copy_only=False)
     found = list(map(ids_of.__getitem__, coded.dictionary.to_pylist()))
     flat = np.frombuffer(b"".join(found), dtype=ids_of.kind)
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found)) // flat.itemsize
-    offsets = np.cumsum(lengths) - lengths
-    each = lengths[at]
-    ends = np.cumsum(each)
-    ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(offsets[at] - ends + each, each)]
+    lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // flat.itemsize
+    offsets = np.cumsum(lengths, dtype=np.int64) - lengths
     bounds = lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
-    return ids, np.diff(np.concatenate([[0], ends])[bounds])
+    out, ends = [flat[:0]], [np.zeros(1, dtype=np.int64)]
+    for i in range(0, len(at), 1 << 15):  # slices that stay in the processor's cache
+        some = at[i : i + (1 << 15)]
+        each = lengths[some]
+        upto = np.cumsum(each, dtype=np.int64)
+        out.append(flat[np.arange(upto[-1]) + np.repeat(offsets[some] - upto + each, each)])
+        ends.append(upto + ends[-1][-1])
+    return np.concatenate(out), np.diff(np.concatenate(ends)[bounds])
 
 
 class Encoder:

@@ -7,6 +7,7 @@ Rules are kept with the lengths of their expansions, so that any span of ids is
 
 from __future__ import annotations
 
+import operator
 import re
 from array import array
 from collections.abc import Iterator
@@ -27,11 +28,22 @@ SYMBOLS = 1 << 16
 SPACE = byte_level(" ")
 #: Bytes of text that make a shard, about; a document is never split.
 SHARD_BYTES = 4 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 5, 3000, 12
+ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 5000, 12
 #: Every so many symbols of a shard, the number of ids before them is kept.
 STRIDE = 1024
 
+_ID = operator.attrgetter("id")
 _WHOLE = re.compile(r"\s\s")
+_LONE = re.compile(r"[.,](?<![^\W\d_].)")
+
+
+def _cut(text: str) -> str:
+    """A text with marks where a token is sure to begin: spaces, line breaks, and points and commas after letters."""
+    if _WHOLE.search(text):
+        return text
+    if not _LONE.search(text):
+        text = text.replace(".", "\0.").replace(",", "\0,")
+    return text.replace("\n", "\0\n\0").replace(" ", "\0 ")
 
 
 class ByteEncoder:
@@ -45,16 +57,19 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
+        self.tokenize = self.tokenizer.model.tokenize
         self.known = Remembered(self.ids_of, "<u2")
 
     def ids_of(self, piece: str) -> bytes:
-        if (head := without_signs(piece)) is not None:
+        if piece[-1:].isalpha():
+            word = piece[1:] if piece[0] == " " else piece
+            if word.isascii():
+                if word.isalpha():
+                    return array("H", map(_ID, self.tokenize(piece if word is piece else SPACE + word))).tobytes()
+            elif plain(word):
+                return array("H", map(_ID, self.tokenize(byte_level(piece)))).tobytes()
+        elif (head := without_signs(piece)) is not None:
             return self.known[head] + self.known[piece[len(head) :]]
-        word = piece[1:] if piece[:1] == " " else piece
-        if plain(word):
-            level = word if word.isascii() else byte_level(word)
-            tokens = self.tokenizer.model.tokenize(level if word is piece else SPACE + level)
-            return array("H", [t.id for t in tokens]).tobytes()
         return array("H", self.tokenizer.encode(piece, add_special_tokens=False).ids).tobytes()
 
     def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +83,7 @@ class ByteEncoder:
         if any("\0" in x for x in texts):  # the mark of a cut
             each = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u2") if "\0" in x else self.encode_all([x])[0] for x in texts]
             return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
-        cut = [x if _WHOLE.search(x) else x.replace("\n", "\0\n\0").replace(" ", "\0 ") for x in texts]
-        return gathered(pc.split_pattern(pa.array(cut, pa.string()), "\0"), self.known)
+        return gathered(pc.split_pattern(pa.array(map(_cut, texts), pa.string()), "\0"), self.known)
 
 
 @cache
@@ -133,11 +147,21 @@ def repair(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.nda
     return symbols.astype("<u2"), numbers, np.concatenate(rules).astype("<u2") if rules else np.zeros((0, 2), dtype="<u2")
 
 
+def _rounds(rules: np.ndarray, terminals: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rules whose symbols are terminals or rules before the range."""
+    most, start = rules.max(axis=1) if len(rules) else np.zeros(0), 0
+    while start < len(rules):
+        later = np.nonzero(most[start:] >= terminals + start)[0]
+        stop = start + int(later[0]) if len(later) else len(rules)
+        yield start, stop
+        start = stop
+
+
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
     """Ids that each symbol stands for; rules only use symbols made in earlier rounds or terminals."""
     lengths = np.ones(terminals + len(rules), dtype=np.int64)
-    for r, (a, b) in enumerate(rules.tolist()):
-        lengths[terminals + r] = lengths[a] + lengths[b]
+    for start, stop in _rounds(rules, terminals):
+        lengths[terminals + start : terminals + stop] = lengths[rules[start:stop]].sum(axis=1)
     return lengths
 
 
@@ -148,22 +172,20 @@ class Grammar:
         self.symbols = np.frombuffer(symbols, dtype="<u2")
         self.rules = np.frombuffer(rules, dtype="<u2").reshape(-1, 2)
         self.marks = np.frombuffer(marks, dtype="<u8").astype(np.int64)
-        self.lengths = np.concatenate([np.ones(terminals, dtype=np.int64), np.frombuffer(rule_lengths, dtype="<u4").astype(np.int64)])
-        self.offsets = np.cumsum(self.lengths) - self.lengths
-        flat = np.empty(int(self.lengths.sum()), dtype=np.uint32)
-        flat[:terminals] = np.arange(terminals)
-        for r, (a, b) in enumerate(self.rules.tolist()):
-            o, n = self.offsets[terminals + r], self.lengths[a]
-            flat[o : o + n] = flat[self.offsets[a] : self.offsets[a] + n]
-            flat[o + n : o + n + self.lengths[b]] = flat[self.offsets[b] : self.offsets[b] + self.lengths[b]]
-        self.flat = flat
+        self.lengths = np.concatenate([np.ones(terminals, dtype=np.int32), np.frombuffer(rule_lengths, dtype="<u4").astype(np.int32)])
+        self.offsets = (np.cumsum(self.lengths) - self.lengths).astype(np.int32)
+        self.flat = np.arange(terminals, dtype="<u4")
+        for start, stop in _rounds(self.rules, terminals):
+            self.flat = np.concatenate([self.flat, self.expand(self.rules[start:stop].ravel())])
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        lengths = self.lengths[symbols]
-        ends = np.cumsum(lengths)
-        if not len(ends):
-            return np.zeros(0, dtype="<u4")
-        return self.flat[np.arange(ends[-1]) + np.repeat(self.offsets[symbols] - ends + lengths, lengths)].astype("<u4")
+        out = [np.zeros(0, dtype="<u4")]
+        for i in range(0, len(symbols), 1 << 15):  # slices that stay in the processor's cache
+            some = symbols[i : i + (1 << 15)]
+            lengths = self.lengths[some]
+            ends = np.cumsum(lengths, dtype=np.int32)
+            out.append(self.flat[np.arange(ends[-1], dtype=np.int32) + np.repeat(self.offsets[some] - ends + lengths, lengths)])
+        return np.concatenate(out)
 
     def span(self, start: int, stop: int) -> np.ndarray:
         """Ids from start to stop of the shard; only symbols near the span are expanded."""

@@ -29,8 +29,8 @@ LEAF = 2048
 LONG, PIECE = 1 << 18, 1 << 15
 #: Bytes of text that are encoded together.
 BATCH = 4 << 20
-#: Words that an encoder remembers before it starts anew.
-REMEMBERED = 400_000
+#: Words after which an encoder begins to forget those that it has not met since it last did.
+REMEMBERED = 300_000
 
 
 #: Signs that are neither letters, digits nor an apostrophe: after a letter, the first of them begins a pre-token.
@@ -68,15 +68,22 @@ def byte_level(text: str) -> str:
 
 
 class Remembered(dict):
-    """Bytes of the ids by word; a missing one is computed."""
+    """Bytes of the ids by word; a missing one is computed. What was used since the last turn survives the next one."""
 
     def __init__(self, ids_of, kind: str):
-        self.ids_of, self.kind = ids_of, kind
+        self.ids_of, self.kind, self.older = ids_of, kind, {}
 
     def __missing__(self, word):
-        self[word] = ids = self.ids_of(word)
+        ids = self.older.get(word)
+        self[word] = ids = self.ids_of(word) if ids is None else ids
         return ids
 
+    def turn(self) -> None:
+        """To be called now and then: bounds what is remembered."""
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
 
 def gathered(lists: pa.ListArray, ids_of: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, their number by list) for lists of words; each distinct word is looked up once."""
@@ -120,8 +127,7 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of whole texts end to end, their number by text); null texts count as empty."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.known.turn()
         return gathered(pc.ascii_split_whitespace(pc.fill_null(texts, "")), self.known)
 
     def encode(self, text: str) -> bytes:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
@@ -65,6 +66,11 @@ def slices(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[tup
         yield start, len(lengths)
 
 
+def literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:
+    """A few rows from the driver as a literal of the plan; fields is a list of `name: type`."""
+    return spark.range(0, 1, 1, 1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{fields}>>")))
+
+
 def bounded_broadcast(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """Broadcasts df when its counted rows stay under a bound; else it is joined by shuffling."""
     return F.broadcast(df) if rows <= most else df

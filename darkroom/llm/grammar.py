@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.bpe import REMEMBERED, Remembered, byte_level, gathered, plain, without_signs
+from darkroom.llm.bpe import Remembered, byte_level, gathered, plain, without_signs
 from darkroom.llm.common import slices
 
 SYMBOLS = 1 << 16
@@ -78,8 +78,7 @@ class ByteEncoder:
         A space or line break between other characters always begins a token, so texts are cut there, and each
         distinct piece is encoded once. A text with white space next to white space is one piece.
         """
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
+        self.known.turn()
         if any("\0" in x for x in texts):  # the mark of a cut
             each = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u2") if "\0" in x else self.encode_all([x])[0] for x in texts]
             return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)

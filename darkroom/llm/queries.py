@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm import bpe, chat, grammar, mixing, quality, repeats, sharding, simhash, syncmers, topk
-from darkroom.llm.common import shared_dir, table
+from darkroom.llm.common import literal_rows, shared_dir, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of each conversation, read back from its formatted text and segments; see chat.formatted."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    own = literal_rows(spark, [{"conv_id": -7, "turn": i, "role": r, "text": said} for i, r in enumerate(("user", "assistant"))], "conv_id: long, turn: long, role: string, text: string")
     out = chat.formatted(turns.unionByName(own)).select("*", chat.read_turns(F.col("formatted")).alias("turns"), chat.loss_text(F.col("segments")).alias("loss_text"))
     hashed = lambda x: F.sha2(x.cast("binary"), 256)
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

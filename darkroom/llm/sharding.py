@@ -14,7 +14,7 @@ import random
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import power_of_two, shuffle_partitions
+from darkroom.llm.common import literal_rows, power_of_two, shuffle_partitions
 
 #: Groups that a shard's rows are ranked in; their sizes give each group's first slot.
 GROUPS = 16
@@ -93,7 +93,7 @@ def sharded(rows: DataFrame, keys: list[str], shards: int = 40, seed: int = 1, p
             sums.append(at)
         ends.append(sums)
     # for each partition the rank at which each shard's rows end
-    cuts = spark.createDataFrame([(p, e) for p, e in enumerate(ends)], f"{part} int, {cut} array<long>")
+    cuts = literal_rows(spark, [{part: p, cut: e} for p, e in enumerate(ends)], f"{part}: int, {cut}: array<long>")
     local = Window.partitionBy(part).orderBy(h("local"), *keys)
     ranked = dealt.withColumn(rank, F.row_number().over(local)).join(F.broadcast(cuts), part)
     shard = F.size(F.filter(cut, lambda e: e < F.col(rank))).cast("int")

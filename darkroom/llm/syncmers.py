@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import shuffle_partitions
+from darkroom.llm.common import literal_rows, shuffle_partitions
 
 #: Words of the inner substring; k is twice as many.
 S = 4
@@ -109,10 +109,8 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     firsts = keyed.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), F.xxhash64("text").alias("h"))).alias("first"))
     # at most one row for each bucket: the bucket whose last row the first of this one follows
     ring = sorted((r["bucket"], r["first"]["o"], r["first"]["h"]) for r in firsts.collect())
-    plan = [(b, o, h, ring[(i + 1) % len(ring)][0]) for i, (b, o, h) in enumerate(ring)]
-    if not plan:
-        plan = [(0, 0, 0, 0)]
-    ghosts = F.broadcast(spark.createDataFrame(plan, "bucket int, o long, h long, earlier int"))
+    plan = [{"bucket": b, "o": o, "h": h, "earlier": ring[(i + 1) % len(ring)][0]} for i, (b, o, h) in enumerate(ring)]
+    ghosts = F.broadcast(literal_rows(spark, plan, "bucket: int, o: long, h: long, earlier: int"))
     leads = (order == F.col("o")) & (F.xxhash64("text") == F.col("h"))
     copies = F.when(leads, F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("earlier").alias("b"), F.lit(1).alias("ghost"))))
     copies = copies.otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost"))))

@@ -1,9 +1,604 @@
-"""The catalogue of queries and their SQL."""
+"""The catalogue of queries over the driver's tables, each with the same result as DuckDB SQL.
 
+Assets come from sources.adapter. Floating-point results are rounded on both sides.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from darkroom.functions import analyzers, pixels, scalars
+from darkroom.operators import evaluation, fusion, pairs, queue, ranking, scheduler
+from darkroom.plans.engine import enumerate_assets, numbered
+from darkroom.sources import adapter, schema, store
+from darkroom.sources.adapter import SQL as ASSETS
+from darkroom.sources.staging import staged
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def register(f):
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _round(x, digits: int = 4):
+    return F.round(x.cast("double"), digits)
+
+
+_BACKED = "coalesce(trim(secondary_backup_label) <> '', false)"
+_JT = f"case when {_BACKED} then greatest(0.55::float - 0.08::float, 0.35::float) else 0.55::float end"
+_MT = f"case when {_BACKED} then greatest(0.60::float - 0.08::float, 0.40::float) else 0.60::float end"
+#: Fusion of the adapter's assets in DuckDB.
+_FUSED = f"""{ASSETS}, fired as (
+  select *, coalesce(is_favorite or is_hidden, false) as spared,
+   greatest(0::float, case when is_pocket_shot then 0.95::float end, case when blur_variance < 25::float then 0.55::float * 0.9::float when blur_variance < 80::float then 0.55::float * 0.6::float end,
+    case when dark_fraction > 0.55::float then 0.45::float end, case when bright_fraction > 0.45::float then 0.35::float end, case when is_screenshot then 0.40::float * 0.5::float end,
+    case when has_document or utility_keyword_hits > 0 then 0.70::float end, case when has_barcode then 0.75::float end) as j,
+   greatest(0::float, case when any_blink then 0.85::float end, case when any_looking_away then 0.70::float end) as m,
+   concat_ws(',', case when is_pocket_shot then 'PocketShot' end, case when blur_variance < 80::float then 'Blur' end, case when dark_fraction > 0.55::float then 'Underexposed' end,
+    case when bright_fraction > 0.45::float then 'Overexposed' end, case when is_screenshot then 'Screenshot' end, case when has_document or utility_keyword_hits > 0 then 'ReceiptOrDocument' end,
+    case when has_barcode then 'BarcodeOrLabel' end, case when any_blink then 'Blink' end, case when any_looking_away then 'LookingAway' end) as fired_kinds,
+   case when aesthetic_raw > 1.5::float then greatest(least((aesthetic_raw - 1::float) / 9::float, 1::float), 0::float) else greatest(least(aesthetic_raw, 1::float), 0::float) end as model,
+   greatest(least(blur_variance / 200::float, 1::float), 0::float) as sharp,
+   1::float - least(dark_fraction + bright_fraction, 1::float) * 0.5::float as exposure
+  from assets
+), summed as (
+  select *, 0.5::float + model * 0.55::float + (sharp * 0.7::float + exposure * 0.3::float) * 0.20::float + 0::float + case when face_count > 0 then face_quality * 0.10::float else 0::float end as total,
+   0::float + 0.55::float + 0.20::float + 0::float + case when face_count > 0 then 0.10::float else 0::float end as weights from fired
+), fused as (
+  select *, case when spared then 0::float else j end as junk, case when spared then 0::float else m end as miss,
+   case when spared then 1::float else greatest(least(0.35::float + ((total - 0.5::float) / greatest(weights, 1e-6::float)) * 0.65::float, 1::float), 0::float) end as aesthetic,
+   case when spared then '' else concat_ws(',', nullif(fired_kinds, ''), case when not is_locally_available then 'CloudOriginal' end,
+    case when {_BACKED} and (j >= 0.55::float - 0.08::float or m >= 0.60::float - 0.08::float or fired_kinds <> '') then 'SecondaryBackup' end) end as kinds,
+   not spared and (j >= {_JT} or m >= {_MT}) as should_queue
+  from summed
+)"""
+_HAVERSINE = (
+    "12742000.0 * asin(sqrt(least(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2), 1.0)))"
+)
+_BAND = "epoch(b.created_at) - epoch(a.created_at) <= 30 and (b.created_at > a.created_at or (b.created_at = a.created_at and a.id < b.id))"
+_LINKS = f"""links as (
+  select a.id as id_a, b.id as id_b from assets a join assets b on a.created_at <= b.created_at and b.created_at <= a.created_at + interval 30 second and {_BAND}
+  where coalesce({_HAVERSINE} <= 50.0, true) and ((a.burst_id = b.burst_id and a.burst_id <> '') or bit_count(xor(a.dhash, b.dhash)) <= 10)
+), both_ways as (select id_a as x, id_b as y from links union all select id_b, id_a from links),
+reach(x, r) as (select distinct x, x from both_ways union select e.y, q.r from reach q join both_ways e on q.x = e.x),
+members as (
+  select g.cluster_id, g.id, (row_number() over (partition by g.cluster_id order by f.created_at desc, g.id) - 1)::int as pos
+  from (select x as id, min(r) as cluster_id from reach group by x) g join assets f on f.id = g.id
+)"""
+_RANKED = """ranked as (
+  select *, row_number() over (partition by cluster_id order by rank_score desc, pos)::int as rank_no from (
+    select m.cluster_id, m.pos, f.*, f.aesthetic * 0.45::float + (case when f.face_count > 0 then f.face_quality else 0.5::float end) * 0.20::float + f.sharp * 0.20::float - f.miss * 0.35::float as rank_score
+    from members m join fused f on f.id = m.id)
+), rank_of as (select *, first_value(id) over w as best_id, first_value(rank_score) over w - rank_score as rank_delta from ranked window w as (partition by cluster_id order by rank_no))"""
+_DECISIONS = "decisions as (select 'a'||event_id as asset_id, case when event_type in ('purchase', 'click') then 'keep' when event_type = 'error' then 'toss' else 'skip' end as decision from events where event_id % 5 = 0)"
+_QUEUE = f"""queue as (
+  select f.id, f.byte_size, f.pixel_width * f.pixel_height as area, f.secondary_backup_label, r.cluster_id, r.rank_no, r.best_id, f.kinds, f.miss,
+   case when r.rank_no > 1 then greatest(f.junk, 0.6::float) else f.junk end as junk
+  from fused f left join rank_of r on r.id = f.id where not f.is_favorite and not f.is_hidden
+), reviewed as (
+  select *, case when rank_no > 1 then concat_ws(',', nullif(kinds, ''), 'LowerAesthetic,NearDuplicate') else kinds end as all_kinds from queue
+  where (junk >= {_JT} or miss >= {_MT}) and (cluster_id is null or rank_no > 1) and id not in (select asset_id from decisions where decision = 'keep')
+)"""
+_ALL = f"with recursive {_FUSED}, {_LINKS}, {_RANKED}, {_DECISIONS}, {_QUEUE}"
+
+
+def _fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fusion.fused(adapter.assets(spark, sf_dir))
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused assets as the store holds them: scores are computed once and read by what follows."""
+    return staged(_fused(spark, sf_dir), "fused")
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pairs.clusters(adapter.flat_assets(spark, sf_dir).select("id", "created_at", "latitude", "longitude", "burst_id", "dhash"))
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fused assets with cluster results written back."""
+    every = _stored(spark, sf_dir).withColumn("analyzed_at", F.lit(None).cast("timestamp"))
+    return ranking.with_clusters(every, _members(spark, sf_dir).join(every, "id"))
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("purchase", "click"), "keep").when(F.col("event_type") == "error", "toss").otherwise("skip")
+    return _table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.concat(F.lit("a"), F.col("event_id")).alias("asset_id"), kind.alias("decision"))
+
+
+def _kinds(reasons="reasons"):
+    return F.array_join(F.transform(reasons, lambda r: r["kind"]), ",")
+
+
+@_query("q01_assets_scan", f"with {ASSETS} select id, created_at, row_number() over (order by created_at desc, id)::bigint as position from assets where not is_hidden qualify position <= 500")
+def q01(spark, sf_dir):
+    return numbered(enumerate_assets(adapter.assets(spark, sf_dir), 500).select("id", "created_at"), F.desc("created_at"), "id")
+
+
+@_query("q02_byte_size_fallback", f"with {ASSETS} select id, case when byte_size > 0 then byte_size else pixel_width * pixel_height // 4 end as bytes from assets")
+def q02(spark, sf_dir):
+    return adapter.flat_assets(spark, sf_dir).select("id", scalars.byte_size(F.col("byte_size"), F.col("pixel_width"), F.col("pixel_height")).alias("bytes"))
+
+
+@_query("q03_size_sum", f"with {ASSETS}, {_DECISIONS} select sum(byte_size)::bigint as bytes, count(*)::bigint as n from assets where id in (select asset_id from decisions where decision = 'toss')")
+def q03(spark, sf_dir):
+    tossed = _decisions(spark, sf_dir).where("decision = 'toss'").select(F.col("asset_id").alias("id"))
+    return adapter.flat_assets(spark, sf_dir).join(tossed, "id", "left_semi").agg(F.sum("byte_size").alias("bytes"), F.count("*").alias("n"))
+
+
+@_query("q04_pocket_predicate", f"with {ASSETS} select id, is_pocket_shot from assets")
+def q04(spark, sf_dir):
+    flat = adapter.flat_assets(spark, sf_dir).drop("is_pocket_shot")
+    return flat.select("id", scalars.pocket_shot(scalars.f32(0), F.col("dark_fraction"), F.col("blur_variance")).alias("is_pocket_shot"))
+
+
+_GRID = """pixels as (select event_id // 64 as image, (event_id % 64) // 8 as y, event_id % 8 as x,
+ (299 * ((event_id * 37) % 256) + 587 * ((event_id * event_id) % 256) + 114 * (event_id % 16)) // 1000 as g from events)"""
+
+
+def _grid(spark, sf_dir):
+    n = F.col("event_id")
+    g = scalars.luma((n * 37) % 256, (n * n) % 256, n % 16)
+    return _table(spark, sf_dir, "events").select(F.floor(n / 64).alias("image"), F.floor((n % 64) / 8).alias("y"), (n % 8).alias("x"), g.alias("g"))
+
+
+@_query(
+    "q05_exposure_stats",
+    f"""with {_GRID}, bins as (select image, g, count(*) as c from pixels group by 1, 2)
+    select image, round(sum(g * c) / sum(c), 4) as mean, round(sum(case when g < 16 then c else 0 end) / sum(c), 4) as dark,
+    round(sum(case when g >= 240 then c else 0 end) / sum(c), 4) as bright, round(max(c) / sum(c), 4) as uniformity from bins group by image""",
+)
+def q05(spark, sf_dir):
+    s = pixels.exposure_stats(_grid(spark, sf_dir))
+    return s.select("image", *[_round(F.col(c)).alias(c) for c in ("mean", "dark", "bright", "uniformity")])
+
+
+@_query(
+    "q06_laplacian",
+    f"""with {_GRID}, around as (select image, (lag(g) over r + lead(g) over r + lag(g) over c + lead(g) over c - 4 * g)::double as v from pixels
+    window r as (partition by image, y order by x), c as (partition by image, x order by y))
+    select image, round(coalesce(avg(v * v) - avg(v) * avg(v), 0), 3) as variance from around group by image""",
+)
+def q06(spark, sf_dir):
+    return pixels.laplacian_stats(_grid(spark, sf_dir)).select("image", _round(F.col("variance"), 3).alias("variance"))
+
+
+_PAIRS = f"from assets a join assets b on a.created_at <= b.created_at and b.created_at <= a.created_at + interval 30 second and {_BAND}"
+
+
+def _band(spark, sf_dir):
+    flat = adapter.flat_assets(spark, sf_dir).select("id", "created_at", "latitude", "longitude", "burst_id", "dhash", "seq")
+    return pairs.band_pairs(flat, "created_at", 30)
+
+
+@_query("q07_hamming_pairs", f"with {ASSETS} select a.id as id_a, b.id as id_b, bit_count(xor(a.dhash, b.dhash))::int as distance {_PAIRS} where bit_count(xor(a.dhash, b.dhash)) <= 10")
+def q07(spark, sf_dir):
+    return _band(spark, sf_dir).select("id_a", "id_b", scalars.hamming(F.col("dhash_a"), F.col("dhash_b")).cast("int").alias("distance")).where("distance <= 10")
+
+
+@_query("q08_haversine_pairs", f"with {ASSETS} select a.id as id_a, b.id as id_b, round({_HAVERSINE}, 2) as metres {_PAIRS}")
+def q08(spark, sf_dir):
+    far = scalars.haversine_m(F.col("latitude_a"), F.col("longitude_a"), F.col("latitude_b"), F.col("longitude_b"))
+    return _band(spark, sf_dir).select("id_a", "id_b", F.round(far, 2).alias("metres"))
+
+
+@_query(
+    "q09_cosine_pairs",
+    f"""with {ASSETS}, k as (select count(*) as k from embeddings), v as (select a.id, a.created_at, e.embedding from assets a, k join embeddings e on e.vec_id = a.seq % k.k),
+    cosines as (select a.id as id_a, b.id as id_b, list_cosine_similarity(a.embedding::double[], b.embedding::double[]) as c
+      from v a join v b on a.created_at <= b.created_at and b.created_at <= a.created_at + interval 30 second and {_BAND})
+    select id_a, id_b, round(c, 4) as cosine from cosines where c >= 0.1""",
+)
+def q09(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    k = vectors.count()
+    flat = adapter.flat_assets(spark, sf_dir).select("id", "created_at", (F.col("seq") % k).alias("vec_id")).join(vectors, "vec_id").drop("vec_id")
+    out = pairs.band_pairs(flat, "created_at", 30).withColumn("c", scalars.cosine(F.col("vector_a"), F.col("vector_b")))
+    return out.where("c >= 0.1").select("id_a", "id_b", F.round("c", 4).alias("cosine"))
+
+
+@_query(
+    "q10_zero_shot_argmax",
+    """with prompts as (select vec_id as p, 'p'||vec_id as label, embedding::double[] as v from embeddings where vec_id < 8),
+    s as (select e.vec_id, prompts.label, (list_cosine_similarity(e.embedding::double[], v))::float as c, p from embeddings e, prompts)
+    select vec_id, label, round(c::double, 4) as similarity, c > 0.28::float as fires from s qualify row_number() over (partition by vec_id order by c desc, label desc) = 1""",
+)
+def q10(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings")
+    prompts = vectors.where("vec_id < 8").select(F.concat(F.lit("p"), F.col("vec_id")).alias("label"), F.col("embedding").alias("vector"))
+    top = analyzers.zero_shot(vectors, prompts, "vec_id").select("vec_id", analyzers.top_similarity(F.col("similarities")).alias("t"))
+    return top.select("vec_id", "t.label", _round(F.col("t.similarity")).alias("similarity"), (F.col("t.similarity") > scalars.f32(fusion.SIMILARITY)).alias("fires"))
+
+
+def _contains(text: str, keywords) -> str:
+    return " + ".join(f"contains(lower(coalesce({text}, '')), '{k}')::int" for k in keywords)
+
+
+@_query("q11_keyword_hits", f"select page_id, ({_contains('url', scalars.UTILITY_KEYWORDS)})::int as hits from pages")
+def q11(spark, sf_dir):
+    return _table(spark, sf_dir, "pages").select("page_id", scalars.keyword_hits(F.col("url")).cast("int").alias("hits"))
+
+
+_WORDS = ("the", "ou", "tion", "wifi", "sch")
+
+
+@_query(
+    "q12_text_features",
+    f"""with joined as (select conv_id as asset_id, count(*)::int as text_block_count, string_agg(coalesce(text, ''), ' ' order by turn) as j from conversations group by conv_id)
+    select asset_id, text_block_count, text_block_count >= 4 as has_dense_text, ({_contains('j', _WORDS)})::int as utility_keyword_hits from joined""",
+)
+def q12(spark, sf_dir):
+    return analyzers.text_features(_table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("asset_id"), F.col("turn").alias("seq"), "text"), _WORDS)
+
+
+@_query(
+    "q13_face_agg",
+    """with f as (select l_orderkey as asset_id, case when l_linenumber <> 3 then l_discount * 10 end as q, l_returnflag = 'R' as blink,
+      abs((l_quantity - 25) / 50) > 0.35 or abs(coalesce(case when l_linenumber <> 2 then l_tax * 10 end, 0)) > 0.45 as away, l_linestatus = 'O' and l_tax > 0.04 as mouth from lineitem)
+    select asset_id, count(*)::int as face_count, round(coalesce(sum(q), 0) / count(*), 4) as quality, count_if(blink)::int as blink_count, count_if(away)::int as looking_away_count,
+    count_if(mouth)::int as mouth_open_count, count_if(blink) > 0 as any_blink, count_if(away) > 0 as any_looking_away, count_if(mouth) > 0 as any_mouth_open from f group by asset_id""",
+)
+def q13(spark, sf_dir):
+    c = F.col
+    away = analyzers.looking_away((c("l_quantity") - 25) / 50, F.when(c("l_linenumber") != 2, c("l_tax") * 10))
+    faces = _table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("asset_id"), F.when(c("l_linenumber") != 3, c("l_discount") * 10).alias("quality"), (c("l_returnflag") == "R").alias("blink"),
+        away.alias("away"), ((c("l_linestatus") == "O") & (c("l_tax") > 0.04)).alias("mouth"),
+    )
+    return analyzers.face_features(faces).withColumn("avg_capture_quality", _round(c("avg_capture_quality"))).withColumnRenamed("avg_capture_quality", "quality")
+
+
+@_query(
+    "q14_aspect_ratio",
+    """with p as (select l_orderkey as asset_id, count(*) as n, max(l_quantity / 50) - min(l_quantity / 50) as w, max(l_tax) - min(l_tax) as h from lineitem group by 1)
+    select asset_id, case when n >= 4 and w > 1e-5 then round(h / w, 4) end as ratio, coalesce(n >= 4 and w > 1e-5 and h / w < 0.18, false) as closed, coalesce(n >= 4 and w > 1e-5 and h / w > 0.55, false) as open from p""",
+)
+def q14(spark, sf_dir):
+    points = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("asset_id")).agg(F.collect_list(F.struct((F.col("l_quantity") / 50).alias("x"), F.col("l_tax").alias("y"))).alias("p"))
+    none = F.array().cast("array<struct<x: double, y: double>>")
+    return points.select("asset_id", F.round(analyzers.aspect_ratio(F.col("p")), 4).alias("ratio"), analyzers.blink(F.col("p"), none).alias("closed"), analyzers.mouth_open(F.col("p")).alias("open"))
+
+
+@_query(
+    "q15_composition",
+    """with b as (select l_orderkey as asset_id, l_linenumber as seq, l_quantity as confidence, l_discount * 5 as x, l_tax * 5 as y, l_quantity / 100 as w, l_quantity / 80 as h from lineitem),
+    m as (select * from b qualify row_number() over (partition by asset_id order by confidence desc, seq, x desc, y desc) = 1), c as (select *, x + w / 2 as cx, y + h / 2 as cy from m),
+    d as (select *, least(sqrt(pow(1/3 - cx, 2) + pow(1/3 - cy, 2)), sqrt(pow(1/3 - cx, 2) + pow(2/3 - cy, 2)), sqrt(pow(2/3 - cx, 2) + pow(1/3 - cy, 2)), sqrt(pow(2/3 - cx, 2) + pow(2/3 - cy, 2)), sqrt(pow(0.5::double - cx, 2) + pow(0.5::double - cy, 2))) as away from c)
+    select asset_id, round(greatest(0, 1 - away * 2), 4) as placement, round(least(1.0::double, w * h * 2.5::double), 4) as coverage, x < 0.02::double or x + w > 0.98::double or y < 0.02::double or y + h > 0.98::double as cropped from d""",
+)
+def q15(spark, sf_dir):
+    c = F.col
+    boxes = _table(spark, sf_dir, "lineitem").select(
+        c("l_orderkey").alias("asset_id"), c("l_linenumber").alias("seq"), c("l_quantity").alias("confidence"), (c("l_discount") * 5).alias("x"), (c("l_tax") * 5).alias("y"), (c("l_quantity") / 100).alias("w"), (c("l_quantity") / 80).alias("h")
+    )
+    return analyzers.composition(boxes).select("asset_id", F.round("placement", 4).alias("placement"), F.round("coverage", 4).alias("coverage"), "cropped")
+
+
+@_query(
+    "q16_group_miss",
+    f"""with {ASSETS}, g as (select seq // 3 as group_id, id, any_blink or any_looking_away as miss from assets)
+    select group_id, id, miss, case when count(*) over w < 2 then miss else miss and bool_or(not miss) over w end as group_miss from g window w as (partition by group_id)""",
+)
+def q16(spark, sf_dir):
+    flat = adapter.flat_assets(spark, sf_dir)
+    return analyzers.group_miss(flat.select(F.floor(F.col("seq") / 3).alias("group_id"), "id", (F.col("any_blink") | F.col("any_looking_away")).alias("miss")))
+
+
+@_query("q17_fusion_scores", f"with {_FUSED} select id, round(junk::double, 4) as junk, round(miss::double, 4) as miss from fused")
+def q17(spark, sf_dir):
+    return _fused(spark, sf_dir).select("id", _round(F.col("junk")).alias("junk"), _round(F.col("miss")).alias("miss"))
+
+
+@_query("q18_fusion_reasons", f"with {_FUSED} select id, kinds from fused")
+def q18(spark, sf_dir):
+    return _fused(spark, sf_dir).select("id", _kinds().alias("kinds"))
+
+
+@_query("q19_aesthetic", f"with {_FUSED} select id, round(aesthetic::double, 4) as aesthetic from fused")
+def q19(spark, sf_dir):
+    return _fused(spark, sf_dir).select("id", _round(F.col("aesthetic")).alias("aesthetic"))
+
+
+@_query("q20_should_queue", f"with {_FUSED} select id, should_queue from fused")
+def q20(spark, sf_dir):
+    return _fused(spark, sf_dir).select("id", "should_queue")
+
+
+@_query("q21_band_pairs", f"with {ASSETS} select a.id as id_a, b.id as id_b, (epoch(b.created_at) - epoch(a.created_at))::bigint as gap {_PAIRS}")
+def q21(spark, sf_dir):
+    return _band(spark, sf_dir).select("id_a", "id_b", "gap")
+
+
+@_query("q22_clusters", f"with recursive {ASSETS}, {_LINKS} select cluster_id, id, pos from members")
+def q22(spark, sf_dir):
+    return _members(spark, sf_dir)
+
+
+@_query("q23_cluster_sizes", f"with recursive {ASSETS}, {_LINKS}, s as (select cluster_id, count(*) as n from members group by 1) select n::bigint as size, count(*)::bigint as clusters from s group by 1")
+def q23(spark, sf_dir):
+    return _members(spark, sf_dir).groupBy("cluster_id").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("clusters"))
+
+
+def _ranked(spark, sf_dir):
+    return ranking.ranked(_members(spark, sf_dir).join(_stored(spark, sf_dir), "id"))
+
+
+@_query("q24_best_shot", f"{_ALL} select cluster_id, id as best_id, round(rank_score::double, 4) as score from rank_of where rank_no = 1")
+def q24(spark, sf_dir):
+    return _ranked(spark, sf_dir).where("rank_no = 1").select("cluster_id", F.col("id").alias("best_id"), _round(F.col("rank_score")).alias("score"))
+
+
+@_query(
+    "q25_losers",
+    f"{_ALL} select cluster_id, first(best_id) as best_id, string_agg(id, ',' order by rank_no desc) as toss_ids from rank_of where rank_no > 1 group by cluster_id",
+)
+def q25(spark, sf_dir):
+    out = ranking.ranked_clusters(_members(spark, sf_dir).join(_stored(spark, sf_dir), "id"))
+    return out.select("cluster_id", "best_id", F.array_join("toss_ids", ",").alias("toss_ids"))
+
+
+@_query(
+    "q26_rank_reasons",
+    f"""{_ALL} select id, best_id, concat_ws(',', nullif(kinds, ''), 'LowerAesthetic,NearDuplicate') as kinds,
+    round(greatest(least(0.5::float + rank_delta * 0.4::float, 1::float), 0::float)::double, 4) as confidence, 'Near duplicate of ' || best_id as detail from rank_of where rank_no > 1""",
+)
+def q26(spark, sf_dir):
+    last = lambda n: F.element_at("reasons", n)
+    return _ranked(spark, sf_dir).where("rank_no > 1").select("id", "best_id", _kinds().alias("kinds"), _round(last(-2)["confidence"]).alias("confidence"), last(-1)["detail"].alias("detail"))
+
+
+@_query("q27_ids_below_tier", f"with {ASSETS} select id, tier_completed from assets where tier_completed < 2 and not is_favorite and not is_hidden")
+def q27(spark, sf_dir):
+    return scheduler.ids_below_tier(adapter.assets(spark, sf_dir), 2).select("id", "tier_completed")
+
+
+@_query("q28_ambiguous_band", f"with {_FUSED} select id, round(abs(junk - 0.5::float)::double, 4) as distance from fused where tier_completed = 2 and junk between 0.35::float and 0.70::float")
+def q28(spark, sf_dir):
+    return scheduler.ambiguous(_fused(spark, sf_dir)).select("id", _round(F.abs(F.col("junk") - scalars.f32(0.5))).alias("distance"))
+
+
+@_query(
+    "q29_next_batch",
+    f"""with {ASSETS}, pending as (select 1 as tier, id, row_number() over (order by created_at desc, id)::int as position from assets where tier_completed < 1 and not is_favorite and not is_hidden)
+    select tier, id, position from pending where position <= 32""",
+)
+def q29(spark, sf_dir):
+    return scheduler.next_batch(_stored(spark, sf_dir), scheduler.SchedulerState(), vlm=True)
+
+
+@_query(
+    "q30_upsert",
+    f"""with {_FUSED}, stored as (select * from fused where seq % 2 = 0), incoming as (select * from fused where seq % 3 = 0)
+    select coalesce(s.id, i.id) as id, case when i.id is not null then i.byte_size + 1 else s.byte_size end as byte_size, round(coalesce(s.junk, 0)::double, 4) as junk,
+    round(coalesce(s.aesthetic, 0.5::float)::double, 4) as aesthetic, coalesce(s.tier_completed, 0) as tier_completed from stored s full join incoming i on s.id = i.id""",
+)
+def q30(spark, sf_dir):
+    every = _stored(spark, sf_dir).drop("should_queue")
+    incoming = adapter.assets(spark, sf_dir).where("seq % 3 = 0").withColumn("byte_size", F.col("byte_size") + 1)
+    # the write that comes last is the one that counts
+    twice = incoming.withColumn("at", F.lit(2)).unionByName(incoming.withColumn("byte_size", F.lit(0).cast("bigint")).withColumn("at", F.lit(1)))
+    out = store.upserted(every.where("seq % 2 = 0"), twice, "at")
+    return out.select("id", "byte_size", _round(F.col("junk")).alias("junk"), _round(F.col("aesthetic")).alias("aesthetic"), "tier_completed")
+
+
+@_query(
+    "q31_cluster_update",
+    f"{_ALL} select f.id, r.cluster_id, coalesce(r.rank_no = 1, false) as is_best_in_cluster, round(case when r.rank_no > 1 then greatest(f.junk, 0.6::float) else f.junk end::double, 4) as junk from fused f left join rank_of r on f.id = r.id",
+)
+def q31(spark, sf_dir):
+    return _clustered(spark, sf_dir).select("id", "cluster_id", "is_best_in_cluster", _round(F.col("junk")).alias("junk"))
+
+
+def _review(spark, sf_dir, labels=None):
+    return queue.review_queue(_clustered(spark, sf_dir), _decisions(spark, sf_dir), labels=labels)
+
+
+@_query("q32_review_queue", f"{_ALL} select id, byte_size, area, round(greatest(junk, miss)::double, 4) as worst, cluster_id, all_kinds as kinds from reviewed")
+def q32(spark, sf_dir):
+    """The flagship: the queue itself; callers sort it by queue.queue_order()."""
+    return _review(spark, sf_dir).select(
+        "id", "byte_size", (F.col("pixel_width") * F.col("pixel_height")).alias("area"), _round(F.greatest("junk", "miss")).alias("worst"), "cluster_id", _kinds().alias("kinds")
+    )
+
+
+@_query(
+    "q32b_queue_head",
+    f"{_ALL} select id, row_number() over (order by byte_size desc, area desc, greatest(junk, miss) desc, id)::bigint as position from reviewed qualify position <= 100",
+)
+def q32b(spark, sf_dir):
+    order = queue.queue_order()
+    return numbered(_review(spark, sf_dir).orderBy(*order).limit(100), *order).select("id", "position")
+
+
+@_query("q33_category_filter", f"{_ALL} select id, all_kinds as kinds from reviewed where list_has_any(string_split(all_kinds, ','), ['NearDuplicate', 'LowerAesthetic', 'Blink', 'LookingAway', 'MouthOpen'])")
+def q33(spark, sf_dir):
+    return _review(spark, sf_dir, schema.labels_for(["duplicates", "socialMisses"])).select("id", _kinds().alias("kinds"))
+
+
+@_query(
+    "q34_reason_chips",
+    f"""{_ALL} select id, case when rank_no > 1 then best_id end as related_id, case when rank_no > 1 then '2 similar photos — tap for best' end as title,
+    len(list_filter(string_split(all_kinds, ','), lambda k: k <> '' and k not in ('NearDuplicate', 'LowerAesthetic')))::int + (rank_no > 1 and rank_no is not null)::int as chips from reviewed""",
+)
+def q34(spark, sf_dir):
+    chips = _review(spark, sf_dir).select("id", queue.reason_chips(F.col("reasons"), F.lit(1)).alias("c"))
+    first = F.get("c", F.lit(0))
+    return chips.select("id", F.when(first["kind"] == "Similar photos", first["related_id"]).alias("related_id"), F.when(first["kind"] == "Similar photos", first["title"]).alias("title"), F.size("c").alias("chips"))
+
+
+_LOG = """log as (select user_id as queue_id, event_id, 'a'||event_id as asset_id, row_number() over (partition by user_id order by ts, event_id) as seq,
+ case when event_type in ('purchase', 'click') then 'keep' when event_type = 'error' then 'toss' when event_type = 'view' then 'skip' else 'undo' end as decision from events),
+made as (select *, sum((decision <> 'undo')::int) over (partition by queue_id order by seq) as n from log), taken as (select * from made where decision = 'undo' or n <= 40),
+s as (select *, sum(case when decision = 'undo' then -1 else 1 end) over (partition by queue_id order by seq) as s from taken),
+h as (select *, s - least(0, min(s) over (partition by queue_id order by seq)) as h from s),
+low as (select *, min(h) over (partition by queue_id order by seq rows between current row and unbounded following) as low from h),
+folded as (select queue_id, seq, asset_id, decision from low where decision <> 'undo' and low >= h)"""
+
+
+def _log(spark, sf_dir):
+    e = F.col("event_type")
+    kind = F.when(e.isin("purchase", "click"), "keep").when(e == "error", "toss").when(e == "view", "skip").otherwise("undo")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return _table(spark, sf_dir, "events").select(F.col("user_id").alias("queue_id"), "event_id", F.concat(F.lit("a"), F.col("event_id")).alias("asset_id"), seq.cast("long").alias("seq"), kind.alias("decision"))
+
+
+def _folded(spark, sf_dir):
+    log = _log(spark, sf_dir)
+    return queue.folded(queue.accepted(log, log.select("queue_id").distinct().withColumn("length", F.lit(40))))
+
+
+@_query("q35_undo_fold", f"with {_LOG} select queue_id, seq, asset_id, decision from folded")
+def q35(spark, sf_dir):
+    return _folded(spark, sf_dir).select("queue_id", "seq", "asset_id", "decision")
+
+
+@_query(
+    "q36_keep_clear",
+    "with d as (select 'a'||(event_id % 500) as asset_id, case when event_id % 3 = 0 then 'keep' when event_id % 3 = 1 then 'toss' else 'skip' end as decision from events), u as (select distinct 'a'||(event_id % 500) as asset_id from events where event_type = 'signup' and event_id % 7 = 0) select asset_id, decision, count(*)::bigint as n from d where not (decision = 'keep' and asset_id in (select asset_id from u)) group by 1, 2",
+)
+def q36(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    asset = F.concat(F.lit("a"), F.col("event_id") % 500).alias("asset_id")
+    d = e.select(asset, F.when(F.col("event_id") % 3 == 0, "keep").when(F.col("event_id") % 3 == 1, "toss").otherwise("skip").alias("decision"))
+    out = queue.without_keeps(d, e.where("event_type = 'signup' and event_id % 7 = 0").select(asset))
+    return out.groupBy("asset_id", "decision").agg(F.count("*").alias("n"))
+
+
+@_query("q37_staged_bytes", f"with {ASSETS}, {_LOG} select queue_id, count(*)::bigint as staged, sum(byte_size)::bigint as bytes from folded f join assets a on a.id = f.asset_id where decision = 'toss' group by queue_id")
+def q37(spark, sf_dir):
+    sizes = adapter.flat_assets(spark, sf_dir).select(F.col("id").alias("asset_id"), "byte_size")
+    return _folded(spark, sf_dir).where("decision = 'toss'").join(sizes, "asset_id").groupBy("queue_id").agg(F.count("*").alias("staged"), F.sum("byte_size").alias("bytes"))
+
+
+@_query(
+    "q38_device_fold",
+    """with l as (select user_id as device_id, event_id, row_number() over (partition by user_id order by ts, event_id) as seq, event_id % 4 as t from events),
+    g as (select *, count_if(t <> 1) over (partition by device_id order by seq) as block from l), f as (select *, first_value(t) over (partition by device_id, block order by seq) as head from g)
+    select device_id, event_id, case when t in (2, 3) then 4 when t = 0 then 32 when head in (2, 3) then 4 else 16 end::int as batch_size, t in (2, 3) as paused from f""",
+)
+def q38(spark, sf_dir):
+    names = F.get(F.array(*map(F.lit, ("nominal", "fair", "serious", "critical"))), (F.col("event_id") % 4).cast("int"))
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    log = _table(spark, sf_dir, "events").select(F.col("user_id").alias("device_id"), "event_id", seq.alias("seq"), names.alias("thermal"))
+    return scheduler.device_fold(log).select("device_id", "event_id", "batch_size", "paused")
+
+
+@_query(
+    "q39_eval_prf",
+    """with g as (select distinct doc_id, c from (select doc_id, unnest(list_filter([case when quality = 1 then 'good' else 'bad' end, case when toxic = 1 then 'toxic' end], lambda x: x is not null)) as c from labels)),
+    p as (select distinct doc_id, c from (select doc_id, unnest(list_filter([case when n_chars > 800 then 'good' else 'bad' end, case when contains(text, 'moron') then 'toxic' end, case when lang = 'en' then 'english' end], lambda x: x is not null)) as c from documents)),
+    b as (select coalesce(g.c, p.c) as category, coalesce(g.doc_id, p.doc_id) as doc_id, g.c as g, p.c as p from g full join p on g.doc_id = p.doc_id and g.c = p.c),
+    n as (select category, count_if(g is not null and p is not null) as tp, count_if(g is null and doc_id in (select doc_id from labels)) as fp, count_if(p is null) as fn from b group by 1),
+    r as (select *, case when tp + fp > 0 then tp / (tp + fp) else 0 end as pr, case when tp + fn > 0 then tp / (tp + fn) else 0 end as re from n)
+    select category, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(pr::double, 4) as precision, round(re::double, 4) as recall, round(case when pr + re > 0 then 2 * pr * re / (pr + re) else 0 end::double, 4) as f1, (tp + fn)::bigint as support from r""",
+)
+def q39(spark, sf_dir):
+    c = F.col
+    some = lambda *xs: F.filter(F.array(*xs), lambda x: x.isNotNull())
+    gold = _table(spark, sf_dir, "labels").select(c("doc_id").alias("file"), some(F.when(c("quality") == 1, "good").otherwise("bad"), F.when(c("toxic") == 1, "toxic")).alias("labels"))
+    said = _table(spark, sf_dir, "documents").select(
+        c("doc_id").alias("file"), some(F.when(c("n_chars") > 800, "good").otherwise("bad"), F.when(F.contains("text", F.lit("moron")), "toxic"), F.when(c("lang") == "en", "english")).alias("labels")
+    )
+    out = evaluation.score_report(gold, said)
+    return out.select("category", "tp", "fp", "fn", *[F.round(k, 4).alias(k) for k in ("precision", "recall", "f1")], "support")
+
+
+@_query("q40_json_roundtrip", f"with {ASSETS} select id, dhash, round(blur_variance::double, 4) as blur, face_count, true as same, true as no_composition from assets")
+def q40(spark, sf_dir):
+    df = adapter.assets(spark, sf_dir)
+    full = F.struct(
+        *[F.col(f"features.{p}").alias(p) for p in ("pixel", "face", "text", "composition")],
+        F.struct(F.array(scalars.f32(0.5), scalars.f32(0.25)).alias("embedding"), F.col("features.embedding.aesthetic_raw").alias("aesthetic_raw"), F.array(F.struct(F.lit("receipt").alias("label"), scalars.f32(0.3).alias("similarity"))).alias("junk_similarities")).alias("embedding"),
+        F.col("features.vlm").alias("vlm"),
+    )
+    df = df.withColumn("features", full)
+    back = df.select("id", "features", schema.features_from_json(schema.features_to_json(F.col("features"))).alias("b"))
+    return back.select("id", F.col("b.pixel.dhash").alias("dhash"), _round(F.col("b.pixel.blur_variance")).alias("blur"), F.col("b.face.face_count").alias("face_count"), F.col("b").eqNullSafe(F.col("features")).alias("same"), F.col("b.composition").isNull().alias("no_composition"))
+
+
+@_query(
+    "q41_recluster_topn",
+    f"with {ASSETS}, newest as (select * from assets where not is_favorite and not is_hidden order by created_at desc, id limit 2000) select id, tier_completed from newest where tier_completed >= 1",
+)
+def q41(spark, sf_dir):
+    return ranking.recent(adapter.assets(spark, sf_dir), 2000).select("id", "tier_completed")
+
+
+@_query(
+    "q42_stub_embedding",
+    f"""with {ASSETS} select id, round(((pixel_width % 251)::float / 251::float)::double, 4) as e0, round(((pixel_height % 251)::float / 251::float)::double, 4) as e1,
+    round((((pixel_width * pixel_height) % 997)::float / 997::float)::double, 4) as e2, 1.0::double as e3, 64::int as n from assets""",
+)
+def q42(spark, sf_dir):
+    e = adapter.flat_assets(spark, sf_dir).select("id", analyzers.stub_embedding(F.col("pixel_width"), F.col("pixel_height")).alias("e"))
+    return e.select("id", *[_round(F.get("e", F.lit(k))).alias(f"e{k}") for k in range(4)], F.size("e").alias("n"))
+
+
+@_query(
+    "q43_sessions",
+    f"""with {ASSETS}, n as (select user_id, id, created_at, coalesce(epoch(created_at) - epoch(lag(created_at) over w) > 3600, true)::int as new from assets window w as (partition by user_id order by created_at)),
+    s as (select user_id, sum(new) over (partition by user_id order by created_at rows unbounded preceding) as session from n) select user_id, session::bigint as session, count(*)::bigint as n from s group by 1, 2""",
+)
+def q43(spark, sf_dir):
+    flat = adapter.flat_assets(spark, sf_dir).select("user_id", "id", "created_at")
+    return pairs.sessions(flat, "created_at", 3600, "user_id").groupBy("user_id", "session").agg(F.count("*").alias("n"))
+
+
+@_query("q44_asset_count", "select count(*)::bigint as n from events")
+def q44(spark, sf_dir):
+    return adapter.flat_assets(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+_LABELS_SQL = " union all ".join(f"select '{k}' as kind, '{v}' as label" for k, v in schema.REASON_LABELS.items())
+
+
+@_query("q45_reason_labels", f"with {_FUSED}, l as ({_LABELS_SQL}), k as (select unnest(string_split(kinds, ',')) as kind from fused) select kind, label, count(*)::bigint as n from k join l using (kind) group by 1, 2")
+def q45(spark, sf_dir):
+    kinds = _fused(spark, sf_dir).select(F.explode("reasons").alias("r")).groupBy(F.col("r.kind").alias("kind")).agg(F.count("*").alias("n"))
+    return kinds.select("kind", schema.label_of(F.col("kind")).alias("label"), "n")
+
+
+@_query("q46_backup_label", "select event_id, nullif(concat_ws(' + ', case when event_id % 2 = 0 then 'Google Photos' end, case when event_id % 3 = 0 then 'another backup' end), '') as label from events")
+def q46(spark, sf_dir):
+    n = F.col("event_id")
+    return _table(spark, sf_dir, "events").select("event_id", scalars.backup_label(F.when(n % 2 == 0, "Google Photos"), F.when(n % 3 == 0, "another backup")).alias("label"))
+
+
+@_query("q47_prune", f"with {ASSETS} select id, (is_hidden or (tier_completed < 2 and seq % 11 = 0)) as is_hidden, case when tier_completed < 2 and seq % 11 = 0 then 2 else tier_completed end as tier_completed from assets")
+def q47(spark, sf_dir):
+    flat = adapter.flat_assets(spark, sf_dir)
+    live = flat.where("seq % 11 <> 0").select("id")
+    gone = flat.where("tier_completed < 2").join(live, "id", "left_anti").select("id", F.lit(True).alias("gone"))
+    lost = F.coalesce("gone", F.lit(False))
+    return flat.join(gone, "id", "left").select("id", (F.col("is_hidden") | lost).alias("is_hidden"), F.when(lost, 2).otherwise(F.col("tier_completed")).alias("tier_completed"))
+
+
+@_query("q48_pixel_signals")
+def q48(spark, sf_dir):
+    """Signals of an image of one colour for each event type, by the Arrow UDF."""
+    e = _table(spark, sf_dir, "events").select(F.col("event_id"), F.lpad(F.hex(F.col("event_id") % 256), 2, "0").alias("h")).where("event_id % 100 = 0")
+    image = F.unhex(F.repeat(F.concat("h", "h", "h", F.lit("FF")), 64))
+    return e.select("event_id", pixels.signals(F.lit(8), F.lit(8), image).alias("s")).select("event_id", "s.*")

@@ -82,6 +82,10 @@ def _raw(kind: T.DataType, field: str = "") -> T.DataType:
     return kind
 
 
+def _unsigned(x: int) -> Column:
+    return F.lit(str(x)).cast("decimal(20,0)")
+
+
 def features_from_json(text: Column) -> Column:
     """Features from their JSON text; null, malformed or incomplete parts give null structs, never structs of defaults."""
     kind = T._parse_datatype_string(FEATURES)
@@ -92,7 +96,7 @@ def features_from_json(text: Column) -> Column:
         for f in part.dataType.fields:
             x = raw[part.name][f.name]
             if f.name == "dhash":
-                x = F.when(x >= F.lit(1 << 63).cast("decimal(20,0)"), x - F.lit(1 << 64).cast("decimal(20,0)")).otherwise(x).cast("long")
+                x = F.when(x >= _unsigned(1 << 63), x - _unsigned(1 << 64)).otherwise(x).cast("long")
             elif f.name == "junk_similarities":
                 x = F.transform(x, lambda p: F.struct(p[0].alias("label"), p[1].cast("float").alias("similarity")))
             fields.append(x.alias(f.name))
@@ -113,7 +117,7 @@ def features_to_json(features: Column) -> Column:
             x = features[part.name][f.name]
             if f.name == "dhash":
                 wide = x.cast("decimal(20,0)")
-                x = F.when(x < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+                x = F.when(x < 0, wide + _unsigned(1 << 64)).otherwise(wide).cast("decimal(20,0)")
             elif f.name == "junk_similarities":
                 x = F.transform(x, lambda p: F.array(p["label"], p["similarity"].cast("string")))
             fields.append(x.alias(f.name))

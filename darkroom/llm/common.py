@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from darkroom.sources.staging import shared_dir, staged  # noqa: F401
+
 #: A word is a run of anything but ASCII white space; bytes.split() cuts at exactly these bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -20,32 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session.
-
-    Only where nothing is set and the master is local (tests) a folder of this machine is taken.
-    """
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if found:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(found)
-        return found.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    root = os.path.join(tempfile.gettempdir(), "checkpoints")
-    os.makedirs(root, exist_ok=True)
-    sc.setCheckpointDir(tempfile.mkdtemp(dir=root))
-    return sc.getCheckpointDir().rstrip("/")
-
-
-def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
-    """Writes df to the shared folder and reads it again: it is computed once and its lineage is cut."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

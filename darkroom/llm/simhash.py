@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import staged
-from darkroom.llm.components import components
+from darkroom.operators.components import components
 
 #: Fixed value: generator polynomial of the perfect binary Golay code of length 23 and radius 3,
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -160,7 +160,8 @@ def links(fingerprints: DataFrame, threshold: int = 2) -> DataFrame:
     home = _replicated(fingerprints, 0).withColumnRenamed("fp", "a")
     near = _replicated(fingerprints, threshold).withColumnRenamed("fp", "b")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold)
-    return home.join(near, (home["anchor"] == near["anchor"]) & close).select("a", "b")
+    # by what Spark knows of its size, the replicated side might be broadcast; it is sorted and merged instead
+    return home.join(near.hint("merge"), (home["anchor"] == near["anchor"]) & close).select("a", "b")
 
 
 def near_duplicates(

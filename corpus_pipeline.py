@@ -13,8 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm import bpe, mixing, quality, repeats, simhash
-from darkroom.llm.common import shared_dir, table
+from darkroom.llm.common import bounded_broadcast, shared_dir, staged, table
 
+#: Ids that are broadcast at most, about 16 MB of them; more are joined by shuffling.
+MOST_BROADCAST = 500_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -25,10 +27,20 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component, by shingles of five words."""
-    found = simhash.near_duplicates(docs, width=5)
-    first = found.where("id = component_id").select(F.col("id").alias("doc_id")).distinct()
-    return docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """The document of smallest id of each SimHash component, by shingles of five words.
+
+    Texts are not shuffled while the ids to drop are few enough to broadcast: their number is counted first. A
+    document that stands there several times, by its id, stays once. Documents without an id all stay.
+    """
+    found = simhash.near_duplicates(docs, width=5).where("id is not null").select(F.col("id").alias("doc_id"), "component_id")
+    found = staged(found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "components")
+    drop, twice = found.where("doc_id <> first").select("doc_id"), found.where("doc_id = first and n > 1").select("doc_id")
+    many, again = drop.count(), twice.count()
+    left = docs.join(bounded_broadcast(drop, many, MOST_BROADCAST), "doc_id", "left_anti")
+    if again:
+        few = bounded_broadcast(twice, again, MOST_BROADCAST)
+        left = left.join(few, "doc_id", "left_anti").unionByName(left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return left.select(*COLUMNS)
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ LONG, PIECE = 1 << 18, 1 << 15
 #: Bytes of text that are encoded together.
 BATCH = 4 << 20
 #: Words after which an encoder begins to forget those that it has not met since it last did.
-REMEMBERED = 300_000
+REMEMBERED = 250_000
 
 
 #: Signs that are neither letters, digits nor an apostrophe: after a letter, the first of them begins a pre-token.

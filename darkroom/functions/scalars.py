@@ -38,9 +38,10 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Metres between two places; null if a coordinate is."""
     half = lambda d: F.pow(F.sin(F.radians(d) / 2), 2)
     h = half(lat2 - lat1) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half(lon2 - lon1)
-    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.least(h, F.lit(1.0))))
+    return F.lit(2 * EARTH_M) * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))
 
 
 def _dot(a: Column, b: Column) -> Column:

@@ -75,9 +75,8 @@ _FUSED = f"""{ASSETS}, fired as (
    not spared and (j >= {_JT} or m >= {_MT}) as should_queue
   from summed
 )"""
-_HAVERSINE = (
-    "12742000.0 * asin(sqrt(least(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2), 1.0)))"
-)
+_CHORD = "(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))"
+_HAVERSINE = f"12742000.0 * asin(sqrt(case when {_CHORD} > 1 then 1 else {_CHORD} end))"
 _BAND = "epoch(b.created_at) - epoch(a.created_at) <= 30 and (b.created_at > a.created_at or (b.created_at = a.created_at and a.id < b.id))"
 _LINKS = f"""links as (
   select a.id as id_a, b.id as id_b from assets a join assets b on a.created_at <= b.created_at and b.created_at <= a.created_at + interval 30 second and {_BAND}

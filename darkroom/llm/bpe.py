@@ -29,8 +29,8 @@ LEAF = 2048
 LONG, PIECE = 1 << 18, 1 << 15
 #: Bytes of text that are encoded together.
 BATCH = 4 << 20
-#: Words after which an encoder begins to forget those that it has not met since it last did.
-REMEMBERED = 250_000
+#: Words that an encoder remembers before it starts anew, and slots that tell which words it has met.
+REMEMBERED, MET = 400_000, 1 << 22
 
 
 #: Signs that are neither letters, digits nor an apostrophe: after a letter, the first of them begins a pre-token.
@@ -68,21 +68,25 @@ def byte_level(text: str) -> str:
 
 
 class Remembered(dict):
-    """Bytes of the ids by word; a missing one is computed. What was used since the last turn survives the next one."""
+    """Bytes of the ids by word; a missing one is computed, and kept once it was missed twice: most words of a corpus
+    come once, and would only push out others."""
 
     def __init__(self, ids_of, kind: str):
-        self.ids_of, self.kind, self.older = ids_of, kind, {}
+        self.ids_of, self.kind, self.met = ids_of, kind, bytearray(MET)
 
     def __missing__(self, word):
-        ids = self.older.get(word)
-        self[word] = ids = self.ids_of(word) if ids is None else ids
+        ids, slot = self.ids_of(word), hash(word) & (MET - 1)
+        if self.met[slot]:
+            self[word] = ids
+        else:
+            self.met[slot] = 1
         return ids
 
     def turn(self) -> None:
         """To be called now and then: bounds what is remembered."""
         if len(self) > REMEMBERED:
-            self.older = dict(self)
             self.clear()
+            self.met = bytearray(MET)
 
 
 def gathered(lists: pa.ListArray, ids_of: Remembered) -> tuple[np.ndarray, np.ndarray]:

@@ -124,16 +124,22 @@ def repair(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.nda
         slot = (chosen * np.uint32(2654435769)) >> np.uint32(14)
         held, number = np.zeros(1 << 18, dtype=np.uint32), np.full(1 << 18, -1, dtype=np.int32)
         held[slot], number[slot] = chosen, np.arange(len(chosen))
-        keys = (symbols[:-1] << np.uint32(16)) | symbols[1:]
-        at = (keys * np.uint32(2654435769)) >> np.uint32(14)
-        found = number[at]
-        hit = (found >= 0) & (held[at] == keys) & ~last[:-1]
-        places = np.nonzero(hit)[0]
+        places, found = [], []
+        for i in range(0, len(symbols) - 1, 1 << 15):  # slices that stay in the processor's cache
+            some = symbols[i : i + (1 << 15) + 1]
+            keys = (some[:-1] << np.uint32(16)) | some[1:]
+            at = (keys * np.uint32(2654435769)) >> np.uint32(14)
+            hit = np.nonzero((held[at] == keys) & ~last[i : i + len(keys)])[0]
+            places.append(hit + i), found.append(number[at[hit]])
+        places, found = np.concatenate(places), np.concatenate(found)
+        real = found >= 0
+        places, found = places[real], found[real]
         # of overlapping places, every second one of a run
         run = np.concatenate([[True], np.diff(places) > 1])
         begin = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
-        places = places[(np.arange(len(places)) - begin) % 2 == 0]
-        symbols[places] = (found[places] + (SYMBOLS - free)).astype(np.uint32)
+        every = (np.arange(len(places)) - begin) % 2 == 0
+        places, found = places[every], found[every]
+        symbols[places] = (found + (SYMBOLS - free)).astype(np.uint32)
         last[places] |= last[places + 1]
         kept = np.ones(len(symbols), dtype=bool)
         kept[places + 1] = False

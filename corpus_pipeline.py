@@ -1,6 +1,6 @@
 """A training-data pipeline over the documents table, each stage by an operator of darkroom.llm.
 
-The stages in order: the quality classifier drops what it rejects, SimHash near-dedup keeps one document of each group,
+The stages in order: the quality classifier drops what it rejects, near-dedup keeps one document of each group,
 substring dedup removes repeated word windows, mixing repeats or drops documents towards the sources' targets, and
 BPE encoding and decoding ends it. Each stage reads what the one before has written.
 """
@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.llm import bpe, mixing, quality, repeats, simhash
+from darkroom.llm import bpe, mixing, quality, repeats, shingles
 from darkroom.llm.common import bounded_broadcast, shared_dir, staged, table
 
 #: Ids that are broadcast at most, about 16 MB of them; more are joined by shuffling.
@@ -27,12 +27,13 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each SimHash component, by shingles of five words.
+    """The document of smallest id of each component of near copies: texts whose five-word shingles have a Jaccard
+    likeness of 0.8 or more, or SimHash fingerprints within two bits.
 
     Texts are not shuffled while the ids to drop are few enough to broadcast: their number is counted first. A
     document that stands there several times, by its id, stays once. Documents without an id all stay.
     """
-    found = simhash.near_duplicates(docs, width=5).where("id is not null").select(F.col("id").alias("doc_id"), "component_id")
+    found = shingles.near_copies(docs, width=5).where("id is not null").select(F.col("id").alias("doc_id"), "component_id")
     found = staged(found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "components")
     drop, twice = found.where("doc_id <> first").select("doc_id"), found.where("doc_id = first and n > 1").select("doc_id")
     many, again = drop.count(), twice.count()

@@ -29,20 +29,26 @@ GOLAY_BLOCKS = ((0, 23), (23, 23))
 MAJORITY_BLOCKS = ((46, 9), (55, 9))
 
 
-def fingerprint_of(text: str | None, width: int, seed: int) -> int:
-    """SimHash of the lower-cased word shingles of a text, repeats included, as an unsigned number.
+digest = xxhash.xxh64_intdigest
+
+
+def shingles_of(text: str | None, width: int, seed: int) -> np.ndarray:
+    """Hashes of the lower-cased word shingles of a text, repeats included.
 
-    A text of fewer words than a shingle is one shingle; one without words (or null) has fingerprint 0.
+    A text of fewer words than a shingle is one shingle; one without words (or null) has none.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
     if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    digest = xxhash.xxh64_intdigest
+        return np.array([digest(b" ".join(words), seed)], dtype="<u8")
     runs = zip(*(words[i:] for i in range(width)))
-    hashes = np.array([digest(b" ".join(x), seed) for x in runs], dtype="<u8")
-    return _majority(hashes)
+    return np.array([digest(b" ".join(x), seed) for x in runs], dtype="<u8")
+
+
+def fingerprint_of(text: str | None, width: int, seed: int) -> int:
+    """SimHash of the shingles of a text as an unsigned number; 0 if it has none."""
+    return majority(shingles_of(text, width, seed))
 
 
 @cache
@@ -50,7 +56,7 @@ def _bits_of_bytes() -> np.ndarray:
     return ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
 
-def _majority(hashes: np.ndarray) -> int:
+def majority(hashes: np.ndarray) -> int:
     """The number whose bits are those set in over half of the hashes; counted in slices to bound memory."""
     counts = np.zeros((8, 256), dtype=np.int64)
     for i in range(0, len(hashes), 1 << 16):
@@ -174,8 +180,18 @@ def near_duplicates(
     are linked like any other. Repeated rows stay. No rows give no rows. Extra columns are ignored.
     """
     ids = staged(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "fingerprints")
-    nodes = staged(ids.groupBy("fp").agg(F.min("id").alias("first_id")), "nodes")
-    roots = components(links(nodes, threshold))
+    nodes = nodes_of(ids)
+    return labelled(ids, nodes, links(nodes, threshold))
+
+
+def nodes_of(ids: DataFrame) -> DataFrame:
+    """(fp, first_id): each fingerprint once, with the smallest id that has it."""
+    return staged(ids.groupBy("fp").agg(F.min("id").alias("first_id")), "nodes")
+
+
+def labelled(ids: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """(id, fp, component_id) per row of ids (id, fp), over links (a, b) between fingerprints."""
+    roots = components(found)
     linked = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     moved = staged(roots.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "linked")

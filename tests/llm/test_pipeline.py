@@ -62,3 +62,33 @@ def test_stages(spark, tmp_path):
     for r in out:
         ids = tk.encode(r.text, add_special_tokens=False).ids
         assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids and r.decoded == tk.decode(ids, skip_special_tokens=False)
+
+
+def test_near_copies_are_all_found(spark):
+    rng = np.random.default_rng(5)
+    common = [f"c{i}" for i in range(30)]
+    texts = []
+    for _ in range(40):  # each with copies of one to three changed words, and a passage that all of them hold
+        base = [f"w{i}" for i in rng.integers(0, 3000, int(rng.integers(40, 160)))] + common
+        for changes in (0, 1, 2, 3):
+            copy = list(base)
+            for at in rng.integers(0, len(copy), changes):
+                copy[at] = f"x{rng.integers(0, 10**9)}"
+            texts.append(" ".join(copy))
+    texts += [texts[1], texts[0].upper(), None, "", "two words", "two  words", "two other"]
+    sets = [set(map(int, simhash.shingles_of(x, 5, 42))) for x in texts]
+    prints = [simhash.fingerprint_of(x, 5, 42) for x in texts]
+    first, far = list(range(len(texts))), 0
+    changed = True
+    while changed:
+        changed = False
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                like = 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+                near = bin(prints[a] ^ prints[b]).count("1") <= 2
+                far += like and not near
+                if (like or near) and first[a] < first[b]:
+                    first[b], changed = first[a], True
+    docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert sorted(r.doc_id for r in left.collect()) == [i for i, f in enumerate(first) if i == f] and far > 40

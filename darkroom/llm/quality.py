@@ -8,6 +8,7 @@ rows that a model did not see calibrate it: the labelled rows are halved, each h
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,18 +52,14 @@ def statistics(text: str | None) -> np.ndarray:
     letters = max(1.0, counts[_UPPER] + counts[_LOWER] + counts[_HIGH])
     m = max(1, len(words))
     lengths = np.fromiter(map(len, words), dtype=np.float64, count=len(words)) if words else np.zeros(1)
-    distinct = len(set(words))
+    counted = Counter(words)
+    distinct, most = len(counted), max(counted.values(), default=1) - 1
     again = sum(a == b for a, b in zip(words, words[1:])) / m
     lines = raw.split(b"\n")
-    sorted_words = sorted(words[:: max(1, len(words) // 512)])
-    run = most = 0
-    for a, b in zip(sorted_words, sorted_words[1:]):
-        run = run + 1 if a == b else 0
-        most = max(most, run)
     return np.array([
         np.log1p(len(words)), counts[_UPPER] / letters, counts[_DIGIT] / n, counts[_STOP] / m, counts[6] / m, np.log1p(counts[6]), counts[_SPACE] / n,
         counts[_HIGH] / letters, lengths.mean(), lengths.std(), np.log1p(lengths.max()), distinct / m, np.log(distinct + 1) / np.log(m + 1.718), np.sqrt(again),
-        len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)), most / max(1, len(sorted_words)), np.log1p(n / m),
+        len(set(lines)) / len(lines), np.log1p(len(words) / len(lines)), most / m, np.log1p(n / m),
     ])
 
 

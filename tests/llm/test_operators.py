@@ -114,6 +114,13 @@ def test_quality(spark):
     assert {r.score for r in quality.scored(docs, none).collect()} == {0.5}
 
 
+def test_commonest_word_of_long_texts():
+    for n in (10, 1023, 1024, 2048, 5000):
+        for period in (2, 3, 4, 7):
+            own = ["often" if i % period == 1 else f"w{i}" for i in range(n)]
+            assert quality.statistics(" ".join(own))[16] == pytest.approx((own.count("often") - 1) / n)
+
+
 def test_isotonic():
     assert quality.isotonic(np.arange(4.0), np.array([0.1, 0.5, 0.3, 0.9]), np.ones(4)).tolist() == pytest.approx([0.1, 0.4, 0.4, 0.9])
 

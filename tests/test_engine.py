@@ -262,3 +262,16 @@ def test_cli(spark, tmp_path, capsys):
     assert main(["weights"]) == main(["fuse", path]) == main(["cluster", path]) == main(["rank", path]) == 0
     out = capsys.readouterr().out
     assert "blur_junk" in out and '"member_ids":["a","b"]' in out and '"best_id":"a"' in out
+
+
+def test_pixel_signals_of_every_event(spark, tmp_path):
+    from darkroom.plans import catalogue
+
+    ids = list(range(0, 310, 7)) + [1000, 1001, 2**40 + 3]
+    spark.createDataFrame([(i,) for i in ids], "event_id long").write.parquet(str(tmp_path / "events.parquet"))
+    found = {r.event_id: r for r in catalogue.q48(spark, str(tmp_path)).collect()}
+    assert sorted(found) == ids
+    for i, r in found.items():  # an image of one colour has its value as mean, no edges and no differences
+        v = (299 * (i % 256) + 587 * (i % 256) + 114 * (i % 256)) // 1000
+        assert r.mean_luminance == v and r.blur_variance == 0 and r.dhash == 0 and r.uniformity == 1 and r.is_pocket_shot and r.error is None
+        assert r.dark_fraction == (v < 16) and r.bright_fraction == (v >= 240)

@@ -28,7 +28,9 @@ SYMBOLS = 1 << 16
 SPACE = byte_level(" ")
 #: Bytes of text that make a shard, about; a document is never split.
 SHARD_BYTES = 4 << 20
-ROUNDS, RULES_A_ROUND, LEAST_COUNT = 3, 5000, 12
+RULES_A_ROUND = 5000
+#: A rule takes four symbols' room, two for its pair and two for its length, and saves one for each time it is used.
+LEAST_COUNT = 5
 #: Every so many symbols of a shard, the number of ids before them is kept.
 STRIDE = 1024
 
@@ -104,13 +106,14 @@ def repair(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.nda
     last[np.cumsum(lengths)[lengths > 0] - 1] = True
     rules: list[np.ndarray] = []
     free = SYMBOLS - terminals
-    for _ in range(ROUNDS):
-        if len(symbols) < 2 or free <= 0:
-            break
+    while len(symbols) >= 2 and free > 0:
         counted = np.sort(_pairs(symbols, last))
+        if not len(counted):
+            break
         edges = np.nonzero(np.concatenate([[True], counted[1:] != counted[:-1], [True]]))[0]
         pairs, counts = counted[edges[:-1]], np.diff(edges)
-        often = np.nonzero(counts >= LEAST_COUNT)[0]
+        # pairs at least half as frequent as the most frequent one; the others wait, as this round may change their counts
+        often = np.nonzero(counts >= max(LEAST_COUNT, (counts.max() + 1) // 2))[0]
         most = min(RULES_A_ROUND, free)
         if len(often) > most:
             often = np.sort(often[np.argpartition(counts[often], len(often) - most)[len(often) - most :]])

@@ -83,6 +83,16 @@ def test_grammar_round_trip(spark, docs, rows, tmp_path):
     assert grammar.read(spark, grammar.written(empty(spark), tokenizers.path("byte_bpe_50k.json"), str(tmp_path / "e"))).count() == 0
 
 
+@pytest.mark.parametrize("copies", [6, 200])
+def test_grammar_of_copies(copies):
+    own = np.random.default_rng(8).integers(0, 1000, 500)
+    symbols, numbers, rules = grammar.repair(np.tile(own, copies), np.full(copies, 500), 1000)
+    assert numbers.tolist() == [1] * copies and len(set(symbols.tolist())) == 1
+    sizes = grammar.expansion_lengths(rules, 1000)
+    read = grammar.Grammar(symbols.tobytes(), rules.tobytes(), sizes[1000:].astype("<u4").tobytes(), np.zeros(1, "<u8").tobytes(), 1000)
+    assert read.expand(read.symbols).tolist() == np.tile(own, copies).tolist()
+
+
 def test_grammar_spans():
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 30, 20_000).astype("<u2")

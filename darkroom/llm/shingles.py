@@ -1,8 +1,12 @@
-"""Near copies by the exact Jaccard likeness of word shingles, found with a prefix filter.
+"""Near copies by the Jaccard likeness of word shingles, found with a prefix filter; none is missed.
 
 All shingles of the corpus have one order. Two sets whose likeness reaches the least one share a shingle among the
-first few of both, whatever the order. So only those few are joined, and each pair found is compared whole. The order
-is by hash, with shingles that many texts hold at the end, so that a common passage brings no pairs by itself.
+first few of both, whatever the order. So only those few meet, in buckets of one shingle. The order is by hash, with
+shingles that many texts hold at the end, so that a common passage brings no pairs by itself.
+
+What is asked for are groups, not pairs. So each bucket has a pivot, the set with the fewest shingles of its own, which
+the others are compared with first. Sets that are like the same pivot are in one group already and are not compared
+with each other: a group of copies of one text costs one comparison a copy. All other sets of a bucket still are.
 """
 
 from __future__ import annotations
@@ -12,112 +16,226 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm import simhash
-from darkroom.llm.common import bounded_broadcast, slices, staged
+from darkroom.llm.common import bounded_broadcast, power_of_two, shuffle_partitions, slices, staged
 
 #: The least likeness as a fraction, so that sizes are compared in whole numbers.
 LEAST = (4, 5)
 #: A shingle is common if it is among the first of more than this many texts of one part in COUNTED, by a hash. At
-#: most so many are put last: the order only decides how many pairs are compared, not which are found.
+#: most so many, the commonest, are put last: the order only decides how many sets are compared, not which are found.
 COMMON, COUNTED, MOST_COMMON = 6, 4, 500_000
-#: Keys or shingles that are broadcast at most; more are joined by shuffling.
+#: Ids that are broadcast at most; more are joined by shuffling.
 MOST_BROADCAST = 500_000
-BATCH, VALUES = 1 << 20, 1 << 17
+#: Bytes of text that are read together.
+BATCH = 1 << 20
+#: An entry of a bucket as it is sent.
+ENTRY = np.dtype([("shingle", "<i8"), ("key", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
 
 def _first(n):
-    """How many shingles of sets of n are joined: one more than may be missing in a like set."""
+    """How many shingles of sets of n meet others: one more than may be missing in a like set."""
     return n - (LEAST[0] * n + LEAST[1] - 1) // LEAST[1] + 1
 
 
-def _sets(docs: DataFrame, id_col: str, text_col: str, width: int, seed: int) -> DataFrame:
-    """(id, fp, key, shingles): fingerprint, hash of the set and the set of shingle hashes, ascending, of each row."""
+def _read(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray], np.ndarray]]:
+    """Batches of (id, text, ...) in slices, with all shingle hashes of each text, the ascending set of them and its hash."""
+    for batch in batches:
+        for i, j in slices(batch, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BATCH):
+            some = batch.slice(i, j - i)
+            hashes = [simhash.shingles_of(text, width, seed) for text in some.column(1).to_pylist()]
+            sets = [np.unique(x) for x in hashes]
+            keys = np.array([simhash.digest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            yield some, hashes, [x.view(np.int64) for x in sets], keys
+
+
+def _prints(rows: DataFrame, width: int, seed: int) -> DataFrame:
+    """(id, fp, key, n, firsts): fingerprint, hash and size of the set of each row; of the sets that are counted, also
+    twice as many first shingles as meet others, since others move up where common ones are put last."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some, hashes, sets, keys in _read(batches, width, seed):
+            fps = np.array([simhash.majority(x) for x in hashes], dtype=np.uint64).view(np.int64)
+            ns = np.array([len(x) for x in sets], dtype=np.int32)
+            firsts = [np.sort(x)[: 2 * _first(len(x))].tobytes() if key % COUNTED == 0 else None for x, key in zip(sets, keys.tolist())]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps), pa.array(keys), pa.array(ns), pa.array(firsts, pa.binary())], names=["id", "fp", "key", "n", "firsts"])
+
+    return staged(rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, fp long, key long, n int, firsts binary"), "prints", "uncompressed")
+
+
+def _common(prints: DataFrame) -> np.ndarray:
+    """Shingles that many texts have among their first, ascending. They are counted in parts of the hash space."""
+    parts = power_of_two(max(64, shuffle_partitions(prints.sparkSession)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j in slices(batch, pc.fill_null(pc.binary_length(batch.column(1)), 0).to_pylist(), BATCH):
-                some = batch.slice(i, j - i)
-                prints, keys, sets = [], [], []
-                for text in some.column(1).to_pylist():
-                    hashes = simhash.shingles_of(text, width, seed)
-                    found = np.unique(hashes).view(np.int64)
-                    prints.append(simhash.majority(hashes)), keys.append(simhash.digest(found.tobytes())), sets.append(found)
-                lengths = np.cumsum([0, *map(len, sets)])
-                yield pa.RecordBatch.from_arrays([
-                    some.column(0), pa.array(np.array(prints, dtype=np.uint64).view(np.int64)), pa.array(np.array(keys, dtype=np.uint64).view(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate(sets), pa.int64())),
-                ], names=["id", "fp", "key", "shingles"])
+            values = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<i8")
+            values, counts = np.unique(values, return_counts=True)
+            part = values & (parts - 1)
+            order = np.argsort(part, kind="stable")
+            values, counts, part = values[order], counts[order].astype("<i4"), part[order]
+            ends = np.searchsorted(part, np.arange(parts + 1))
+            full = np.nonzero(np.diff(ends))[0]
+            cut = lambda x: pa.array([x[ends[p] : ends[p + 1]].tobytes() for p in full], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), cut(values), cut(counts)], names=["part", "shingles", "counts"])
+
+    def count(rows: pa.Table) -> pa.Table:
+        values = np.frombuffer(b"".join(rows.column("shingles").to_pylist()), dtype="<i8")
+        counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), dtype="<i4")
+        kept, at = np.unique(values, return_inverse=True)
+        total = np.bincount(at, weights=counts).astype(np.int64) if len(values) else np.zeros(0, dtype=np.int64)
+        often = total > COMMON
+        return pa.table({"shingle": pa.array(kept[often]), "count": pa.array(total[often])})
+
+    # a copied text counts once
+    some = prints.where("firsts is not null").groupBy("key").agg(F.first("firsts").alias("firsts")).select("firsts")
+    found = some.mapInArrow(send, "part int, shingles binary, counts binary").groupBy("part").applyInArrow(count, "shingle long, count long")
+    most = found.orderBy(F.desc("count"), "shingle").limit(MOST_COMMON).select("shingle")
+    return np.sort(np.array([r[0] for r in most.toLocalIterator()], dtype=np.int64))
+
+
+def _ordered(sets: list[np.ndarray], common: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shingle, place, whether it is common) of the first shingles of sets, common ones last."""
+    n = np.array([len(x) for x in sets], dtype=np.int64)
+    values = np.concatenate([np.zeros(0, dtype=np.int64), *map(np.sort, sets)])
+    row = np.repeat(np.arange(len(sets)), n)
+    held = np.zeros(len(values), dtype=bool)
+    if len(common):
+        held = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
+    order = np.argsort(2 * row + held, kind="stable")
+    place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
+    kept = place < _first(n)[row]
+    order = order[kept]
+    return row[kept], values[order], place[kept], held[order]
+
+
+def _buckets(rows: DataFrame, common: np.ndarray, width: int, seed: int) -> DataFrame:
+    """(shingle, key, n, place): the first shingles of each set, where another set has the shingle among its first too.
+
+    Entries meet in parts of the hash space. Those of common shingles are dealt to tasks at random instead and all
+    kept, as a part of such shingles might have no bound.
+    """
+    parts = power_of_two(4 * max(64, shuffle_partitions(rows.sparkSession)))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId() * 7919
+        for _, _, sets, keys in _read(batches, width, seed):
+            _, once = np.unique(keys, return_index=True)
+            once = np.sort(once)
+            sets, keys = [sets[i] for i in once], keys[once]
+            row, values, place, held = _ordered(sets, common)
+            found = np.zeros(len(values), dtype=ENTRY)
+            found["shingle"], found["key"], found["n"], found["place"] = values, keys[row], np.array([len(x) for x in sets], dtype=np.int64)[row], place
+            turn += 1
+            part = np.where(held, parts + turn % parts, values & (parts - 1))
+            order = np.argsort(part, kind="stable")
+            found, part = found[order], part[order]
+            starts = np.nonzero(np.concatenate([[True], part[1:] != part[:-1]]))[0] if len(part) else np.zeros(0, dtype=np.int64)
+            ends = np.append(starts[1:], len(part))
+            yield pa.RecordBatch.from_arrays([pa.array(part[starts].astype(np.int32)), pa.array([found[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], names=["part", "entries"])
+
+    def match(key: tuple, rows: pa.Table) -> pa.Table:
+        found = np.frombuffer(b"".join(rows.column("entries").to_pylist()), dtype=ENTRY)
+        order = np.lexsort((found["key"], found["shingle"]))
+        found = found[order]
+        same = np.zeros(len(found), dtype=bool)
+        same[1:] = found["shingle"][1:] == found["shingle"][:-1]
+        again = same.copy()
+        again[1:] &= found["key"][1:] == found["key"][:-1]
+        found, same = found[~again], same[~again]
+        if key[0].as_py() < parts:
+            found = found[same | np.append(same[1:], False)]
+        return pa.table({c: pa.array(np.ascontiguousarray(found[c])) for c in ENTRY.names})
+
+    sent = rows.mapInArrow(send, "part int, entries binary")
+    return staged(sent.groupBy("part").applyInArrow(match, "shingle long, key long, n int, place int"), "entries")
+
+
+def _held(rows: DataFrame, prints: DataFrame, keys: DataFrame, width: int, seed: int) -> DataFrame:
+    """(key, tokens): the shingles of each set of keys, 32 bits of each, from one row that has it.
+
+    Where 32 bits don't tell two shingles apart, a set seems more like another, never less.
+    """
+    ids = staged(prints.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct(), "read")
+    some = rows.join(bounded_broadcast(ids.where("id is not null"), ids.count(), MOST_BROADCAST), "id", "left_semi")
+    if ids.where("id is null").limit(1).count():
+        some = some.unionByName(rows.where("id is null"))
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return staged(rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, fp long, key long, shingles array<bigint>"), "shingles")
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, sets, keys in _read(batches, width, seed):
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([np.sort(x.view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in sets], pa.binary())], names=["key", "tokens"])
 
+    found = some.select("id", "text").mapInArrow(of, "key long, tokens binary")
+    return staged(found.dropDuplicates(["key"]), "held", "uncompressed")
 
-def _firsts(sets: DataFrame, common: np.ndarray) -> DataFrame:
-    """(shingle, key, n, place): the first shingles of each set, common ones (ascending) last."""
+
+def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs (x, y) of sets whose likeness is at least LEAST."""
+    p, q = LEAST
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = pc.list_value_length(batch.column(1)).to_pylist()
-            for i, j in slices(batch, sizes, VALUES):
-                some = batch.slice(i, j - i)
-                n, values = np.array(sizes[i:j], dtype=np.int64), some.column(1).flatten().to_numpy()
-                row = np.repeat(np.arange(j - i), n)
-                held = np.zeros(len(values), dtype=bool)
-                if len(common):
-                    held = common[np.minimum(np.searchsorted(common, values), len(common) - 1)] == values
-                order = np.argsort(2 * row + held, kind="stable")
-                place = np.arange(len(values)) - np.repeat(np.cumsum(n) - n, n)
-                kept = place < _first(n)[row]
-                row, place, values = row[kept], place[kept], values[order][kept]
-                keys = some.column(0).to_numpy()[row]
-                yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(keys), pa.array(n[row].astype(np.int32)), pa.array(place.astype(np.int32))], names=["shingle", "key", "n", "place"])
-
-    return sets.select("key", "shingles").mapInArrow(of, "shingle long, key long, n int, place int")
-
-
-def _common(sets: DataFrame) -> np.ndarray:
-    """Shingles that many texts have among their first, ascending."""
-    n = F.size("shingles")
-    # twice as many as are joined, since others move up where common ones are put last
-    most = (F.lit(2) * (n - F.ceil(n * LEAST[0] / LEAST[1]) + 1)).cast("int")
-    some = sets.where(F.pmod("key", F.lit(COUNTED)) == 0).select(F.explode(F.slice("shingles", F.lit(1), most)).alias("shingle"))
-    found = some.groupBy("shingle").count().where(F.col("count") > COMMON).select("shingle").limit(MOST_COMMON)
-    return np.sort(np.array([r[0] for r in found.toLocalIterator()], dtype=np.int64))
-
-
-def links(sets: DataFrame) -> DataFrame:
-    """(a, b): fingerprints of all pairs of sets whose likeness is at least LEAST, and of equal sets."""
-    keyed = staged(sets.select("key", "fp").distinct().groupBy("key").agg(F.min("fp").alias("first"), F.collect_set("fp").alias("every")), "keys")
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(a.as_buffer(), dtype="<u4"), np.frombuffer(b.as_buffer(), dtype="<u4")
+                if len(a) > len(b):
+                    a, b = b, a
+                at = np.minimum(np.searchsorted(b, a), max(len(b) - 1, 0))
+                good.append(bool(len(b)) and (p + q) * int((b[at] == a).sum()) >= p * (len(a) + len(b)))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=["x", "y"]).filter(pa.array(good, pa.bool_()))
+
+    whole = pairs.join(held.select(F.col("key").alias("x"), F.col("tokens").alias("x_tokens")).hint("merge"), "x")
+    whole = whole.join(held.select(F.col("key").alias("y"), F.col("tokens").alias("y_tokens")).hint("merge"), "y")
+    return staged(whole.select("x", "y", "x_tokens", "y_tokens").mapInArrow(of, "x long, y long"), "alike")
+
+
+def _able(x_n: Column, x_place: Column, y_n: Column, y_place: Column) -> Column:
+    """Whether two sets that share a shingle at these places may be like enough."""
+    p, q = LEAST
+    return (p + q) * F.least(x_n - x_place, y_n - y_place) >= p * (x_n + y_n)
+
+
+def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFrame:
+    """(a, b): fingerprints of pairs of texts that are like enough; all groups of such texts are connected by them."""
+    keyed = staged(prints.select("key", "fp").distinct().groupBy("key").agg(F.min("fp").alias("first"), F.collect_set("fp").alias("every")), "keys")
     same = keyed.where(F.size("every") > 1).select(F.col("first").alias("a"), F.explode("every").alias("b")).where("a <> b")
 
-    firsts = _firsts(sets, _common(sets))
-    shared = firsts.groupBy("shingle").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x < y").select("shingle")
-    shared = staged(shared, "shared")
-    firsts = firsts.join(bounded_broadcast(shared, shared.count(), MOST_BROADCAST), "shingle", "left_semi")
-    firsts = staged(firsts.dropDuplicates(["shingle", "key"]), "firsts")
-    x, y = (firsts.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place")]) for side in "xy")
-    p, q = LEAST
-    room = F.least(F.col("x_n") - F.col("x_place"), F.col("y_n") - F.col("y_place"))
-    able = (F.col("x_key") < F.col("y_key")) & ((p + q) * room >= p * (F.col("x_n") + F.col("y_n")))
-    pairs = staged(x.join(y.hint("merge"), "shingle").where(able).select("x_key", "y_key").distinct(), "pairs")
-
-    keys = staged(pairs.select(F.col("x_key").alias("key")).unionByName(pairs.select(F.col("y_key").alias("key"))).distinct(), "paired")
-    some = staged(sets.join(bounded_broadcast(keys, keys.count(), MOST_BROADCAST), "key", "left_semi").dropDuplicates(["key"]).select("key", "shingles"), "compared")
-    whole = pairs.join(some.select(F.col("key").alias("x_key"), F.col("shingles").alias("x")).hint("merge"), "x_key")
-    whole = whole.join(some.select(F.col("key").alias("y_key"), F.col("shingles").alias("y")).hint("merge"), "y_key")
-    both = F.size(F.array_intersect("x", "y"))
-    like = whole.where((p + q) * both >= p * (F.size("x") + F.size("y"))).select("x_key", "y_key")
+    found = _buckets(rows, _common(prints), width, seed)
+    own = (1 - F.count("*").over(Window.partitionBy("key")) / (F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1)).alias("own")
+    ranked = staged(found.select("*", own), "ranked")
+    pivots = ranked.groupBy("shingle").agg(F.min(F.struct("own", "key", "n", "place")).alias("p"))
+    met = ranked.join(pivots.hint("merge"), "shingle")
+    met = staged(met.select("shingle", "key", "n", "place", F.col("p.own").alias("p_own"), F.col("p.key").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "met")
+    first = met.where((F.col("key") != F.col("pivot")) & _able(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
+    first = staged(first.groupBy(F.col("key").alias("x"), F.col("pivot").alias("y")).agg(F.min("p_own").alias("p_own")), "first")
+
+    held = _held(rows, prints, ranked.select("key").distinct(), width, seed)
+    near = _alike(first.select("x", "y"), held)
+    label = near.join(first.hint("merge"), ["x", "y"]).groupBy("x").agg(F.min(F.struct("p_own", "y"))["y"].alias("label"))
+    label = staged(label, "labels")
+
+    of = met.join(label.withColumnRenamed("x", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    of = of.join(label.select(F.col("x").alias("pivot"), F.col("label").alias("p_label")).hint("merge"), "pivot", "left").withColumn("p_label", F.coalesce("p_label", "pivot"))
+    of = staged(of.select("shingle", "key", "n", "place", "label", "pivot", (F.col("label") != F.col("p_label")).alias("out")), "labelled")
+    x, y = (of.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place", "label", "pivot", "out")]) for side in "xy")
+    left = x.where("x_out").join(y.where("y_key <> y_pivot").hint("merge"), "shingle").where("x_key <> x_pivot and x_label <> y_label and (not y_out or x_key < y_key)")
+    left = left.where(_able(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place")))
+    left = left.select(F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y")).distinct()
+    like = near.unionByName(_alike(staged(left, "left"), held))
+
     first = keyed.select("key", "first")
-    found = like.join(first.withColumnsRenamed({"key": "x_key", "first": "a"}), "x_key").join(first.withColumnsRenamed({"key": "y_key", "first": "b"}), "y_key")
-    return found.select("a", "b").unionByName(same)
+    like = like.join(first.withColumnsRenamed({"key": "x", "first": "a"}).hint("merge"), "x").join(first.withColumnsRenamed({"key": "y", "first": "b"}).hint("merge"), "y")
+    return like.select("a", "b").unionByName(same)
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, threshold: int = 2) -> DataFrame:
     """(id, fp, component_id) as simhash.near_duplicates gives them, with links also between all texts whose shingle
-    sets have a Jaccard likeness of LEAST or more. Words are lower-cased; a short text is one shingle."""
-    sets = _sets(docs, id_col, text_col, width, seed)
-    nodes = simhash.nodes_of(sets)
-    return simhash.labelled(sets.select("id", "fp"), nodes, simhash.links(nodes, threshold).unionByName(links(sets)))
+    sets have a Jaccard likeness of LEAST or more. Words are lower-cased; a short text is one shingle, and a null or
+    empty one has none and the fingerprint 0. Repeated rows stay, other columns are not read, no rows give no rows."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    prints = _prints(rows, width, seed)
+    nodes = simhash.nodes_of(prints)
+    return simhash.labelled(prints.select("id", "fp"), nodes, simhash.links(nodes, threshold).unionByName(links(rows, prints, width, seed)))

@@ -29,8 +29,9 @@ LEAF = 2048
 LONG, PIECE = 1 << 18, 1 << 15
 #: Bytes of text that are encoded together.
 BATCH = 4 << 20
-#: Words that an encoder remembers before it starts anew, and slots that tell which words it has met.
-REMEMBERED, MET = 400_000, 1 << 22
+#: Bytes of what an encoder remembers, about, in each of two generations; what an entry takes besides its word and ids;
+#: the longest word that is remembered; and slots that tell which words it has met.
+REMEMBERED, ENTRY, LONGEST, MET = 20 << 20, 160, 64, 1 << 22
 
 
 #: Signs that are neither letters, digits nor an apostrophe: after a letter, the first of them begins a pre-token.
@@ -69,31 +70,43 @@ def byte_level(text: str) -> str:
 
 class Remembered(dict):
     """Bytes of the ids by word; a missing one is computed, and kept once it was missed twice: most words of a corpus
-    come once, and would only push out others."""
+    come once, and would only push out others.
 
-    def __init__(self, ids_of, kind: str):
-        self.ids_of, self.kind, self.met = ids_of, kind, bytearray(MET)
+    What it holds is bounded by bytes: when a generation is full it becomes the old one, the one before is forgotten,
+    and words of the old one that come again move to the young one.
+    """
+
+    def __init__(self, ids_of, kind: str, most: int = REMEMBERED):
+        self.ids_of, self.kind, self.most, self.met, self.old, self.bytes = ids_of, kind, most, bytearray(MET), {}, 0
 
     def __missing__(self, word):
-        ids, slot = self.ids_of(word), hash(word) & (MET - 1)
-        if self.met[slot]:
-            self[word] = ids
-        else:
-            self.met[slot] = 1
+        ids = self.old.get(word)
+        if ids is None:
+            ids, slot = self.ids_of(word), hash(word) & (MET - 1)
+            if not self.met[slot] or len(word) > LONGEST:
+                self.met[slot] = 1
+                return ids
+        self[word] = ids
+        self.bytes += ENTRY + 2 * len(word) + len(ids)
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.met, self.old, self.bytes = bytearray(MET), {}, 0
+
     def turn(self) -> None:
-        """To be called now and then: bounds what is remembered."""
-        if len(self) > REMEMBERED:
+        """To be called now and then: begins a new generation when the young one is full."""
+        if self.bytes > self.most:
+            old = dict(self)
             self.clear()
-            self.met = bytearray(MET)
+            self.old = old
 
 
 def gathered(lists: pa.ListArray, ids_of: Remembered) -> tuple[np.ndarray, np.ndarray]:
     """(ids end to end, their number by list) for lists of words; each distinct word is looked up once."""
     coded = lists.flatten().dictionary_encode()
     at = coded.indices.to_numpy(zero_copy_only=False)
-    found = list(map(ids_of.__getitem__, coded.dictionary.to_pylist()))
+    found = list(map(ids_of.__getitem__, coded.dictionary.to_numpy(zero_copy_only=False).tolist()))
     flat = np.frombuffer(b"".join(found), dtype=ids_of.kind)
     lengths = np.fromiter(map(len, found), dtype=np.int32, count=len(found)) // flat.itemsize
     offsets = np.cumsum(lengths, dtype=np.int64) - lengths

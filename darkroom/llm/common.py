@@ -28,7 +28,8 @@ def power_of_two(n: int) -> int:
 
 
 def slices(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch of about `most` bytes each; a single row may be larger."""
+    """Row ranges of a batch of about `most` bytes each; a single row may be larger. Memory that Arrow holds on to
+    after a batch goes back to the system."""
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and size + n > most:
@@ -37,6 +38,7 @@ def slices(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[tup
         size += n
     if start < len(lengths):
         yield start, len(lengths)
+    pa.default_memory_pool().release_unused()
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:

@@ -29,6 +29,8 @@ SPACE = byte_level(" ")
 #: Bytes of text that make a shard, about; a document is never split.
 SHARD_BYTES = 4 << 20
 RULES_A_ROUND = 5000
+#: Bytes of words that an encoder remembers, about, in each of two generations.
+REMEMBERED = 48 << 20
 #: A rule takes four symbols' room, two for its pair and two for its length, and saves one for each time it is used.
 LEAST_COUNT = 5
 #: Every so many symbols of a shard, the number of ids before them is kept.
@@ -60,7 +62,7 @@ class ByteEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
         self.tokenize = self.tokenizer.model.tokenize
-        self.known = Remembered(self.ids_of, "<u2")
+        self.known = Remembered(self.ids_of, "<u2", REMEMBERED)
 
     def ids_of(self, piece: str) -> bytes:
         if piece[-1:].isalpha():
@@ -92,66 +94,98 @@ def byte_encoder(path: str) -> ByteEncoder:
     return ByteEncoder(path)
 
 
-def _pairs(symbols: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return ((symbols[:-1] << np.uint32(16)) | symbols[1:])[~last[:-1]]
+#: Of the table that tells whether a pair is replaced: its slots, and a multiplier that spreads pairs over them.
+SLOT_BITS, SPREAD = 18, np.uint32(2654435769)
+#: Stands for a pair across two documents.
+NO_PAIR = np.uint32(0xFFFFFFFF)
+#: Symbols that are looked at together: so many stay in the processor's cache.
+SLICE = 1 << 14
+
+
+def _chosen(pairs: np.ndarray, most: int, flags: np.ndarray) -> np.ndarray:
+    """The pairs that a round replaces, ascending: those at least half as frequent as the most frequent one, up to
+    `most` of them. The others wait, as this round may change their counts. pairs is ascending; flags is spare room."""
+    flags = flags[: len(pairs)]
+    flags[0] = True
+    np.not_equal(pairs[1:], pairs[:-1], out=flags[1:])
+    edges = np.flatnonzero(flags)
+    counts = np.diff(edges, append=len(pairs))
+    distinct = pairs[edges]
+    if len(distinct) and distinct[-1] == NO_PAIR:
+        distinct, counts = distinct[:-1], counts[:-1]
+    if not len(distinct):
+        return distinct
+    often = np.flatnonzero(counts >= max(LEAST_COUNT, (counts.max() + 1) // 2))
+    if len(often) > most:
+        often = np.sort(often[np.argpartition(counts[often], len(often) - most)[len(often) - most :]])
+    # of pairs whose slots agree, one waits for a later round
+    _, first = np.unique((distinct[often] * SPREAD) >> np.uint32(32 - SLOT_BITS), return_index=True)
+    return distinct[often[np.sort(first)]]
+
+
+def _places(keys: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where chosen pairs stand, and which; of overlapping places every second one of a run."""
+    held, number = np.zeros(1 << SLOT_BITS, dtype=np.uint32), np.zeros(1 << SLOT_BITS, dtype=np.uint32)
+    held[0] = NO_PAIR  # free slots hold a pair that has another slot: 0 has the first, and this one has not
+    slot = (chosen * SPREAD) >> np.uint32(32 - SLOT_BITS)
+    held[slot], number[slot] = chosen, np.arange(len(chosen), dtype=np.uint32)
+    places, found = [], []
+    for i in range(0, len(keys), SLICE):
+        some = keys[i : i + SLICE]
+        at = (some * SPREAD) >> np.uint32(32 - SLOT_BITS)
+        hit = np.flatnonzero(held[at] == some)
+        places.append(hit + i), found.append(number[at[hit]])
+    places, found = np.concatenate(places), np.concatenate(found)
+    follows = np.flatnonzero(places[1:] == places[:-1] + 1)  # those that overlap the next one
+    order = np.arange(len(follows))
+    begins = np.maximum.accumulate(np.where(np.diff(follows, prepend=-2) > 1, order, 0))
+    kept = np.ones(len(places), dtype=bool)
+    kept[follows[(order - begins) % 2 == 0] + 1] = False
+    return places[kept], found[kept]
+
+
+def _without(symbols: np.ndarray, kept: np.ndarray, into: np.ndarray) -> np.ndarray:
+    """The symbols that are kept, written into other room."""
+    n = 0
+    for i in range(0, len(symbols), SLICE):
+        some = symbols[i : i + SLICE][kept[i : i + SLICE]]
+        into[n : n + len(some)] = some
+        n += len(some)
+    return into[:n]
 
 
 def repair(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, their number by document, rules): the grammar of some documents' ids, end to end.
 
-    Rule r stands for symbol terminals + r. No symbol spans two documents.
+    Rule r stands for symbol terminals + r. No symbol spans two documents. Large arrays are used again each round.
     """
-    symbols = ids.astype(np.uint32)
-    last = np.zeros(len(symbols), dtype=bool)
-    last[np.cumsum(lengths)[lengths > 0] - 1] = True
+    room = [ids.astype(np.uint32), np.empty(len(ids), dtype=np.uint32)]
+    symbols, last = room[0], np.cumsum(lengths)[lengths > 0] - 1
+    buffer, sorted_buffer, flags = np.empty(len(ids), dtype=np.uint32), np.empty(len(ids), dtype=np.uint32), np.empty(len(ids), dtype=bool)
     rules: list[np.ndarray] = []
     free = SYMBOLS - terminals
-    while len(symbols) >= 2 and free > 0:
-        counted = np.sort(_pairs(symbols, last))
-        if not len(counted):
+    while (n := len(symbols)) >= 2 and free > 0:
+        keys, ordered = buffer[: n - 1], sorted_buffer[: n - 1]
+        np.left_shift(symbols[:-1], np.uint32(16), out=keys)
+        np.bitwise_or(keys, symbols[1:], out=keys)
+        keys[last[:-1]] = NO_PAIR
+        ordered[:] = keys
+        ordered.sort()
+        chosen = _chosen(ordered, min(RULES_A_ROUND, free), flags)
+        if not len(chosen):
             break
-        edges = np.nonzero(np.concatenate([[True], counted[1:] != counted[:-1], [True]]))[0]
-        pairs, counts = counted[edges[:-1]], np.diff(edges)
-        # pairs at least half as frequent as the most frequent one; the others wait, as this round may change their counts
-        often = np.nonzero(counts >= max(LEAST_COUNT, (counts.max() + 1) // 2))[0]
-        most = min(RULES_A_ROUND, free)
-        if len(often) > most:
-            often = np.sort(often[np.argpartition(counts[often], len(often) - most)[len(often) - most :]])
-        if not len(often):
-            break
-        # a table of 2^18 slots by a hash of the pair; a pair whose slot is taken waits for a later round
-        chosen = pairs[often]
-        slot = (chosen * np.uint32(2654435769)) >> np.uint32(14)
-        _, first = np.unique(slot, return_index=True)
-        chosen = chosen[np.sort(first)]
-        slot = (chosen * np.uint32(2654435769)) >> np.uint32(14)
-        held, number = np.zeros(1 << 18, dtype=np.uint32), np.full(1 << 18, -1, dtype=np.int32)
-        held[slot], number[slot] = chosen, np.arange(len(chosen))
-        places, found = [], []
-        for i in range(0, len(symbols) - 1, 1 << 15):  # slices that stay in the processor's cache
-            some = symbols[i : i + (1 << 15) + 1]
-            keys = (some[:-1] << np.uint32(16)) | some[1:]
-            at = (keys * np.uint32(2654435769)) >> np.uint32(14)
-            hit = np.nonzero((held[at] == keys) & ~last[i : i + len(keys)])[0]
-            places.append(hit + i), found.append(number[at[hit]])
-        places, found = np.concatenate(places), np.concatenate(found)
-        real = found >= 0
-        places, found = places[real], found[real]
-        # of overlapping places, every second one of a run
-        run = np.concatenate([[True], np.diff(places) > 1])
-        begin = np.maximum.accumulate(np.where(run, np.arange(len(places)), 0))
-        every = (np.arange(len(places)) - begin) % 2 == 0
-        places, found = places[every], found[every]
-        symbols[places] = (found + (SYMBOLS - free)).astype(np.uint32)
-        last[places] |= last[places + 1]
-        kept = np.ones(len(symbols), dtype=bool)
+        places, found = _places(keys, chosen)
+        symbols[places] = found + np.uint32(SYMBOLS - free)
+        kept = flags[:n]
+        kept[:] = True
         kept[places + 1] = False
-        symbols, last = symbols[kept], last[kept]
+        last = last - np.searchsorted(places + 1, last, side="right")
+        symbols = _without(symbols, kept, room[1])
+        room.reverse()
         rules.append(np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], axis=1))
         free -= len(chosen)
-    ends = np.nonzero(last)[0] + 1
     numbers = np.zeros(len(lengths), dtype=np.int64)
-    numbers[lengths > 0] = np.diff(np.concatenate([[0], ends]))
+    numbers[lengths > 0] = np.diff(np.concatenate([[-1], last]))
     return symbols.astype("<u2"), numbers, np.concatenate(rules).astype("<u2") if rules else np.zeros((0, 2), dtype="<u2")
 
 

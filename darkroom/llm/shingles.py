@@ -154,13 +154,16 @@ def _buckets(rows: DataFrame, common: np.ndarray, width: int, seed: int) -> Data
     return staged(sent.groupBy("part").applyInArrow(match, "shingle long, key long, n int, place int"), "entries")
 
 
-def _held(rows: DataFrame, prints: DataFrame, keys: DataFrame, width: int, seed: int) -> DataFrame:
-    """(key, tokens): the shingles of each set of keys, 32 bits of each, from one row that has it.
+def _held(rows: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, seed: int) -> DataFrame:
+    """(key, tokens): the shingles of each set of pairs (x, y), 32 bits of each, read again from a row that has it.
 
     Where 32 bits don't tell two shingles apart, a set seems more like another, never less.
     """
-    ids = staged(prints.join(keys.hint("merge"), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct(), "read")
-    some = rows.join(bounded_broadcast(ids.where("id is not null"), ids.count(), MOST_BROADCAST), "id", "left_semi")
+    keys = staged(pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct(), "paired")
+    few = keys.count()
+    ids = prints.join(bounded_broadcast(keys, few, MOST_BROADCAST), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
+    ids = staged(ids, "read")
+    some = rows.join(bounded_broadcast(ids.where("id is not null"), few, MOST_BROADCAST), "id", "left_semi")
     if ids.where("id is null").limit(1).count():
         some = some.unionByName(rows.where("id is null"))
 
@@ -169,11 +172,13 @@ def _held(rows: DataFrame, prints: DataFrame, keys: DataFrame, width: int, seed:
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([np.sort(x.view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in sets], pa.binary())], names=["key", "tokens"])
 
     found = some.select("id", "text").mapInArrow(of, "key long, tokens binary")
-    return staged(found.dropDuplicates(["key"]), "held", "uncompressed")
+    # rows of the same id may hold other texts, and the same one again
+    return staged(found.join(bounded_broadcast(keys, few, MOST_BROADCAST), "key", "left_semi").dropDuplicates(["key"]), "held", "uncompressed")
 
 
-def _alike(pairs: DataFrame, held: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFrame:
     """The pairs (x, y) of sets whose likeness is at least LEAST."""
+    held = _held(rows, prints, pairs, width, seed)
     p, q = LEAST
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,8 +217,7 @@ def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFram
     first = met.where((F.col("key") != F.col("pivot")) & _able(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
     first = staged(first.groupBy(F.col("key").alias("x"), F.col("pivot").alias("y")).agg(F.min("p_own").alias("p_own")), "first")
 
-    held = _held(rows, prints, ranked.select("key").distinct(), width, seed)
-    near = _alike(first.select("x", "y"), held)
+    near = _alike(first.select("x", "y"), rows, prints, width, seed)
     label = near.join(first.hint("merge"), ["x", "y"]).groupBy("x").agg(F.min(F.struct("p_own", "y"))["y"].alias("label"))
     label = staged(label, "labels")
 
@@ -224,7 +228,7 @@ def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFram
     left = x.where("x_out").join(y.where("y_key <> y_pivot").hint("merge"), "shingle").where("x_key <> x_pivot and x_label <> y_label and (not y_out or x_key < y_key)")
     left = left.where(_able(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place")))
     left = left.select(F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y")).distinct()
-    like = near.unionByName(_alike(staged(left, "left"), held))
+    like = near.unionByName(_alike(staged(left, "left"), rows, prints, width, seed))
 
     first = keyed.select("key", "first")
     like = like.join(first.withColumnsRenamed({"key": "x", "first": "a"}).hint("merge"), "x").join(first.withColumnsRenamed({"key": "y", "first": "b"}).hint("merge"), "y")

@@ -11,12 +11,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm.common import shuffle_partitions, staged
 
 BLOCK_ROWS, QUERY_ROWS, DIMENSIONS = 4096, 8192, 16
+#: Bytes of candidates, and of queries, that one task holds.
+GROUP_BYTES = 64 << 20
+#: Fixed value: an odd multiplier that spreads partitions over slots.
+SPREAD = 0x9E3779B97F4A7C15
 
 
 def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", factor: int = 256) -> DataFrame:
@@ -47,9 +52,11 @@ def best_of_block(query: np.ndarray, columns: np.ndarray, ids: np.ndarray, rest:
 
 
 def _blocks(rows: DataFrame, size: int, groups: int) -> DataFrame:
-    """(width, block, ids, data): vectors of one width, up to `size` together."""
+    """(width, slot, ids, data): vectors of one width, up to `size` together. A partition deals its blocks to slots in
+    turn, beginning at one that follows from its number."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = ((TaskContext.get().partitionId() * SPREAD) % (1 << 64)) >> 33
         for batch in batches:
             ids, vectors = batch.column(0).to_numpy(), batch.column(1)
             widths = np.diff(vectors.offsets.to_numpy())
@@ -60,7 +67,8 @@ def _blocks(rows: DataFrame, size: int, groups: int) -> DataFrame:
                 for i in range(0, len(rows), size):
                     some = rows[i : i + size]
                     data = flat[starts[some][:, None] + np.arange(width)]
-                    yield pa.RecordBatch.from_arrays([pa.array([int(width)], pa.int32()), pa.array([int(ids[some[0]]) % groups], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([data.astype("<f8").tobytes()])], names=["width", "slot", "ids", "data"])
+                    turn += 1
+                    yield pa.RecordBatch.from_arrays([pa.array([int(width)], pa.int32()), pa.array([turn % groups], pa.int32()), pa.array([ids[some].astype("<i8").tobytes()]), pa.array([data.astype("<f8").tobytes()])], names=["width", "slot", "ids", "data"])
 
     return rows.mapInArrow(of, "width int, slot int, ids binary, data binary")
 
@@ -68,18 +76,21 @@ def _blocks(rows: DataFrame, size: int, groups: int) -> DataFrame:
 def top_k(df: DataFrame, queries: DataFrame, k: int = 5, groups: int | None = None) -> DataFrame:
     """(query_id, rank, id, score): for each row of queries its k best rows of df but its own id; ties to smaller ids.
 
-    df and queries have id and vector, as quantised() gives them. Only vectors of equal length are compared; scores
-    are exact integers while no sum reaches 2^53. Fewer than k rows are all returned. Repeated rows of df count as
-    often as they stand there; a query id that repeats is asked once. No rows give no rows.
+    df and queries have id and vector, as quantised() gives them; other columns are not read. Only vectors of equal
+    length are compared; scores are exact integers while no sum reaches 2^53. Fewer than k rows are all returned.
+    Repeated rows of df count as often as they stand there; a query id that stands there several times is asked once, with
+    the smallest of its vectors. No rows give no rows.
 
-    Queries meet candidates in a grid: candidate blocks are dealt to groups, and each query block is sent to all
-    groups, so a task holds one group of candidates and passes all query blocks of its query group over it.
+    Queries meet candidates in a grid: blocks of either are dealt to groups of about GROUP_BYTES at most, and a task has
+    one group of both.
     """
     spark = df.sparkSession
-    groups = groups or max(8, shuffle_partitions(spark))
-    queries = queries.dropDuplicates(["id"])
-    asked = staged(_blocks(queries, QUERY_ROWS, 1 << 30).withColumnRenamed("slot", "query_slot"), "queries")
-    held = _blocks(df, BLOCK_ROWS, groups)
+    df = df.select("id", "vector")
+    queries = staged(queries.groupBy("id").agg(F.min("vector").alias("vector")), "asked")
+    of = lambda rows: (rows.agg(F.sum(F.size("vector"))).first()[0] or 0) * 8 // GROUP_BYTES + 1
+    groups, query_groups = groups or max(8, shuffle_partitions(spark), of(df)), of(queries)
+    asked = staged(_blocks(queries, QUERY_ROWS, query_groups).withColumnRenamed("slot", "query_slot"), "queries")
+    held = _blocks(df, BLOCK_ROWS, groups).withColumn("query_slot", F.explode(F.sequence(F.lit(0), F.lit(query_groups - 1))))
     spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
@@ -103,8 +114,8 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, groups: int | None = No
                     best_ids, best = best_ids[order], best[order]
                 out.append((np.full(len(best), query), best_ids, best))
         cols = [np.concatenate(x) if out else np.zeros(0) for x in zip(*out)] if out else [np.zeros(0)] * 3
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.int64))})
+        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "id": pa.array(cols[1].astype(np.int64)), "score": pa.array(np.clip(cols[2], -(2.0**62), 2.0**62).astype(np.int64))})
 
-    found = spread.groupBy("width", "slot").cogroup(held.groupBy("width", "slot")).applyInArrow(search, "query_id long, id long, score long")
+    found = spread.groupBy("width", "slot", "query_slot").cogroup(held.groupBy("width", "slot", "query_slot")).applyInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

@@ -61,7 +61,8 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of each conversation, read back from its formatted text and segments; see chat.formatted."""
+    """Digests of each conversation, read back from its formatted text and segments, and whether the template's machine
+    accepts its order of roles; see chat.formatted."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
     own = literal_rows(spark, [{"conv_id": -7, "turn": i, "role": r, "text": said} for i, r in enumerate(("user", "assistant"))], "conv_id: long, turn: long, role: string, text: string")
@@ -75,6 +76,7 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss_text").cast("long").alias("loss_chars"),
         hashed(F.col("loss_text")).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
     )
 
 
@@ -186,10 +188,11 @@ with turns as (
   select conv_id, count(*)::bigint as n_turns,
          string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text) as spoken,
          coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '') as lost,
+         regexp_full_match(string_agg(case role when 'system' then 's' when 'user' then 'u' when 'assistant' then 'a' else 'x' end, '' order by turn, role, text), 's?(ua)+') as valid,
          sum(length({_ESCAPED.format("role")}) + length({_ESCAPED.format("text")}) + length('### : </turn>') + 1)::bigint as formatted_chars
   from turns group by conv_id
 )
-select conv_id, n_turns, sha256(spoken) as turns_sha256, length(lost)::bigint as loss_chars, sha256(lost) as loss_sha256, formatted_chars
+select conv_id, n_turns, sha256(spoken) as turns_sha256, length(lost)::bigint as loss_chars, sha256(lost) as loss_sha256, formatted_chars, valid
 from joined
 """
 

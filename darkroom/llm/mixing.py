@@ -57,11 +57,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", s
     more of rows in hash order while their sum stays within the target; rows of one hash value stand or fall
     together, and the hash is that of the id. A source without words has target 0 and copies 0, and so has every row of
     an empty text in effect. Null sources are one source; rows of null id share one hash. Reruns agree. Columns with
-    these names are replaced. No rows give no rows.
+    these names are replaced; all others stay, whatever they are called. Null texts have size 0, repeated rows count
+    each. No rows give no rows. Plans hold a row for each source, so sources are taken to be some thousands at most.
     """
     size = word_count(F.col("text")) if size is None else size
     docs = docs.drop("size", "source_size", "target", "copies")
-    slim = staged(docs.select(F.col(source_col).alias("source"), hash60(F.col(id_col)).alias("h"), size.alias("size")).groupBy("source", "h").agg(F.sum("size").alias("size")), "sizes")
+    slim = staged(docs.select(F.col(source_col).alias("source"), hash60(F.col(id_col)).alias("h"), size.alias("size")), "sizes")
     per_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = per_source.withColumn("copies", whole.cast("long"))
@@ -73,23 +74,27 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", s
     for level in range(HASH_BITS // LEVEL_BITS):
         keep, shift = HASH_BITS - LEVEL_BITS * level, HASH_BITS - LEVEL_BITS * (level + 1)
         inside = slim.join(bounded_broadcast(edges, few), slim["source"].eqNullSafe(edges["source"])).where(F.shiftright("h", keep) == F.col("edge"))
-        buckets = inside.groupBy(slim["source"], F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.max("left").alias("left"))
+        buckets = inside.groupBy(slim["source"], F.shiftright("h", shift).alias("bucket")).agg(F.sum("size").alias("size"), (F.max("h") - F.min("h")).alias("n"), F.max("left").alias("left"))
         upto = Window.partitionBy("source").orderBy("bucket")
         summed = buckets.withColumn("upto", F.sum("size").over(upto)).where(F.col("upto") > F.col("left"))
         first = summed.groupBy("source").agg(F.min(F.struct("bucket", (F.col("left") - (F.col("upto") - F.col("size"))).alias("left"), "n")).alias("e"))
         first = staged(first.select("source", F.col("e.bucket").alias("edge"), F.col("e.left").alias("left"), F.col("e.n").alias("n")), "edges")
         edges = first.drop("n")
-        if (first.agg(F.max("n")).first()[0] or 0) <= 1:
+        if not first.agg(F.max("n")).first()[0]:  # one hash value in each bucket that a budget ends in
             break
     # a row is under the threshold if its prefix is under the edge; at the edge nothing more fits
     last = edges.select(F.col("source").alias("edge_source"), "edge")
+    names = {n: "_" + n for n in ("of_source", "whole", "edge")}
+    while any(v in docs.columns for v in names.values()):
+        names = {n: "_" + v for n, v in names.items()}
+    of_source, whole, edge = names.values()
     rule = plan.join(last, plan["source"].eqNullSafe(last["edge_source"]), "left").select(
-        F.col("source").alias("of_source"), "source_size", "target", F.col("copies").alias("whole"), "edge"
+        F.col("source").alias(of_source), "source_size", "target", F.col("copies").alias(whole), F.col("edge").alias(edge)
     )
     rule = staged(rule, "rules")
     sized = docs.withColumn("size", size)
     taken = F.when(F.col("source_size") == 0, 0).otherwise(
-        F.col("whole") + F.coalesce(F.shiftright(hash60(F.col(id_col)), shift) < F.col("edge"), F.lit(True)).cast("long")
+        F.col(whole) + F.coalesce(F.shiftright(hash60(F.col(id_col)), shift) < F.col(edge), F.lit(True)).cast("long")
     )
-    joined = sized.join(bounded_broadcast(rule, few), sized[source_col].eqNullSafe(rule["of_source"]))
+    joined = sized.join(bounded_broadcast(rule, few), sized[source_col].eqNullSafe(rule[of_source]))
     return joined.select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("copies"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from darkroom.llm.common import literal_rows, shuffle_partitions
 
-#: Words of the inner substring; k is twice as many.
-S = 4
+#: Words of the inner substring; k is twice as many. Two of three k-mers are chosen with 2, so that texts of a few words
+#: have several anchors too.
+S = 2
 #: Words end at ASCII white space; longer runs are cut into parts of so many characters.
 UNIT = r"[^\x20\x09-\x0D]{1,16}"
 
@@ -95,7 +96,8 @@ def _bucket(value: Column, cuts: list) -> Column:
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, then=None) -> DataFrame:
     """docs (id_col, text_col) as id, text, next_id, next_text: the row that follows by descending id, the first after the last.
 
-    Null ids come last; rows of equal id follow each other by a hash of their text. Rows are dealt to buckets of
+    Null ids come last; rows of equal id follow each other by a hash of their text. Null texts count as empty, repeated rows
+    stay, other columns of docs are left out, and no rows give no rows. Rows are dealt to buckets of
     neighbouring ids, and each bucket also gets a copy of the row that follows its last. Each text is shuffled once.
     then(df, window) may add columns in the same order without another shuffle.
     """

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import json
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +30,8 @@ def power_of_two(n: int) -> int:
 
 
 def slices(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
-    """Row ranges of a batch of about `most` bytes each; a single row may be larger. Memory that Arrow holds on to
-    after a batch goes back to the system."""
+    """Row ranges of a batch of about `most` bytes each; a single row may be larger. Memory that is free after a batch
+    goes back to the system, as idle workers stay beside those of other stages."""
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and size + n > most:
@@ -39,6 +41,20 @@ def slices(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[tup
     if start < len(lengths):
         yield start, len(lengths)
     pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within it, at most so many rows go to a Python worker together: a bound on memory where rows are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(name))
+    spark.conf.set(name, min(before, most) if before > 0 else most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm import simhash
-from darkroom.llm.common import bounded_broadcast, power_of_two, shuffle_partitions, slices, staged
+from darkroom.llm.common import arrow_rows, bounded_broadcast, power_of_two, shuffle_partitions, slices, staged
 
 #: The least likeness as a fraction, so that sizes are compared in whole numbers.
 LEAST = (4, 5)
@@ -32,6 +32,8 @@ COMMON, COUNTED, MOST_COMMON = 6, 4, 500_000
 MOST_BROADCAST = 500_000
 #: Bytes of text that are read together.
 BATCH = 1 << 20
+#: Rows that go to a Python worker together.
+ROWS = 1000
 #: An entry of a bucket as it is sent.
 ENTRY = np.dtype([("shingle", "<i8"), ("key", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
@@ -240,6 +242,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     sets have a Jaccard likeness of LEAST or more. Words are lower-cased; a short text is one shingle, and a null or
     empty one has none and the fingerprint 0. Repeated rows stay, other columns are not read, no rows give no rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    prints = _prints(rows, width, seed)
-    nodes = simhash.nodes_of(prints)
-    return simhash.labelled(prints.select("id", "fp"), nodes, simhash.links(nodes, threshold).unionByName(links(rows, prints, width, seed)))
+    with arrow_rows(docs.sparkSession, ROWS):
+        prints = _prints(rows, width, seed)
+        nodes = simhash.nodes_of(prints)
+        return simhash.labelled(prints.select("id", "fp"), nodes, simhash.links(nodes, threshold).unionByName(links(rows, prints, width, seed)))

@@ -60,7 +60,7 @@ def cosine(a: Column, b: Column, least_norm: float = 1e-12, truncate: bool = Fal
 
 
 def within_window(a: Column, b: Column, seconds: int) -> Column:
-    return F.abs(F.unix_timestamp(a) - F.unix_timestamp(b)) <= seconds
+    return F.abs(F.unix_micros(a) - F.unix_micros(b)) <= seconds * 1_000_000
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:

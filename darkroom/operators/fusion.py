@@ -113,13 +113,13 @@ def has_backup() -> Column:
 def fused(assets: DataFrame, weights: Weights = Weights()) -> DataFrame:
     """assets with junk, miss, aesthetic, reasons and should_queue; earlier ones of these columns are replaced.
 
-    Scores are the largest effect, not a sum. Favourites and hidden assets get junk 0, miss 0, aesthetic 1, no
+    Scores are the largest effect, not a sum, and at most 1. Favourites and hidden assets get junk 0, miss 0, aesthetic 1, no
     reasons and are not queued. Missing parts of the features fire no rule.
     """
     w = weights
     df = assets.drop("junk", "miss", "aesthetic", "reasons", "should_queue").withColumn("_top", top_similarity(F.col("features.embedding.junk_similarities")))
     rules = signal_rules(w)
-    score = lambda name: at_least(*[F.when(r.holds(), r.effect) for r in rules if r.score == name])
+    score = lambda name: clamp(at_least(*[F.when(r.holds(), r.effect) for r in rules if r.score == name]))
     df = df.withColumns({"_junk": score("junk"), "_miss": score("miss"), "_aesthetic": aesthetic(w), "_reasons": F.filter(F.array(*[r.reason() for r in rules]), lambda r: r.isNotNull())})
     junk, miss = thresholds(w)
     near = (F.col("_junk") >= f32(w.junk_queue_threshold) - f32(BACKUP_SLACK)) | (F.col("_miss") >= f32(w.miss_queue_threshold) - f32(BACKUP_SLACK)) | (F.size("_reasons") > 0)

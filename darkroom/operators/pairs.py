@@ -22,18 +22,18 @@ class ClusterConfig:
 def band_pairs(df: DataFrame, time_col: str, seconds: int, id_col: str = "id", suffixes: tuple[str, str] = ("_a", "_b")) -> DataFrame:
     """All pairs of rows at most `seconds` apart, each once, the earlier (then smaller id) first.
 
-    Each row meets the rows of its bucket and the one before in an equi-join, so no row is compared with all. Rows
-    without a time pair with none. Columns come twice, with suffixes.
+    Times count to the microsecond. Each row meets the rows of its bucket and the one before in an equi-join, so no row
+    is compared with all. Rows without a time pair with none. Columns come twice, with suffixes; gap is in whole seconds.
     """
-    at = F.unix_timestamp(time_col)
-    width = max(1, seconds)
+    at = F.unix_micros(time_col)
+    limit, width = seconds * 1_000_000, max(1, seconds) * 1_000_000
     df = df.where(F.col(time_col).isNotNull())
     left = df.select(*[F.col(c).alias(c + suffixes[0]) for c in df.columns], at.alias("_ta"), F.floor(at / width).alias("_bucket"))
     right = df.select(*[F.col(c).alias(c + suffixes[1]) for c in df.columns], at.alias("_tb"), F.explode(F.array(F.floor(at / width), F.floor(at / width) - 1)).alias("_bucket"))
     a, b = id_col + suffixes[0], id_col + suffixes[1]
     gap = F.col("_tb") - F.col("_ta")
-    joined = left.join(right, "_bucket").where((gap <= seconds) & ((gap > 0) | ((gap == 0) & (F.col(a) < F.col(b)))))
-    return joined.withColumn("gap", gap.cast("long")).drop("_ta", "_tb", "_bucket")
+    joined = left.join(right, "_bucket").where((gap <= limit) & ((gap > 0) | ((gap == 0) & (F.col(a) < F.col(b)))))
+    return joined.withColumn("gap", F.floor(gap / 1_000_000).cast("long")).drop("_ta", "_tb", "_bucket")
 
 
 def near_place(metres: float | None) -> Column:
@@ -81,5 +81,6 @@ def clusters(df: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFram
 def sessions(df: DataFrame, time_col: str, seconds: int, by: str | None = None) -> DataFrame:
     """df with session: how many gaps of more than `seconds` lie before a row, in each group of `by`."""
     w = Window.partitionBy(by if by else F.lit(0)).orderBy(time_col)
-    new = F.coalesce(F.unix_timestamp(time_col) - F.lag(F.unix_timestamp(time_col)).over(w) > seconds, F.lit(True)).cast("int")
+    at = F.unix_micros(time_col)
+    new = F.coalesce(at - F.lag(at).over(w) > seconds * 1_000_000, F.lit(True)).cast("int")
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

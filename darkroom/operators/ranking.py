@@ -9,8 +9,8 @@ from darkroom.functions.scalars import clamp, f32, ratio, rounded_text
 
 
 def composite() -> Column:
-    """aesthetic, face quality and sharpness less misses; unknown parts count 0.5."""
-    face = F.when(F.coalesce(F.col("features.face.face_count") > 0, F.lit(False)), F.col("features.face.avg_capture_quality")).otherwise(f32(0.5))
+    """aesthetic, face quality and sharpness (both within 0 and 1) less misses; unknown parts count 0.5."""
+    face = F.when(F.coalesce(F.col("features.face.face_count") > 0, F.lit(False)), clamp(F.col("features.face.avg_capture_quality"))).otherwise(f32(0.5))
     sharp = F.when(F.col("features.pixel").isNotNull(), clamp(ratio(F.col("features.pixel.blur_variance"), f32(200)))).otherwise(f32(0.5))
     return F.col("aesthetic") * f32(0.45) + face * f32(0.20) + sharp * f32(0.20) - F.col("miss") * f32(0.35)
 

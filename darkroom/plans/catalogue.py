@@ -92,7 +92,7 @@ _RANKED = """ranked as (
     select m.cluster_id, m.pos, f.*, f.aesthetic * 0.45::float + (case when f.face_count > 0 then f.face_quality else 0.5::float end) * 0.20::float + f.sharp * 0.20::float - f.miss * 0.35::float as rank_score
     from members m join fused f on f.id = m.id)
 ), rank_of as (select *, first_value(id) over w as best_id, first_value(rank_score) over w - rank_score as rank_delta from ranked window w as (partition by cluster_id order by rank_no))"""
-_DECISIONS = "decisions as (select 'a'||event_id as asset_id, case when event_type in ('purchase', 'click') then 'keep' when event_type = 'error' then 'toss' else 'skip' end as decision from events where event_id % 5 = 0)"
+_DECISIONS = "decisions as (select 'a'||event_id as asset_id, case when event_type in ('purchase', 'click') then 'keep' when event_type = 'error' then 'toss' else 'skip' end as decision from events)"
 _QUEUE = f"""queue as (
   select f.id, f.byte_size, f.pixel_width * f.pixel_height as area, f.secondary_backup_label, r.cluster_id, r.rank_no, r.best_id, f.kinds, f.miss,
    case when r.rank_no > 1 then greatest(f.junk, 0.6::float) else f.junk end as junk
@@ -125,7 +125,7 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("purchase", "click"), "keep").when(F.col("event_type") == "error", "toss").otherwise("skip")
-    return _table(spark, sf_dir, "events").where("event_id % 5 = 0").select(F.concat(F.lit("a"), F.col("event_id")).alias("asset_id"), kind.alias("decision"))
+    return _table(spark, sf_dir, "events").select(F.concat(F.lit("a"), F.col("event_id")).alias("asset_id"), kind.alias("decision"))
 
 
 def _kinds(reasons="reasons"):

@@ -89,7 +89,11 @@ def _unsigned(x: int) -> Column:
 def features_from_json(text: Column) -> Column:
     """Features from their JSON text; null, malformed or incomplete parts give null structs, never structs of defaults."""
     kind = T._parse_datatype_string(FEATURES)
-    raw = F.from_json(text, _raw(kind))
+    return F.element_at(F.transform(F.array(F.from_json(text, _raw(kind))), lambda raw: _from_raw(raw, kind)), 1)
+
+
+def _from_raw(raw: Column, kind: T.StructType) -> Column:
+    """Features from what their JSON text holds; a lambda's variable, so that the text is parsed once."""
     parts = []
     for part in kind.fields:
         fields = []

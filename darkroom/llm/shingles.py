@@ -4,9 +4,10 @@ All shingles of the corpus have one order. Two sets whose likeness reaches the l
 first few of both, whatever the order. So only those few meet, in buckets of one shingle. The order is by hash, with
 shingles that many texts hold at the end, so that a common passage brings no pairs by itself.
 
-What is asked for are groups, not pairs. So each bucket has a pivot, the set with the fewest shingles of its own, which
-the others are compared with first. Sets that are like the same pivot are in one group already and are not compared
-with each other: a group of copies of one text costs one comparison a copy. All other sets of a bucket still are.
+What is asked for are groups, not pairs. So each bucket has a pivot, the set whose first shingles most others share (the
+text that others are copies of), which the others are compared with first. Sets that are linked then, by whatever
+way, are not compared with each other: a group of copies of one text costs about one comparison a copy. All other sets
+of a bucket still are, so no group is missed.
 """
 
 from __future__ import annotations
@@ -22,12 +23,13 @@ from pyspark.sql import functions as F
 
 from darkroom.llm import simhash
 from darkroom.llm.common import arrow_rows, bounded_broadcast, power_of_two, shuffle_partitions, slices, staged
+from darkroom.operators.components import components
 
 #: The least likeness as a fraction, so that sizes are compared in whole numbers.
 LEAST = (4, 5)
 #: A shingle is common if it is among the first of more than this many texts of one part in COUNTED, by a hash. At
 #: most so many, the commonest, are put last: the order only decides how many sets are compared, not which are found.
-COMMON, COUNTED, MOST_COMMON = 6, 4, 500_000
+COMMON, COUNTED, MOST_COMMON = 6, 4, 200_000
 #: Ids that are broadcast at most; more are joined by shuffling.
 MOST_BROADCAST = 500_000
 #: Bytes of text that are read together.
@@ -211,20 +213,19 @@ def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFram
     same = keyed.where(F.size("every") > 1).select(F.col("first").alias("a"), F.explode("every").alias("b")).where("a <> b")
 
     found = _buckets(rows, _common(prints), width, seed)
-    own = (1 - F.count("*").over(Window.partitionBy("key")) / (F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1)).alias("own")
-    ranked = staged(found.select("*", own), "ranked")
+    sizes = found.groupBy("shingle").agg(F.count("*").alias("held"))
+    first_n = F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1
+    own = (-F.sum("held").over(Window.partitionBy("key")) / first_n).alias("own")
+    ranked = staged(found.join(sizes.hint("merge"), "shingle").select(*found.columns, own), "ranked")
     pivots = ranked.groupBy("shingle").agg(F.min(F.struct("own", "key", "n", "place")).alias("p"))
     met = ranked.join(pivots.hint("merge"), "shingle")
-    met = staged(met.select("shingle", "key", "n", "place", F.col("p.own").alias("p_own"), F.col("p.key").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "met")
+    met = staged(met.select("shingle", "key", "n", "place", F.col("p.key").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "met")
     first = met.where((F.col("key") != F.col("pivot")) & _able(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
-    first = staged(first.groupBy(F.col("key").alias("x"), F.col("pivot").alias("y")).agg(F.min("p_own").alias("p_own")), "first")
+    near = _alike(staged(first.select(F.col("key").alias("x"), F.col("pivot").alias("y")).distinct(), "first"), rows, prints, width, seed)
+    label = staged(components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
 
-    near = _alike(first.select("x", "y"), rows, prints, width, seed)
-    label = near.join(first.hint("merge"), ["x", "y"]).groupBy("x").agg(F.min(F.struct("p_own", "y"))["y"].alias("label"))
-    label = staged(label, "labels")
-
-    of = met.join(label.withColumnRenamed("x", "key").hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    of = of.join(label.select(F.col("x").alias("pivot"), F.col("label").alias("p_label")).hint("merge"), "pivot", "left").withColumn("p_label", F.coalesce("p_label", "pivot"))
+    of = met.join(label.select(F.col("node").alias("key"), F.col("root").alias("label")).hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
+    of = of.join(label.select(F.col("node").alias("pivot"), F.col("root").alias("p_label")).hint("merge"), "pivot", "left").withColumn("p_label", F.coalesce("p_label", "pivot"))
     of = staged(of.select("shingle", "key", "n", "place", "label", "pivot", (F.col("label") != F.col("p_label")).alias("out")), "labelled")
     x, y = (of.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place", "label", "pivot", "out")]) for side in "xy")
     left = x.where("x_out").join(y.where("y_key <> y_pivot").hint("merge"), "shingle").where("x_key <> x_pivot and x_label <> y_label and (not y_out or x_key < y_key)")

@@ -36,6 +36,8 @@ MOST_BROADCAST = 500_000
 BATCH = 1 << 20
 #: Rows that go to a Python worker together.
 ROWS = 1000
+#: Words of 64 bits of a set's sketch: a bit is set where a shingle of the set has its number.
+SKETCH = 8
 #: An entry of a bucket as it is sent.
 ENTRY = np.dtype([("shingle", "<i8"), ("key", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
@@ -56,18 +58,25 @@ def _read(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[
             yield some, hashes, [x.view(np.int64) for x in sets], keys
 
 
+def _sketch(shingles: np.ndarray) -> np.ndarray:
+    held = np.zeros(SKETCH * 64, dtype=bool)
+    held[(shingles.view(np.uint64) >> np.uint64(20)) % np.uint64(SKETCH * 64)] = True
+    return np.packbits(held, bitorder="little").view("<i8")
+
+
 def _prints(rows: DataFrame, width: int, seed: int) -> DataFrame:
-    """(id, fp, key, n, firsts): fingerprint, hash and size of the set of each row; of the sets that are counted, also
-    twice as many first shingles as meet others, since others move up where common ones are put last."""
+    """(id, fp, key, n, bits, firsts): fingerprint, and hash, size and sketch of the set of each row; of the sets that are
+    counted, also twice as many first shingles as meet others, since others move up where common ones are put last."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, hashes, sets, keys in _read(batches, width, seed):
             fps = np.array([simhash.majority(x) for x in hashes], dtype=np.uint64).view(np.int64)
             ns = np.array([len(x) for x in sets], dtype=np.int32)
             firsts = [np.sort(x)[: 2 * _first(len(x))].tobytes() if key % COUNTED == 0 else None for x, key in zip(sets, keys.tolist())]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps), pa.array(keys), pa.array(ns), pa.array(firsts, pa.binary())], names=["id", "fp", "key", "n", "firsts"])
+            bits = pa.array([_sketch(x).tolist() for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps), pa.array(keys), pa.array(ns), bits, pa.array(firsts, pa.binary())], names=["id", "fp", "key", "n", "bits", "firsts"])
 
-    return staged(rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, fp long, key long, n int, firsts binary"), "prints", "uncompressed")
+    return staged(rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, fp long, key long, n int, bits array<long>, firsts binary"), "prints", "uncompressed")
 
 
 def _common(prints: DataFrame) -> np.ndarray:
@@ -207,6 +216,14 @@ def _able(x_n: Column, x_place: Column, y_n: Column, y_place: Column) -> Column:
     return (p + q) * F.least(x_n - x_place, y_n - y_place) >= p * (x_n + y_n)
 
 
+def _overlapping(x_n: Column, x_bits: Column, y_n: Column, y_bits: Column) -> Column:
+    """Whether two sets may be like enough by their sketches: each bit of one that the other lacks is a shingle that the
+    other lacks."""
+    p, q = LEAST
+    lacks = lambda a, b: sum((F.bit_count(a[i].bitwiseAND(F.bitwise_not(b[i]))) for i in range(SKETCH)), F.lit(0))
+    return (p + q) * F.least(x_n - lacks(x_bits, y_bits), y_n - lacks(y_bits, x_bits)) >= p * (x_n + y_n)
+
+
 def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFrame:
     """(a, b): fingerprints of pairs of texts that are like enough; all groups of such texts are connected by them."""
     keyed = staged(prints.select("key", "fp").distinct().groupBy("key").agg(F.min("fp").alias("first"), F.collect_set("fp").alias("every")), "keys")
@@ -227,9 +244,13 @@ def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFram
     of = met.join(label.select(F.col("node").alias("key"), F.col("root").alias("label")).hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
     of = of.join(label.select(F.col("node").alias("pivot"), F.col("root").alias("p_label")).hint("merge"), "pivot", "left").withColumn("p_label", F.coalesce("p_label", "pivot"))
     of = staged(of.select("shingle", "key", "n", "place", "label", "pivot", (F.col("label") != F.col("p_label")).alias("out")), "labelled")
-    x, y = (of.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place", "label", "pivot", "out")]) for side in "xy")
-    left = x.where("x_out").join(y.where("y_key <> y_pivot").hint("merge"), "shingle").where("x_key <> x_pivot and x_label <> y_label and (not y_out or x_key < y_key)")
-    left = left.where(_able(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place")))
+    open_ = of.where("out").select("shingle").distinct()
+    marks = prints.groupBy("key").agg(F.first("bits").alias("bits"))
+    of = staged(of.join(open_.hint("merge"), "shingle", "left_semi").join(marks.hint("merge"), "key"), "open")
+    x, y = (of.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place", "label", "pivot", "out", "bits")]) for side in "xy")
+    able = (F.col("x_label") != F.col("y_label")) & (~F.col("y_out") | (F.col("x_key") < F.col("y_key"))) & _able(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"))
+    able = able & _overlapping(F.col("x_n"), F.col("x_bits"), F.col("y_n"), F.col("y_bits"))
+    left = x.where("x_out and x_key <> x_pivot").join(y.where("y_key <> y_pivot").withColumnRenamed("shingle", "_shingle").hint("merge"), (F.col("shingle") == F.col("_shingle")) & able)
     left = left.select(F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y")).distinct()
     like = near.unionByName(_alike(staged(left, "left"), rows, prints, width, seed))
 

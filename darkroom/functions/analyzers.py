@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.scalars import cosine, f32, keyword_hits
 
+MOST_PROMPTS = 10_000
 BLINK_EAR, YAW, PITCH, MOUTH_OPEN = 0.18, 0.35, 0.45, 0.55
 
 #: Prompts of utility shots; the first eight are the built-in ones.
@@ -110,9 +112,25 @@ def builtin_prompts(spark: SparkSession, count: int = 8) -> DataFrame:
     return prompts_from_lines(rows)
 
 
+def read_prompts(spark: SparkSession, path: str | None) -> DataFrame:
+    """(label, vector) from a JSON file that holds an array of them; the built-in ones where there is no such file, or
+    it holds none."""
+    if path is not None:
+        try:
+            found = spark.read.schema("label string, vector array<float>").option("multiLine", True).json(path).where("label is not null and vector is not null")
+            if found.limit(1).count():
+                return found
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return builtin_prompts(spark)
+
+
 def zero_shot(assets: DataFrame, prompts: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, similarities: array<struct<label, similarity>>) in label order. prompts (label, vector) must be few, as a
-    prompt file is; they are joined to each row as one literal-sized array."""
+    prompt file is; they are joined to each row as one array, and more than MOST_PROMPTS are refused."""
+    if (n := prompts.limit(MOST_PROMPTS + 1).count()) > MOST_PROMPTS:
+        raise ValueError(f"more than {MOST_PROMPTS} prompts ({n})")
     few = prompts.agg(F.sort_array(F.collect_list(F.struct("label", "vector"))).alias("prompts"))
     similar = F.transform("prompts", lambda p: F.struct(p["label"].alias("label"), cosine(F.col(vector_col), p["vector"], 1e-9, True).cast("float").alias("similarity")))
     return assets.select(id_col, vector_col).crossJoin(F.broadcast(few)).select(id_col, similar.alias("similarities"))

@@ -25,58 +25,119 @@ def _filter(size: int, to: int) -> np.ndarray:
     return weight / weight.sum(axis=1, keepdims=True)
 
 
-def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    if image.shape[:2] == (height, width):
-        return image
-    out = np.einsum("yh,hwc,xw->yxc", _filter(image.shape[0], height), image.astype(np.float64), _filter(image.shape[1], width), optimize=True)
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+def resized(images: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Images (n, height, width, channels) of another size."""
+    if images.shape[1:3] == (height, width):
+        return images
+    down, across = _filter(images.shape[1], height), _filter(images.shape[2], width)
+    wide = np.tensordot(down, images.astype(np.float64), axes=(1, 1))  # (y, n, x, channel)
+    out = np.tensordot(across, wide, axes=(1, 2))  # (x, y, n, channel)
+    return np.clip(np.rint(out), 0, 255).astype(np.uint8).transpose(2, 1, 0, 3)
 
 
-def laplacian_variance(grey: np.ndarray) -> float:
-    if min(grey.shape) < 3:
-        return 0.0
-    g = grey.astype(np.float64)
-    v = g[:-2, 1:-1] + g[2:, 1:-1] + g[1:-1, :-2] + g[1:-1, 2:] - 4 * g[1:-1, 1:-1]
-    return float((v * v).mean() - v.mean() ** 2)
+def fitted(width: int, height: int, most: int) -> tuple[int, int]:
+    """The size of an image whose longest side is at most `most`: sides keep their ratio, and none grows."""
+    scale = min(1.0, most / max(width, height))
+    return max(1, round(width * scale)), max(1, round(height * scale))
 
 
-def exposure(grey: np.ndarray) -> tuple[float, float, float, float]:
-    """(mean, dark share, bright share, share of the commonest value)."""
-    if not grey.size:
-        return 0.0, 0.0, 0.0, 1.0
-    bins = np.bincount(grey.ravel(), minlength=256)
-    return float(bins @ np.arange(256) / grey.size), bins[:16].sum() / grey.size, bins[240:].sum() / grey.size, bins.max() / grey.size
+def thumbnail(width: int, height: int, data: bytes, most: int) -> tuple[int, int, bytes]:
+    """(width, height, buffer) of an RGBA buffer shrunk to `most` pixels at its longest side."""
+    w, h = fitted(width, height, most)
+    image = np.frombuffer(data, dtype=np.uint8, count=width * height * 4).reshape(1, height, width, 4)
+    return w, h, np.ascontiguousarray(resized(image, w, h)[0]).tobytes()
 
 
-def difference_hash(image: np.ndarray) -> int:
-    small = luma(resized(image, 9, 8)).astype(np.int16)
-    bits = (small[:, :-1] > small[:, 1:]).ravel()
-    value = sum(1 << i for i in np.nonzero(bits)[0].tolist())
-    return value - (1 << 64) if value >> 63 else value
+def laplacian_variance(grey: np.ndarray) -> np.ndarray:
+    """Of images (n, height, width): population variances of the interior's Laplacian; 0 without an interior."""
+    if min(grey.shape[1:]) < 3:
+        return np.zeros(len(grey))
+    g = grey.astype(np.int32)
+    v = (g[:, :-2, 1:-1] + g[:, 2:, 1:-1] + g[:, 1:-1, :-2] + g[:, 1:-1, 2:] - 4 * g[:, 1:-1, 1:-1]).reshape(len(g), -1)
+    return (v.astype(np.float64) ** 2).mean(axis=1) - v.mean(axis=1) ** 2
 
 
-def analyze(width: int | None, height: int | None, data: bytes | None) -> dict:
-    """All signals of one image; a buffer that is too short, or no size, gives nulls and an error."""
-    empty = dict.fromkeys(("blur_variance", "dark_fraction", "bright_fraction", "mean_luminance", "dhash", "is_pocket_shot", "uniformity"))
-    if not width or not height or width < 0 or height < 0:
-        return empty | {"error": "invalid dimensions"}
-    if data is None or len(data) < width * height * 4:
-        return empty | {"error": "buffer too short"}
-    image = np.frombuffer(data, dtype=np.uint8, count=width * height * 4).reshape(height, width, 4)
-    grey = luma(resized(image, 256, 256))
+def exposure(grey: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(mean, dark share, bright share, share of the commonest value) of images (n, height, width)."""
+    n, size = len(grey), grey.shape[1] * grey.shape[2]
+    at = grey.reshape(n, -1).astype(np.int64) + np.arange(n)[:, None] * 256
+    bins = np.bincount(at.ravel(), minlength=n * 256).reshape(n, 256)
+    return bins @ np.arange(256) / size, bins[:, :16].sum(axis=1) / size, bins[:, 240:].sum(axis=1) / size, bins.max(axis=1) / size
+
+
+def difference_hash(images: np.ndarray) -> np.ndarray:
+    """64 bits of each image as a signed number: bit 8 y + x is set where a place is brighter than the one to its right."""
+    small = luma(resized(images, 9, 8)).astype(np.int16)
+    bits = (small[:, :, :-1] > small[:, :, 1:]).reshape(len(images), 64)
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8").ravel()
+
+
+COLUMNS = ("blur_variance", "dark_fraction", "bright_fraction", "mean_luminance", "dhash", "is_pocket_shot", "uniformity", "error")
+#: Bytes of images that are worked on together.
+IMAGE_BYTES = 16 << 20
+
+
+def analyze_all(width: int, height: int, data: list[bytes]) -> dict[str, np.ndarray]:
+    """The signals of images of one size."""
+    images = np.stack([np.frombuffer(x, dtype=np.uint8, count=width * height * 4) for x in data]).reshape(-1, height, width, 4)
+    grey = luma(resized(images, 256, 256))
     blur = laplacian_variance(grey)
     mean, dark, bright, uniform = exposure(grey)
-    pocket = uniform > 0.92 or (dark > 0.85 and blur < 20)
-    return {"blur_variance": blur, "dark_fraction": dark, "bright_fraction": bright, "mean_luminance": mean, "dhash": difference_hash(image), "is_pocket_shot": bool(pocket), "uniformity": uniform, "error": None}
+    pocket = (uniform > 0.92) | ((dark > 0.85) & (blur < 20))
+    return dict(zip(COLUMNS, (blur, dark, bright, mean, difference_hash(images), pocket, uniform)))
+
+
+def problem(width: int | None, height: int | None, data: bytes | None) -> str | None:
+    """Why an image has no signals."""
+    if not width or not height or width < 0 or height < 0:
+        return "invalid dimensions"
+    return "buffer too short" if data is None or len(data) < width * height * 4 else None
+
+
+def analyze(width: int | None, height: int | None, data: bytes | None) -> dict:
+    """All signals of one image; a buffer that is too short, or no size, gives nulls and an error."""
+    if said := problem(width, height, data):
+        return dict.fromkeys(COLUMNS) | {"error": said}
+    return {k: v[0].item() for k, v in analyze_all(width, height, [data]).items()} | {"error": None}
 
 
 def signals(width: Column, height: Column, data: Column) -> Column:
-    """The signals of RGBA buffers as a struct with an error field."""
+    """The signals of RGBA buffers as a struct with an error field; images of one size are worked on together."""
 
     @F.pandas_udf(SIGNALS)
     def of(w: pd.Series, h: pd.Series, d: pd.Series) -> pd.DataFrame:
-        none = lambda x: None if pd.isna(x) else int(x)
-        return pd.DataFrame([analyze(none(a), none(b), c) for a, b, c in zip(w, h, d)], columns=["blur_variance", "dark_fraction", "bright_fraction", "mean_luminance", "dhash", "is_pocket_shot", "uniformity", "error"])
+        out = pd.DataFrame(dict.fromkeys(COLUMNS), index=range(len(d)), dtype=object)
+        groups: dict[tuple[int, int], list[int]] = {}
+        for i, (a, b, c) in enumerate(zip(w, h, d)):
+            a, b = (None if pd.isna(x) else int(x) for x in (a, b))
+            if said := problem(a, b, c):
+                out.at[i, "error"] = said
+            else:
+                groups.setdefault((a, b), []).append(i)
+        for (a, b), rows in groups.items():
+            step = max(1, IMAGE_BYTES // (8 * 4 * max(a * b, 256 * 256)))
+            for k in range(0, len(rows), step):
+                some = rows[k : k + step]
+                for name, values in analyze_all(a, b, [d[i] for i in some]).items():
+                    out.loc[some, name] = values.tolist()
+        return out
+
+    return of(width, height, data)
+
+
+def dhash(width: Column, height: Column, data: Column) -> Column:
+    """The difference hash of RGBA buffers alone; null where a buffer is too short or has no size."""
+
+    @F.pandas_udf("long")
+    def of(w: pd.Series, h: pd.Series, d: pd.Series) -> pd.Series:
+        found: list[int | None] = []
+        for a, b, c in zip(w, h, d):
+            a, b = (None if pd.isna(x) else int(x) for x in (a, b))
+            if problem(a, b, c):
+                found.append(None)
+            else:
+                found.append(int(difference_hash(np.frombuffer(c, dtype=np.uint8, count=a * b * 4).reshape(1, b, a, 4))[0]))
+        return pd.Series(found, dtype="Int64")
 
     return of(width, height, data)
 

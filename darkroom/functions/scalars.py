@@ -87,6 +87,16 @@ def locally_available(primary: Column, every: Column) -> Column:
     return F.when(F.size(primary) > 0, F.forall(primary, lambda x: x)).when(F.size(every) > 0, F.forall(every, lambda x: x)).otherwise(F.lit(True))
 
 
+def is_burst(represents: Column, burst_id: Column) -> Column:
+    """Whether a shot belongs to a burst: it stands for one, or names one."""
+    return F.coalesce(represents, F.lit(False)) | burst_id.isNotNull()
+
+
+def created(at: Column) -> Column:
+    """A missing date is the distant past: the first day of year 1."""
+    return F.coalesce(at, F.lit("0001-01-01 00:00:00").cast("timestamp"))
+
+
 def backup_label(*parts: Column) -> Column:
     return F.nullif(F.concat_ws(" + ", *parts), F.lit(""))
 

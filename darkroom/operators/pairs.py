@@ -48,19 +48,23 @@ def same_burst() -> Column:
     return F.coalesce((F.col("burst_id_a") == F.col("burst_id_b")) & (F.col("burst_id_a") != ""), F.lit(False))
 
 
-def similar(config: ClusterConfig, vectors: bool) -> Column:
-    close = F.coalesce(hamming(F.col("dhash_a"), F.col("dhash_b")) <= config.hamming, F.lit(False))
-    if not vectors:
-        return close
-    return close | F.coalesce(cosine(F.col("vector_a"), F.col("vector_b")) >= config.cosine, F.lit(False))
+def similar(config: ClusterConfig) -> Column:
+    return F.coalesce(hamming(F.col("dhash_a"), F.col("dhash_b")) <= config.hamming, F.lit(False))
 
 
 def links(df: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
     """(id_a, id_b) of rows that belong together. df has id, created_at, latitude, longitude, burst_id, dhash and
-    optionally vector."""
-    kept = [c for c in ("id", "created_at", "latitude", "longitude", "burst_id", "dhash", "vector") if c in df.columns]
-    pairs = band_pairs(df.select(*kept), "created_at", config.seconds)
-    return pairs.where(near_place(config.metres) & (same_burst() | similar(config, "vector" in kept))).select("id_a", "id_b", "gap")
+    optionally vector. Vectors meet only for near pairs that neither burst nor hash links."""
+    pairs = band_pairs(df.select("id", "created_at", "latitude", "longitude", "burst_id", "dhash"), "created_at", config.seconds)
+    pairs = pairs.where(near_place(config.metres)).select("id_a", "id_b", "gap", (same_burst() | similar(config)).alias("linked"))
+    sure = pairs.where("linked").select("id_a", "id_b", "gap")
+    if "vector" not in df.columns:
+        return sure
+    own = df.where("vector is not null")
+    both = pairs.where("not linked").join(own.select(F.col("id").alias("id_a"), F.col("vector").alias("vector_a")), "id_a")
+    both = both.join(own.select(F.col("id").alias("id_b"), F.col("vector").alias("vector_b")), "id_b")
+    close = F.coalesce(cosine(F.col("vector_a"), F.col("vector_b")) >= config.cosine, F.lit(False))
+    return sure.unionByName(both.where(close).select("id_a", "id_b", "gap"))
 
 
 def clusters(df: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:

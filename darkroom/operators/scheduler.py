@@ -71,6 +71,20 @@ def next_batch(assets: DataFrame, state: SchedulerState, vlm: bool = False) -> D
     return out.withColumn("_low", lowest).where("tier = _low").drop("_low")
 
 
+def reachable(batch: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of a batch whose id is among the live ones, and the missing ones."""
+    ids = live.select("id").distinct()
+    return batch.join(ids, "id", "left_semi"), batch.join(ids, "id", "left_anti")
+
+
+def pruned(assets: DataFrame, live: DataFrame) -> DataFrame:
+    """assets with the pending ones (below tier 2) that live (id) no longer holds hidden and marked done."""
+    gone = reachable(assets.where("tier_completed < 2"), live)[1].select("id", F.lit(True).alias("_gone"))
+    lost = F.coalesce("_gone", F.lit(False))
+    df = assets.join(gone, "id", "left").withColumns({"is_hidden": F.col("is_hidden") | lost, "tier_completed": F.when(lost, 2).otherwise(F.col("tier_completed"))})
+    return df.select(*assets.columns)
+
+
 def device_fold(log: DataFrame, group: str = "device_id", seq: str = "seq") -> DataFrame:
     """log (device, seq, thermal) with batch_size and paused after each row, by windows alone.
 

@@ -16,6 +16,7 @@ from darkroom.plans.engine import enumerate_assets, numbered
 from darkroom.sources import adapter, schema, store
 from darkroom.sources.adapter import SQL as ASSETS
 from darkroom.sources.staging import staged
+from darkroom.sources.weights import Weights
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -78,9 +79,12 @@ _FUSED = f"""{ASSETS}, fired as (
 _CHORD = "(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2))"
 _HAVERSINE = f"12742000.0 * asin(sqrt(case when {_CHORD} > 1 then 1 else {_CHORD} end))"
 _BAND = "epoch(b.created_at) - epoch(a.created_at) <= 30 and (b.created_at > a.created_at or (b.created_at = a.created_at and a.id < b.id))"
-_LINKS = f"""links as (
-  select a.id as id_a, b.id as id_b from assets a join assets b on a.created_at <= b.created_at and b.created_at <= a.created_at + interval 30 second and {_BAND}
-  where coalesce({_HAVERSINE} <= 50.0, true) and ((a.burst_id = b.burst_id and a.burst_id <> '') or bit_count(xor(a.dhash, b.dhash)) <= 10)
+_LINKS = f"""vectors as (
+  select a.*, e.embedding::double[] as vector from assets a cross join (select count(*) as k from embeddings) c left join embeddings e on e.vec_id = a.seq % c.k
+), links as (
+  select a.id as id_a, b.id as id_b from vectors a join vectors b on a.created_at <= b.created_at and b.created_at <= a.created_at + interval 30 second and {_BAND}
+  where coalesce({_HAVERSINE} <= 50.0, true) and ((a.burst_id = b.burst_id and a.burst_id <> '') or bit_count(xor(a.dhash, b.dhash)) <= 10
+    or coalesce(list_cosine_similarity(a.vector, b.vector) >= 0.88, false))
 ), both_ways as (select id_a as x, id_b as y from links union all select id_b, id_a from links),
 reach(x, r) as (select distinct x, x from both_ways union select e.y, q.r from reach q join both_ways e on q.x = e.x),
 members as (
@@ -114,7 +118,8 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.clusters(adapter.flat_assets(spark, sf_dir).select("id", "created_at", "latitude", "longitude", "burst_id", "dhash"))
+    flat = adapter.flat_assets(spark, sf_dir).select("id", "created_at", "latitude", "longitude", "burst_id", "dhash", "seq")
+    return pairs.clusters(adapter.with_vectors(flat, spark, sf_dir))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -589,15 +594,128 @@ def q46(spark, sf_dir):
 @_query("q47_prune", f"with {ASSETS} select id, (is_hidden or (tier_completed < 2 and seq % 11 = 0)) as is_hidden, case when tier_completed < 2 and seq % 11 = 0 then 2 else tier_completed end as tier_completed from assets")
 def q47(spark, sf_dir):
     flat = adapter.flat_assets(spark, sf_dir)
-    live = flat.where("seq % 11 <> 0").select("id")
-    gone = flat.where("tier_completed < 2").join(live, "id", "left_anti").select("id", F.lit(True).alias("gone"))
-    lost = F.coalesce("gone", F.lit(False))
-    return flat.join(gone, "id", "left").select("id", (F.col("is_hidden") | lost).alias("is_hidden"), F.when(lost, 2).otherwise(F.col("tier_completed")).alias("tier_completed"))
+    return scheduler.pruned(flat, flat.where("seq % 11 <> 0").select("id")).select("id", "is_hidden", "tier_completed")
+
+
+def _grey(value):
+    """A pixel's four bytes in hex from its grey value."""
+    h = F.lpad(F.hex(value), 2, "0")
+    return F.concat(h, h, h, F.lit("FF"))
 
 
 @_query("q48_pixel_signals")
 def q48(spark, sf_dir):
-    """Signals of an image of one colour for each event type, by the Arrow UDF."""
+    """Signals of an image of one colour for each event, by the Arrow UDF; q49 and q50 have images with structure."""
     e = _table(spark, sf_dir, "events").select(F.col("event_id"), F.lpad(F.hex(F.col("event_id") % 256), 2, "0").alias("h"))
     image = F.unhex(F.repeat(F.concat("h", "h", "h", F.lit("FF")), 64))
     return e.select("event_id", pixels.signals(F.lit(8), F.lit(8), image).alias("s")).select("event_id", "s.*")
+
+
+@_query(
+    "q49_dhash",
+    """with c as (select event_id, y, x, (event_id * 37 + (9 * y + x) * (9 * y + x) * 11 + event_id * (9 * y + x)) % 256 as g from events, range(8) r(y), range(9) s(x)),
+    bits as (select a.event_id, 8 * a.y + a.x as place from c a join c b on a.event_id = b.event_id and a.y = b.y and b.x = a.x + 1 where a.g > b.g)
+    select e.event_id, coalesce(b.h, 0)::bigint as dhash from events e left join
+      (select event_id, sum(case when place = 63 then -9223372036854775808::hugeint else (1::bigint << place::int)::hugeint end) as h from bits group by event_id) b on e.event_id = b.event_id""",
+)
+def q49(spark, sf_dir):
+    """Difference hashes of images that have their size, 9 x 8, already."""
+    n = F.col("event_id")
+    cells = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: _grey((n * 37 + i * i * 11 + n * i) % 256))
+    image = F.unhex(F.array_join(cells, ""))
+    return _table(spark, sf_dir, "events").select("event_id", image.alias("image")).select("event_id", pixels.dhash(F.lit(9), F.lit(8), F.col("image")).alias("dhash"))
+
+
+_BIG = """seeds as (select event_id // 2500 as image, sum(event_id)::bigint as n from events group by 1),
+ big as (select image, p // 256 as y, p % 256 as x, ((n % 251) * (p // 256) + (p % 256) * (p % 256) + (p // 256 // 16) * (p % 256 // 16) * (n % 7) * 40) % 256 as r, (n + p) % 256 as g, (p // 64) % 256 as b from seeds, range(65536) t(p)),
+ luma as (select image, y, x, (299 * r + 587 * g + 114 * b) // 1000 as l from big)"""
+
+
+@_query(
+    "q50_thumbnail_signals",
+    f"""with {_BIG}, around as (select image, l, (lag(l) over r + lead(l) over r + lag(l) over c + lead(l) over c - 4 * l)::double as v from luma
+      window r as (partition by image, y order by x), c as (partition by image, x order by y)),
+    blur as (select image, avg(v * v) - avg(v) * avg(v) as blur from around group by image),
+    bins as (select image, l, count(*) as c from luma group by 1, 2),
+    e as (select image, sum(l * c) / sum(c) as mean, sum(case when l < 16 then c else 0 end) / sum(c) as dark, sum(case when l >= 240 then c else 0 end) / sum(c) as bright, max(c) / sum(c) as uniformity from bins group by image)
+    select image, round(blur, 0) as blur, round(mean, 3) as mean, round(dark, 4) as dark, round(bright, 4) as bright, round(uniformity, 4) as uniformity,
+      uniformity > 0.92 or (dark > 0.85 and blur < 20) as pocket from e join blur using (image)""",
+)
+def q50(spark, sf_dir):
+    """All signals of 256 x 256 colour images, one for each 2500 events, by the Arrow UDF."""
+    seeds = _table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 2500).alias("image")).agg(F.sum("event_id").alias("n"))
+    n, byte = F.col("n"), lambda v: F.lpad(F.hex(v % 256), 2, "0")
+
+    def pixel(p):
+        y, x = F.floor(p / 256), p % 256
+        r = (n % 251) * y + x * x + F.floor(y / 16) * F.floor(x / 16) * (n % 7) * 40
+        return F.concat(byte(r), byte(n + p), byte(F.floor(p / 64)), F.lit("FF"))
+
+    image = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(65535)), pixel), ""))
+    s = seeds.select("image", image.alias("d")).select("image", pixels.signals(F.lit(256), F.lit(256), F.col("d")).alias("s"))
+    return s.select(
+        "image", _round(F.col("s.blur_variance"), 0).alias("blur"), _round(F.col("s.mean_luminance"), 3).alias("mean"), _round(F.col("s.dark_fraction")).alias("dark"),
+        _round(F.col("s.bright_fraction")).alias("bright"), _round(F.col("s.uniformity")).alias("uniformity"), F.col("s.is_pocket_shot").alias("pocket"),
+    )
+
+
+_ODD = """odd as (select event_id as n, (((event_id * 7) % 140)::double / 100 - 0.2)::float as sim, 'p' || event_id % 8 as label, event_id % 5 = 0 as ephemeral, 'cat' || event_id % 3 as category,
+ 'r' || event_id % 4 as reason, (((event_id * 11) % 150)::double / 100)::float as conf, (((event_id * 3) % 100)::double / 100)::float as placed, (((event_id * 9) % 150)::double / 100)::float as coverage,
+ event_id % 6 = 0 as cropped, event_id % 10 = 0 as blink, event_id % 4 = 0 as mouth, (((event_id * 29) % 300)::double / 100)::float as quality, (((event_id * 31) % 100)::double / 10)::float as raw from events)"""
+
+
+@_query(
+    "q51_model_rules",
+    f"""with {_ODD}, e as (select *, sim > 0.28::float as utility, least(0.65::float * greatest(least(sim, 1::float), 0::float), 0.95::float) as likely, 0.90::float * least(conf, 1::float) as sure,
+      case when raw > 1.5::float then (raw - 1::float) / 9::float else least(raw, 1::float) end as model, (placed * 0.6::float + least(coverage, 1::float) * 0.4::float) * case when cropped then 0.7::float else 1::float end as composed from odd)
+    select 'a' || n as id, round(greatest(case when utility then likely else 0::float end, case when ephemeral then sure else 0::float end)::double, 4) as junk,
+      case when blink then 1.0 when mouth then 0.4 else 0.0 end::double as miss,
+      round(least(0.35::float + (0.5::float + model * 0.55::float + composed * 0.15::float + least(quality, 1::float) * 0.10::float - 0.5::float) / 0.8::float * 0.65::float, 1::float)::double, 3) as aesthetic,
+      concat_ws(';', case when utility then 'UtilityJunk|Looks like: ' || label end, case when ephemeral then 'VlmEphemeral|' || category || ' — ' || reason end,
+        case when blink then 'Blink|2 face(s) mid-blink' end, case when mouth then 'MouthOpen|Mouth open / mid-chew (experimental)' end) as reasons from e""",
+)
+def q51(spark, sf_dir):
+    """Fusion of what models say, with the mouth rule on and a weight above 1: scores stay within 0 and 1."""
+    n, f = F.col("event_id"), lambda x: x.cast("double").cast("float")
+    pick = lambda k, m, d, less=0.0: f((n * k) % m / F.lit(float(d)) - less)
+    text = lambda t, m: F.concat(F.lit(t), (n % m).cast("string"))
+    flag = lambda m: n % m == 0
+    kind = schema.FEATURES
+    features = F.struct(
+        F.lit(None).cast("struct<blur_variance: float, dark_fraction: float, bright_fraction: float, mean_luminance: float, dhash: bigint, is_pocket_shot: boolean, uniformity: float>").alias("pixel"),
+        F.struct(
+            F.lit(1).alias("face_count"), pick(29, 300, 100).alias("avg_capture_quality"), F.lit(2).alias("blink_count"), F.lit(0).alias("looking_away_count"), F.lit(0).alias("mouth_open_count"),
+            flag(10).alias("any_blink"), F.lit(False).alias("any_looking_away"), flag(4).alias("any_mouth_open"),
+        ).alias("face"),
+        F.lit(None).cast("struct<has_dense_text: boolean, has_barcode: boolean, has_document: boolean, text_block_count: int, utility_keyword_hits: int>").alias("text"),
+        F.struct(pick(3, 100, 100).alias("subject_placement"), pick(9, 150, 100).alias("subject_coverage"), flag(6).alias("cropped_subject")).alias("composition"),
+        F.struct(F.lit(None).cast("array<float>").alias("embedding"), pick(31, 100, 10).alias("aesthetic_raw"), F.array(F.struct(text("p", 8).alias("label"), pick(7, 140, 100, 0.2).alias("similarity"))).alias("junk_similarities")).alias("embedding"),
+        F.struct(text("cat", 3).alias("category"), flag(5).alias("ephemeral"), text("r", 4).alias("reason"), pick(11, 150, 100).alias("confidence")).alias("vlm"),
+    ).cast(kind)
+    rows = adapter.flat_assets(spark, sf_dir).withColumn("event_id", F.col("seq"))
+    plain = rows.select("id", features.alias("features"), F.lit(False).alias("is_favorite"), F.lit(False).alias("is_hidden"), F.lit(False).alias("is_screenshot"), F.lit(True).alias("is_locally_available"), F.lit(None).cast("string").alias("secondary_backup_label"))
+    out = fusion.fused(plain, Weights(experimental_mouth=True, blink_miss=1.5))
+    said = F.array_join(F.transform("reasons", lambda r: F.concat(r["kind"], F.lit("|"), r["detail"])), ";")
+    return out.select("id", _round(F.col("junk")).alias("junk"), _round(F.col("miss")).alias("miss"), _round(F.col("aesthetic"), 3).alias("aesthetic"), said.alias("reasons"))
+
+
+@_query(
+    "q52_row_rules",
+    """with e as (select event_id as n, event_id % 101 as j, event_id % 97 as m, event_id % 89 as a from events)
+    select n as event_id, 'junk ' || j || '% · miss ' || m || '% · aesthetic ' || a || '%' as badge, case when n % 3 <> 0 then n % 2 = 0 when n % 6 <> 0 then n % 5 = 0 else true end as local,
+      n % 2 = 0 as intact, n % 4 <> 0 and n % 10 > 5 as document, n % 7 = 0 or n % 9 = 0 as burst, case when n % 8 = 0 then 1 else 2024 end::int as year from e""",
+)
+def q52(spark, sf_dir):
+    n = F.col("event_id")
+    part = lambda m: (n % m).cast("float") / scalars.f32(100)
+    none = F.array().cast("array<boolean>")
+    data = F.concat(F.lit("x"), n.cast("string")).cast("binary")
+    return _table(spark, sf_dir, "events").select(
+        "event_id",
+        scalars.score_badge(part(101), part(97), part(89)).alias("badge"),
+        scalars.locally_available(F.when(n % 3 != 0, F.array(n % 2 == 0, F.lit(True))).otherwise(none), F.when(n % 6 != 0, F.array(n % 5 == 0)).otherwise(none)).alias("local"),
+        scalars.checksum_matches(data, F.when(n % 2 == 0, F.upper(F.sha2(data, 256))).otherwise(F.lit("bad"))).alias("intact"),
+        analyzers.document_flag(F.when(n % 4 != 0, F.array((n % 10) / 10)).otherwise(F.array().cast("array<double>"))).alias("document"),
+        scalars.is_burst(F.when(n % 7 == 0, F.lit(True)), F.when(n % 9 == 0, F.lit("b"))).alias("burst"),
+        F.year(scalars.created(F.when(n % 8 != 0, F.lit("2024-05-01 00:00:00").cast("timestamp")))).alias("year"),
+    )

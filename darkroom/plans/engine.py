@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.operators import fusion, pairs, queue, ranking, scheduler
+from darkroom.sources.staging import staged
 from darkroom.sources.store import Store
 from darkroom.sources.weights import Weights
 
@@ -21,6 +23,7 @@ class Engine:
         self.labels: list[str] = []
         self.pending: list[dict] = []
         self.history: list[tuple[str, str]] = []
+        self.deleted_count = self.freed_bytes = 0
         self.state = scheduler.SchedulerState(**self.store.get_state("scheduler", scheduler.SchedulerState().as_dict()))
 
     def set_review_category_labels(self, labels: list[str]) -> None:
@@ -89,11 +92,13 @@ class Engine:
         return ids
 
     def commit_deletes(self) -> tuple[int, int]:
-        """(count, bytes) of the staged tosses, which become tombstones; they are drained after the write."""
+        """(count, bytes) of the staged tosses, which become tombstones; they are drained after the write, and the
+        session's totals grow by them."""
         ids, size = self.staged_toss_ids(), self.staged_bytes()
         if ids:
             self.store.delete(self.spark.createDataFrame([(x,) for x in ids], "id string"))
             self.take_tossed()
+            self.deleted_count, self.freed_bytes = self.deleted_count + len(ids), self.freed_bytes + size
         return len(ids), size
 
     def set_change_token(self, token: str) -> None:
@@ -130,10 +135,43 @@ class Engine:
 
     def prune(self, live: DataFrame) -> None:
         """Hides pending assets (below tier 2) that live (id) no longer holds, and marks them done."""
-        gone = self.store.assets().where("tier_completed < 2").join(live.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("_gone"))
-        df = self.store.assets().join(gone, "id", "left")
-        lost = F.coalesce("_gone", F.lit(False))
-        self.store.replace(df.withColumn("is_hidden", F.col("is_hidden") | lost).withColumn("tier_completed", F.when(lost, 2).otherwise(F.col("tier_completed"))))
+        self.store.replace(scheduler.pruned(self.store.assets(), live))
+
+    def lookup(self, ids: DataFrame) -> DataFrame:
+        """The stored assets of ids (id), of which unknown ones are left out."""
+        return self.store.assets().join(ids.select("id").distinct(), "id", "left_semi")
+
+    def asset(self, id: str) -> dict | None:
+        rows = self.store.assets().where(F.col("id") == id).limit(1).collect()
+        return rows[0].asDict(True) if rows else None
+
+    def run_cascade(self, analyze: Callable[[DataFrame, int], DataFrame], live: DataFrame | None = None, most: int = 500, power: str = "battery", ram_gb: int = 8) -> int:
+        """Batches of the lowest tier that has work, analysed and saved one after the other, until `most` assets are
+        done, nothing is pending or heat pauses; the number of assets done.
+
+        analyze(rows, tier) gives rows with their features. What it leaves out, or live no longer holds, is set aside for
+        this run, so that no batch comes twice. The ids set aside are at most those of the run's batches.
+        """
+        done, aside = 0, set()
+        while done < most and not self.state.paused:
+            open_rows = self.store.assets()
+            if aside:
+                open_rows = open_rows.join(self.spark.createDataFrame([(x,) for x in aside], "id string"), "id", "left_anti")
+            batch = scheduler.next_batch(open_rows, self.state, self.state.can_run_vlm(power, ram_gb)).orderBy("position").limit(most - done).collect()
+            if not batch:
+                break
+            tier, ids = batch[0]["tier"], [r["id"] for r in batch]
+            rows = self.lookup(self.spark.createDataFrame([(x,) for x in ids], "id string"))
+            if live is not None:
+                rows = scheduler.reachable(rows, live)[0]
+            found = staged(analyze(rows, tier), "analysed")
+            saved = [r["id"] for r in found.select("id").collect()]
+            if saved:
+                self.save_fused(found, tier)
+                self.record_batch_progress(tier, len(saved), ids[-1])
+            aside |= set(ids) if tier == 3 else set(ids) - set(saved)
+            done += len(ids)
+        return done
 
 
 def enumerate_assets(assets: DataFrame, limit: int | None = None) -> DataFrame:

@@ -38,6 +38,12 @@ def flat_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.selectExpr(*columns).withColumn("is_pocket_shot", pocket)
 
 
+def with_vectors(flat: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """flat with vector, the embedding of row number seq modulo their count."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("_v"), F.col("embedding").alias("vector"))
+    return flat.withColumn("_v", F.col("seq") % F.lit(vectors.count())).join(vectors, "_v", "left").drop("_v")
+
+
 def _split(text: str) -> list[str]:
     """A select list at its top-level commas."""
     out, depth, start = [], 0, 0

@@ -13,7 +13,7 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +21,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import shuffle_partitions, slices
+from darkroom.llm.common import giving_back, shuffle_partitions, slices
 
 #: Characters of an unsplit run that are encoded at once.
 LEAF = 2048
 #: Characters of a text from which its pieces are spread over tasks, and of a piece.
 LONG, PIECE = 1 << 18, 1 << 15
 #: Bytes of text that are encoded together.
-BATCH = 4 << 20
+BATCH = 1 << 20
 #: Bytes of what an encoder remembers, about, in each of two generations; what an entry takes besides its word and ids;
 #: the longest word that is remembered; and slots that tell which words it has met.
 REMEMBERED, ENTRY, LONGEST, MET = 20 << 20, 160, 64, 1 << 22
@@ -126,22 +126,25 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import json
-
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        self.suffix = spec["model"].get("end_of_word_suffix") or ""
-        spec["model"]["end_of_word_suffix"] = None
-        self.unended = Tokenizer.from_str(json.dumps(spec))
-        self.added = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.path, self.suffix = path, self.tokenizer.model.end_of_word_suffix or ""
+        self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tokens = np.array([self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))], dtype=object)
         self.known = Remembered(self.word, "<u4")
 
+    @cached_property
+    def unended(self):
+        """The tokenizer without the mark of a word's end; only parts of long runs need it, so it is loaded for them."""
+        from tokenizers import Tokenizer
+
+        unended = Tokenizer.from_file(self.path)
+        unended.model.end_of_word_suffix = None
+        return unended
+
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of whole texts end to end, their number by text); null texts count as empty."""
         self.known.turn()
@@ -273,6 +276,7 @@ def encoded(docs: DataFrame, tokenizer_path: str, text_col: str = "text", prefix
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     names = (f"{prefix}ids", f"{prefix}decoded")
 
+    @giving_back
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         at = None

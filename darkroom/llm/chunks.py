@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import power_of_two, shuffle_partitions, slices, staged
+from darkroom.llm.common import giving_back, power_of_two, shuffle_partitions, slices, staged
 
 CHUNK_BYTES = 1 << 20
 #: Of the payloads' compression: they are written once and shuffled twice.
@@ -39,6 +39,7 @@ def unpack(payload: bytes) -> pa.Table:
 def chunked(df: DataFrame, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(chunk_id, payload): all rows and columns of df; chunk_id is unique within the table."""
 
+    @giving_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk = TaskContext.get().partitionId() << 32
         for batch in batches:
@@ -80,6 +81,7 @@ def repeated(
     kind = np.dtype("<u4" if width == 4 else "<u8")
     down = np.uint64(32 - bits) if width == 4 else np.uint64(0)
 
+    @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

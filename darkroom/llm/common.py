@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -29,9 +29,26 @@ def power_of_two(n: int) -> int:
     return 1 << max(0, (int(n) - 1).bit_length())
 
 
+def give_back() -> None:
+    """Gives memory that is free back to the system, as idle workers stay beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def giving_back(of: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The function of batches, after which a worker gives back what it took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from of(batches)
+        give_back()
+
+    return run
+
+
 def slices(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[tuple[int, int]]:
     """Row ranges of a batch of about `most` bytes each; a single row may be larger. Memory that is free after a batch
-    goes back to the system, as idle workers stay beside those of other stages."""
+    goes back to the system."""
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and size + n > most:
@@ -40,9 +57,7 @@ def slices(batch: pa.RecordBatch, lengths: list[int], most: int) -> Iterator[tup
         size += n
     if start < len(lengths):
         yield start, len(lengths)
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
+    give_back()
 
 
 @contextmanager

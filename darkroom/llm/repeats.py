@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from darkroom.llm.chunks import CHUNK_BYTES, chunked, hit_mask, repeated, unpack
-from darkroom.llm.common import power_of_two, shuffle_partitions
+from darkroom.llm.common import giving_back, power_of_two, shuffle_partitions
 
 #: Fixed value: an odd multiplier for polynomial hashes modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
@@ -102,6 +102,7 @@ def without_repeats(docs: DataFrame, text_col: str = "text", window: int = 35, c
     block_hits = repeated(chunks, blocks, 4, 1 << bits)
     window_hits = repeated(chunks.join(block_hits, "chunk_id"), candidates, 8, 1 << bits)
 
+    @giving_back
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):

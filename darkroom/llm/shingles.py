@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm import simhash
-from darkroom.llm.common import arrow_rows, bounded_broadcast, power_of_two, shuffle_partitions, slices, staged
+from darkroom.llm.common import arrow_rows, bounded_broadcast, giving_back, power_of_two, shuffle_partitions, slices, staged
 from darkroom.operators.components import components
 
 #: The least likeness as a fraction, so that sizes are compared in whole numbers.
@@ -68,6 +68,7 @@ def _prints(rows: DataFrame, width: int, seed: int) -> DataFrame:
     """(id, fp, key, n, bits, firsts): fingerprint, and hash, size and sketch of the set of each row; of the sets that are
     counted, also twice as many first shingles as meet others, since others move up where common ones are put last."""
 
+    @giving_back
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some, hashes, sets, keys in _read(batches, width, seed):
             fps = np.array([simhash.majority(x) for x in hashes], dtype=np.uint64).view(np.int64)
@@ -83,6 +84,7 @@ def _common(prints: DataFrame) -> np.ndarray:
     """Shingles that many texts have among their first, ascending. They are counted in parts of the hash space."""
     parts = power_of_two(max(64, shuffle_partitions(prints.sparkSession)))
 
+    @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype="<i8")
@@ -133,6 +135,7 @@ def _buckets(rows: DataFrame, common: np.ndarray, width: int, seed: int) -> Data
     """
     parts = power_of_two(4 * max(64, shuffle_partitions(rows.sparkSession)))
 
+    @giving_back
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn = TaskContext.get().partitionId() * 7919
         for _, _, sets, keys in _read(batches, width, seed):
@@ -180,6 +183,7 @@ def _held(rows: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, seed
     if ids.where("id is null").limit(1).count():
         some = some.unionByName(rows.where("id is null"))
 
+    @giving_back
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sets, keys in _read(batches, width, seed):
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([np.sort(x.view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in sets], pa.binary())], names=["key", "tokens"])
@@ -194,6 +198,7 @@ def _alike(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int, see
     held = _held(rows, prints, pairs, width, seed)
     p, q = LEAST
 
+    @giving_back
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []

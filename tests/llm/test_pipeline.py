@@ -92,3 +92,56 @@ def test_near_copies_are_all_found(spark):
     docs = spark.createDataFrame([(i, x, "en", "s", len(x or "")) for i, x in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     left = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
     assert sorted(r.doc_id for r in left.collect()) == [i for i, f in enumerate(first) if i == f] and far > 40
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_stages_with_near_copies_by_likeness(spark, tmp_path):
+    """As test_stages, but near copies are texts of a Jaccard likeness of 0.8 or more on five words, or of SimHash
+    fingerprints within two bits; the stages after it run on what that leaves."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs, kept = spark.read.parquet(f"{SF}/documents.parquet"), []
+    for name, stage in corpus_pipeline.STAGES:
+        kept.append(docs.collect())
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+    _, good, single, cut, mix = kept
+    out = docs.collect()
+
+    sets = {r.doc_id: set(map(int, simhash.shingles_of(r.text, 5, 42))) for r in good}
+    prints = {r.doc_id: simhash.fingerprint_of(r.text, 5, 42) for r in good}
+    links = [
+        (a, b) for a in sets for b in sets
+        if a < b and (5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) or bin(prints[a] ^ prints[b]).count("1") <= 2)
+    ]
+    first = {d: d for d in sets}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in links:
+            low = min(first[a], first[b])
+            changed |= first[a] != low or first[b] != low
+            first[a] = first[b] = low
+    assert sorted(r.doc_id for r in single) == sorted(d for d in first if first[d] == d) and len(single) < len(good)
+
+    words = {r.doc_id: r.text.encode().split() for r in single}
+    count = collections.Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    want = {}
+    for r in single:
+        w = words[r.doc_id]
+        gone = {j for i in range(len(w) - 34) if count[tuple(w[i : i + 35])] > 1 for j in range(i, i + 35)}
+        if not gone or len(gone) < len(w):
+            want[r.doc_id] = b" ".join(x for j, x in enumerate(w) if j not in gone).decode() if gone else r.text
+    assert {r.doc_id: r.text for r in cut} == want and all(r.n_chars == len(r.text) for r in cut)
+
+    times = collections.Counter(r.doc_id for r in mix)
+    size = {r.doc_id: len(r.text.encode().split()) for r in cut}
+    assert set(times) <= set(size) and max(times.values()) <= 3
+    assert abs(sum(size[d] * n for d, n in times.items()) - sum(size.values())) <= 20 * max(size.values())
+
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert collections.Counter(r.doc_id for r in out) == times
+    for r in out:
+        ids = tk.encode(r.text, add_special_tokens=False).ids
+        assert np.frombuffer(r.ids, dtype="<u4").tolist() == ids and r.decoded == tk.decode(ids, skip_special_tokens=False)

@@ -80,3 +80,16 @@ def literal_rows(spark: SparkSession, rows: list[dict], fields: str) -> DataFram
 def bounded_broadcast(df: DataFrame, rows: int, most: int = 100_000) -> DataFrame:
     """Broadcasts df when its counted rows stay under a bound; else it is joined by shuffling."""
     return F.broadcast(df) if rows <= most else df
+
+
+def joined_by_count(rows: DataFrame, found: DataFrame, key: str, held: str, total: int, how: str = "inner") -> DataFrame:
+    """rows with the other columns of found by a key that stands there once, where its column `held` says how many rows have
+    it, of `total` rows.
+
+    Keys of more than a fair share of the rows, of which there are 4 a partition at most, are broadcast, so that their rows
+    stay where they are. All other keys are joined by shuffling. how is inner or left.
+    """
+    fair = total // (4 * shuffle_partitions(rows.sparkSession))
+    hot = F.broadcast(found.where(F.col(held) > fair).drop(held))
+    rest = found.where(F.col(held) <= fair).drop(held)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest.hint("merge"), key, how))

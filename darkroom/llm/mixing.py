@@ -50,19 +50,21 @@ def targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
     return rated.withColumn("final", final).select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.col("final")).alias("target"))
 
 
-def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, cycle: int = 3, most: int = 3) -> DataFrame:
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", size: Column | None = None, cycle: int = 3, most: int = 3, text_col: str = "text") -> DataFrame:
     """All rows and columns of docs with size, source_size, target and copies (how often the mix takes the row).
 
-    size is a column expression, by default the words of `text`. A source takes whole copies of all its rows, then one
-    more of rows in hash order while their sum stays within the target; rows of one hash value stand or fall
-    together, and the hash is that of the id. A source without words has target 0 and copies 0, and so has every row of
-    an empty text in effect. Null sources are one source; rows of null id share one hash. Reruns agree. Columns with
+    size is a column expression, by default the words of the text. A source takes whole copies of all its rows, then one
+    more of rows in hash order while their sum stays within the target. The hash is that of id and text, so rows
+    that agree in one of them, such as those of a null id, are drawn apart; rows that agree in both stand or fall
+    together. A source without words has target 0 and copies 0, and so has every row of an empty text in effect. Null
+    sources are one source. Reruns agree. Columns with
     these names are replaced; all others stay, whatever they are called. Null texts have size 0, repeated rows count
     each. No rows give no rows. Plans hold a row for each source, so sources are taken to be some thousands at most.
     """
-    size = word_count(F.col("text")) if size is None else size
+    size = word_count(F.col(text_col)) if size is None else size
+    key = hash60(F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, text_col)]) if text_col in docs.columns else F.col(id_col))
     docs = docs.drop("size", "source_size", "target", "copies")
-    slim = staged(docs.select(F.col(source_col).alias("source"), hash60(F.col(id_col)).alias("h"), size.alias("size")), "sizes")
+    slim = staged(docs.select(F.col(source_col).alias("source"), key.alias("h"), size.alias("size")), "sizes")
     per_source = targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), cycle, most)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
     plan = per_source.withColumn("copies", whole.cast("long"))
@@ -94,7 +96,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", s
     rule = staged(rule, "rules")
     sized = docs.withColumn("size", size)
     taken = F.when(F.col("source_size") == 0, 0).otherwise(
-        F.col(whole) + F.coalesce(F.shiftright(hash60(F.col(id_col)), shift) < F.col(edge), F.lit(True)).cast("long")
+        F.col(whole) + F.coalesce(F.shiftright(key, shift) < F.col(edge), F.lit(True)).cast("long")
     )
     joined = sized.join(bounded_broadcast(rule, few), sized[source_col].eqNullSafe(rule[of_source]))
     return joined.select(*docs.columns, "size", "source_size", "target", taken.cast("long").alias("copies"))

@@ -138,7 +138,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = min(1.0, MOST_LABELLED / max(1, known.count()))
     if share < 1:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = _with_statistics(docs, id_col, text_col).join(known.hint("merge"), "id").select((F.crc32(F.col("id").cast("string")) % 3 == 0).cast("int").alias("half"), "stats", "y", F.pmod(F.xxhash64("id"), F.lit(PARTIAL_SUMS)).cast("int").alias("slot"))
+    # statistics are those of labelled rows only: their ids, at most MOST_LABELLED, are sent to the documents
+    some = docs.withColumn(id_col, F.col(id_col).cast("long")).join(F.broadcast(known.select(F.col("id").alias(id_col)).distinct()), id_col, "left_semi")
+    rows = _with_statistics(some, id_col, text_col).join(F.broadcast(known), "id").select((F.crc32(F.col("id").cast("string")) % 3 == 0).cast("int").alias("half"), "stats", "y", F.pmod(F.xxhash64("id"), F.lit(PARTIAL_SUMS)).cast("int").alias("slot"))
     rows = staged(rows.repartition(PARTIAL_SUMS, "slot"), "statistics")
 
     sums = rows.select("half", *[F.col("stats")[k].alias(f"s{k}") for k in range(STATISTICS)]).agg(F.count("*"), *[f(f"s{k}") for k in range(STATISTICS) for f in (F.avg, F.stddev_pop)]).first()

@@ -209,7 +209,7 @@ _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 _OP1 = rf"""
 with sized as (
   select doc_id, source, len({_WORDS})::bigint as size,
-         ('0x' || substr(md5(coalesce(doc_id::varchar, '')), 1, 15))::bigint as h
+         ('0x' || substr(md5(coalesce(doc_id::varchar, '') || coalesce(text, '')), 1, 15))::bigint as h
   from documents
 ), per_source as (
   select source, sum(size)::bigint as source_size,

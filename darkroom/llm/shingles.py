@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.llm import simhash
-from darkroom.llm.common import arrow_rows, bounded_broadcast, giving_back, power_of_two, shuffle_partitions, slices, staged
+from darkroom.llm.common import arrow_rows, bounded_broadcast, giving_back, joined_by_count, power_of_two, shuffle_partitions, slices, staged
 from darkroom.operators.components import components
 
 #: The least likeness as a fraction, so that sizes are compared in whole numbers.
@@ -38,6 +38,8 @@ BATCH = 1 << 20
 ROWS = 1000
 #: Words of 64 bits of a set's sketch: a bit is set where a shingle of the set has its number.
 SKETCH = 8
+#: Fixed value: the seed of Spark's xxhash64(), which a null leaves as it is.
+SEED = 42
 #: An entry of a bucket as it is sent.
 ENTRY = np.dtype([("shingle", "<i8"), ("key", "<i8"), ("n", "<i4"), ("place", "<i4")])
 
@@ -65,7 +67,7 @@ def _sketch(shingles: np.ndarray) -> np.ndarray:
 
 
 def _prints(rows: DataFrame, width: int, seed: int) -> DataFrame:
-    """(id, fp, key, n, bits, firsts): fingerprint, and hash, size and sketch of the set of each row; of the sets that are
+    """(id, hash, fp, key, n, bits, firsts): hash of the text, fingerprint, and hash, size and sketch of the set of each row; of the sets that are
     counted, also twice as many first shingles as meet others, since others move up where common ones are put last."""
 
     @giving_back
@@ -73,11 +75,12 @@ def _prints(rows: DataFrame, width: int, seed: int) -> DataFrame:
         for some, hashes, sets, keys in _read(batches, width, seed):
             fps = np.array([simhash.majority(x) for x in hashes], dtype=np.uint64).view(np.int64)
             ns = np.array([len(x) for x in sets], dtype=np.int32)
+            own = np.array([SEED if text is None else simhash.digest(text.encode("utf-8", "surrogatepass"), SEED) for text in some.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             firsts = [np.sort(x)[: 2 * _first(len(x))].tobytes() if key % COUNTED == 0 else None for x, key in zip(sets, keys.tolist())]
             bits = pa.array([_sketch(x).tolist() for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(fps), pa.array(keys), pa.array(ns), bits, pa.array(firsts, pa.binary())], names=["id", "fp", "key", "n", "bits", "firsts"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(own), pa.array(fps), pa.array(keys), pa.array(ns), bits, pa.array(firsts, pa.binary())], names=["id", "hash", "fp", "key", "n", "bits", "firsts"])
 
-    return staged(rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, fp long, key long, n int, bits array<long>, firsts binary"), "prints", "uncompressed")
+    return staged(rows.mapInArrow(of, f"id {rows.schema['id'].dataType.simpleString()}, hash long, fp long, key long, n int, bits array<long>, firsts binary"), "prints", "uncompressed")
 
 
 def _common(prints: DataFrame) -> np.ndarray:
@@ -235,23 +238,28 @@ def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFram
     same = keyed.where(F.size("every") > 1).select(F.col("first").alias("a"), F.explode("every").alias("b")).where("a <> b")
 
     found = _buckets(rows, _common(prints), width, seed)
-    sizes = found.groupBy("shingle").agg(F.count("*").alias("held"))
+    entries = found.count()
+    sizes = staged(found.groupBy("shingle").agg(F.count("*").alias("held")), "sizes")
     first_n = F.col("n") - F.ceil(F.col("n") * LEAST[0] / LEAST[1]) + 1
-    own = (-F.sum("held").over(Window.partitionBy("key")) / first_n).alias("own")
-    ranked = staged(found.join(sizes.hint("merge"), "shingle").select(*found.columns, own), "ranked")
-    pivots = ranked.groupBy("shingle").agg(F.min(F.struct("own", "key", "n", "place")).alias("p"))
-    met = ranked.join(pivots.hint("merge"), "shingle")
-    met = staged(met.select("shingle", "key", "n", "place", F.col("p.key").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place")), "met")
+    own = (-F.sum("_held").over(Window.partitionBy("key")) / first_n).alias("own")
+    counted = sizes.withColumn("_held", F.col("held"))
+    ranked = staged(joined_by_count(found, counted, "shingle", "held", entries).select(*found.columns, own), "ranked")
+    pivots = ranked.groupBy("shingle").agg(F.min(F.struct("own", "key", "n", "place")).alias("p"), F.count("*").alias("held"))
+    pivots = staged(pivots.select("shingle", F.col("p.key").alias("pivot"), F.col("p.n").alias("p_n"), F.col("p.place").alias("p_place"), "held"), "pivots")
+    met = staged(joined_by_count(ranked.drop("own"), pivots, "shingle", "held", entries), "met")
     first = met.where((F.col("key") != F.col("pivot")) & _able(F.col("n"), F.col("place"), F.col("p_n"), F.col("p_place")))
     near = _alike(staged(first.select(F.col("key").alias("x"), F.col("pivot").alias("y")).distinct(), "first"), rows, prints, width, seed)
     label = staged(components(near.select(F.col("x").alias("a"), F.col("y").alias("b"))), "labels")
 
+    # a pivot may be that of many entries, but of no more shingles than its own
+    p_label = pivots.join(label.select(F.col("node").alias("pivot"), F.col("root").alias("p_label")).hint("merge"), "pivot", "left")
+    p_label = staged(p_label.select("shingle", F.coalesce("p_label", "pivot").alias("p_label"), "held"), "pivots")
     of = met.join(label.select(F.col("node").alias("key"), F.col("root").alias("label")).hint("merge"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    of = of.join(label.select(F.col("node").alias("pivot"), F.col("root").alias("p_label")).hint("merge"), "pivot", "left").withColumn("p_label", F.coalesce("p_label", "pivot"))
+    of = joined_by_count(staged(of, "named"), p_label, "shingle", "held", entries)
     of = staged(of.select("shingle", "key", "n", "place", "label", "pivot", (F.col("label") != F.col("p_label")).alias("out")), "labelled")
-    open_ = of.where("out").select("shingle").distinct()
+    open_ = of.groupBy("shingle").agg(F.count("*").alias("held"), F.bool_or("out").alias("any")).where("any").select("shingle", "held")
     marks = prints.groupBy("key").agg(F.first("bits").alias("bits"))
-    of = staged(of.join(open_.hint("merge"), "shingle", "left_semi").join(marks.hint("merge"), "key"), "open")
+    of = staged(joined_by_count(of, staged(open_, "buckets"), "shingle", "held", entries).join(marks.hint("merge"), "key"), "open")
     x, y = (of.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place", "label", "pivot", "out", "bits")]) for side in "xy")
     able = (F.col("x_label") != F.col("y_label")) & (~F.col("y_out") | (F.col("x_key") < F.col("y_key"))) & _able(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"))
     able = able & _overlapping(F.col("x_n"), F.col("x_bits"), F.col("y_n"), F.col("y_bits"))
@@ -265,11 +273,12 @@ def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFram
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, seed: int = 42, threshold: int = 2) -> DataFrame:
-    """(id, fp, component_id) as simhash.near_duplicates gives them, with links also between all texts whose shingle
-    sets have a Jaccard likeness of LEAST or more. Words are lower-cased; a short text is one shingle, and a null or
+    """(id, hash, fp, component_id, root) per row: as simhash.near_duplicates, with links also between all texts whose shingle
+    sets have a Jaccard likeness of LEAST or more. hash is Spark's xxhash64 of the text, root the same for all rows of a
+    component, also where ids repeat. Words are lower-cased; a short text is one shingle, and a null or
     empty one has none and the fingerprint 0. Repeated rows stay, other columns are not read, no rows give no rows."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     with arrow_rows(docs.sparkSession, ROWS):
         prints = _prints(rows, width, seed)
         nodes = simhash.nodes_of(prints)
-        return simhash.labelled(prints.select("id", "fp"), nodes, simhash.links(nodes, threshold).unionByName(links(rows, prints, width, seed)))
+        return simhash.labelled(prints.select("id", "hash", "fp"), nodes, simhash.links(nodes, threshold).unionByName(links(rows, prints, width, seed)))

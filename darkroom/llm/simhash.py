@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import staged
+from darkroom.llm.common import joined_by_count, staged
 from darkroom.operators.components import components
 
 #: Fixed value: generator polynomial of the perfect binary Golay code of length 23 and radius 3,
@@ -181,19 +181,24 @@ def near_duplicates(
     """
     ids = staged(docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), width, seed).alias("fp")), "fingerprints")
     nodes = nodes_of(ids)
-    return labelled(ids, nodes, links(nodes, threshold))
+    return labelled(ids, nodes, links(nodes, threshold)).drop("root")
 
 
 def nodes_of(ids: DataFrame) -> DataFrame:
-    """(fp, first_id): each fingerprint once, with the smallest id that has it."""
-    return staged(ids.groupBy("fp").agg(F.min("id").alias("first_id")), "nodes")
+    """(fp, first_id, n): each fingerprint once, with the smallest id that has it and how many rows do."""
+    return staged(ids.groupBy("fp").agg(F.min("id").alias("first_id"), F.count("*").alias("n")), "nodes")
 
 
 def labelled(ids: DataFrame, nodes: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, fp, component_id) per row of ids (id, fp), over links (a, b) between fingerprints."""
-    roots = components(found)
-    linked = roots.join(nodes.withColumnRenamed("fp", "node"), "node")
-    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    moved = staged(roots.join(least, "root").select(F.col("node").alias("fp"), "component_id"), "linked")
-    single = nodes.join(moved, "fp", "left_anti").select("fp", F.col("first_id").alias("component_id"))
-    return ids.join(moved.unionByName(single), "fp").select("id", "fp", "component_id")
+    """ids (id, fp, ...) with component_id and root, the smallest fingerprint of the component, over links (a, b) between
+    fingerprints. Rows whose fingerprint is neither linked nor repeated are components of their own; only the others are
+    joined, those of fingerprints that many rows share without a shuffle."""
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    linked = components(found).select(F.col("node").alias("fp"), "root").hint("merge").join(nodes, "fp")
+    linked = staged(linked, "linked")
+    least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("fingerprints"))
+    moved = joined_by_count(linked, staged(least, "least"), "root", "fingerprints", linked.count()).select("fp", "component_id", "root", "n")
+    again = nodes.where("n > 1").join(linked.select("fp").hint("merge"), "fp", "left_anti")
+    rule = staged(moved.unionByName(again.select("fp", F.col("first_id").alias("component_id"), F.col("fp").alias("root"), "n")), "labels")
+    out = joined_by_count(ids, rule, "fp", "n", total, "left")
+    return out.select(*ids.columns, F.coalesce("component_id", "id").alias("component_id"), F.coalesce("root", "fp").alias("root"))

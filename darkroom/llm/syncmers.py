@@ -7,10 +7,12 @@ texts that share a passage share the anchors inside it, wherever the passage sta
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from darkroom.llm.common import literal_rows, shuffle_partitions
+from darkroom.llm.common import literal_rows, power_of_two, shuffle_partitions
 
 #: Words of the inner substring; k is twice as many. Two of three k-mers are chosen with 2, so that texts of a few words
 #: have several anchors too.
@@ -98,21 +100,29 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
 
     Null ids come last; rows of equal id follow each other by a hash of their text. Null texts count as empty, repeated rows
     stay, other columns of docs are left out, and no rows give no rows. Rows are dealt to buckets of
-    neighbouring ids, and each bucket also gets a copy of the row that follows its last. Each text is shuffled once.
+    neighbouring ids, and each bucket also gets a copy of the row that follows its last. An id that fills more than a
+    bucket, null or not, has several, by ranges of the hash. Each text is shuffled once.
     then(df, window) may add columns in the same order without another shuffle.
     """
     spark = docs.sparkSession
     buckets = buckets or max(2, shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     share = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(rows.agg(F.percentile_approx("id", share, 10_000)).first()[0] or []))
+    known = rows.agg(F.percentile_approx("id", share, 10_000), F.count("*"), F.count("id")).first()
+    often = Counter(known[0] or [])
+    heavy = [v for v, n in often.items() if n > 1]  # at most half as many as there are buckets
+    cuts = sorted(set(often) | {v - 1 for v in heavy if v > -(1 << 63)})
+    split = [cuts.index(v) for v in heavy] + ([-1] if (known[1] - known[2]) * buckets > known[1] else [])
     order = F.coalesce(F.col("id"), F.lit(-(1 << 63)))
     keyed = rows.withColumn("bucket", F.when(F.col("id").isNull(), -1).otherwise(_bucket(F.col("id"), cuts)).cast("int"))
+    bits = power_of_two(buckets).bit_length() - 1
+    part = F.shiftright(F.xxhash64("text"), 64 - bits) + (1 << bits >> 1) if bits else F.lit(0)
+    keyed = keyed.withColumn("bucket", F.shiftleft(F.col("bucket").cast("long"), bits) + F.when(F.col("bucket").isin(split), part).otherwise(0)) if split else keyed.withColumn("bucket", F.col("bucket").cast("long"))
     firsts = keyed.groupBy("bucket").agg(F.max(F.struct(order.alias("o"), F.xxhash64("text").alias("h"))).alias("first"))
     # at most one row for each bucket: the bucket whose last row the first of this one follows
     ring = sorted((r["bucket"], r["first"]["o"], r["first"]["h"]) for r in firsts.collect())
     plan = [{"bucket": b, "o": o, "h": h, "earlier": ring[(i + 1) % len(ring)][0]} for i, (b, o, h) in enumerate(ring)]
-    ghosts = F.broadcast(literal_rows(spark, plan, "bucket: int, o: long, h: long, earlier: int"))
+    ghosts = F.broadcast(literal_rows(spark, plan, "bucket: long, o: long, h: long, earlier: long"))
     leads = (order == F.col("o")) & (F.xxhash64("text") == F.col("h"))
     copies = F.when(leads, F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost")), F.struct(F.col("earlier").alias("b"), F.lit(1).alias("ghost"))))
     copies = copies.otherwise(F.array(F.struct(F.col("bucket").alias("b"), F.lit(0).alias("ghost"))))

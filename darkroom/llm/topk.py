@@ -20,6 +20,10 @@ from darkroom.llm.common import shuffle_partitions, staged
 BLOCK_ROWS, QUERY_ROWS, DIMENSIONS = 4096, 8192, 16
 #: Bytes of candidates, and of queries, that one task holds.
 GROUP_BYTES = 64 << 20
+#: Doubles add up whole numbers exactly below EXACT; scores beyond a long are returned as its nearest end.
+EXACT, LONGEST = float(1 << 53), (1 << 63) - 1
+#: Bytes that hold any score of finite doubles, to put those beyond a long in order.
+WIDE = 280
 #: Fixed value: an odd multiplier that spreads partitions over slots.
 SPREAD = 0x9E3779B97F4A7C15
 
@@ -29,7 +33,9 @@ def quantised(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddin
     whose vector holds a null or a non-finite component, are left out."""
     x = F.col(vector_col)
     good = x.isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float("inf"))) & ~F.isnan(v.cast("double")))
-    return df.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v.cast("double") * factor).cast("double")).alias("vector"))
+    # from 2^53 on a double is whole, and may exceed the long that floor() gives
+    whole = lambda v: F.when(F.abs(v) < float(1 << 53), F.floor(F.when(F.abs(v) < float(1 << 53), v)).cast("double")).otherwise(v)
+    return df.where(good).select(F.col(id_col).cast("long").alias("id"), F.transform(x, lambda v: whole(v.cast("double") * factor)).alias("vector"))
 
 
 def best_of_block(query: np.ndarray, columns: np.ndarray, ids: np.ndarray, rest: np.ndarray, own: int, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -51,6 +57,13 @@ def best_of_block(query: np.ndarray, columns: np.ndarray, ids: np.ndarray, rest:
     return ids[alive], sums
 
 
+def exact_best(query: np.ndarray, columns: np.ndarray, ids: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """(score, id) of a query's k best in a block in whole numbers of any size, for vectors that doubles cannot add up."""
+    whole = [int(x) for x in query]
+    scores = sum((q * np.array([int(x) for x in column], dtype=object) for q, column in zip(whole, columns) if q), np.zeros(len(ids), dtype=object))
+    return sorted(((s, i) for s, i in zip(scores.tolist(), ids.tolist()) if i != own), key=lambda x: (-x[0], x[1]))[:k]
+
+
 def _blocks(rows: DataFrame, size: int, groups: int) -> DataFrame:
     """(width, slot, ids, data): vectors of one width, up to `size` together. A partition deals its blocks to slots in
     turn, beginning at one that follows from its number."""
@@ -77,7 +90,9 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, groups: int | None = No
     """(query_id, rank, id, score): for each row of queries its k best rows of df but its own id; ties to smaller ids.
 
     df and queries have id and vector, as quantised() gives them; other columns are not read. Only vectors of equal
-    length are compared; scores are exact integers while no sum reaches 2^53. Fewer than k rows are all returned.
+    length are compared. Scores are exact integers: where vectors are so long that doubles might round, whole numbers of
+    any size are added up instead, and a score beyond a long is ranked by its value and returned as the end of the
+    range. Fewer than k rows are all returned.
     Repeated rows of df count as often as they stand there; a query id that stands there several times is asked once, with
     the smallest of its vectors. No rows give no rows.
 
@@ -94,7 +109,7 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, groups: int | None = No
     spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def search(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, int, int, bytes | None]] = []
         width = key[0].as_py()
         blocks = []
         for ids, data in zip(right.column("ids").to_pylist(), right.column("data").to_pylist()):
@@ -105,17 +120,22 @@ def top_k(df: DataFrame, queries: DataFrame, k: int = 5, groups: int | None = No
         for ids, data in zip(left.column("ids").to_pylist(), left.column("data").to_pylist()):
             ids = np.frombuffer(ids, dtype="<i8")
             for query, vector in zip(ids.tolist(), np.frombuffer(data, dtype="<f8").reshape(len(ids), width)):
+                norm = float(np.sqrt(np.square(vector).sum()))
+                wide = [block for block in blocks if not norm * float(block[2][0].max(initial=0.0)) < EXACT]
                 best_ids, best = np.zeros(0, dtype=np.int64), np.zeros(0)
-                for block_ids, columns, rest in blocks:
+                for block_ids, columns, rest in blocks if not wide else ():
                     least = best[-1] if len(best) == k else -np.inf
                     found, scores = best_of_block(vector, columns, block_ids, rest, query, k, least)
                     best_ids, best = np.concatenate([best_ids, found]), np.concatenate([best, scores])
                     order = np.lexsort((best_ids, -best))[:k]
                     best_ids, best = best_ids[order], best[order]
-                out.append((np.full(len(best), query), best_ids, best))
-        cols = [np.concatenate(x) if out else np.zeros(0) for x in zip(*out)] if out else [np.zeros(0)] * 3
-        return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "id": pa.array(cols[1].astype(np.int64)), "score": pa.array(np.clip(cols[2], -(2.0**62), 2.0**62).astype(np.int64))})
-
-    found = spread.groupBy("width", "slot", "query_slot").cogroup(held.groupBy("width", "slot", "query_slot")).applyInArrow(search, "query_id long, id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+                pairs = list(zip(best.astype(np.int64).tolist(), best_ids.tolist()))
+                for block_ids, columns, _ in blocks if wide else ():
+                    pairs = sorted(pairs + exact_best(vector, columns, block_ids, query, k), key=lambda x: (-x[0], x[1]))[:k]
+                out += [(query, i, max(-LONGEST, min(s, LONGEST)), None if -LONGEST < s < LONGEST else (s + (1 << 8 * WIDE - 1)).to_bytes(WIDE, "big")) for s, i in pairs]
+        cols = list(zip(*out)) or [(), (), (), ()]
+        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()), "score": pa.array(cols[2], pa.int64()), "beyond": pa.array(cols[3], pa.binary())})
+
+    found = spread.groupBy("width", "slot", "query_slot").cogroup(held.groupBy("width", "slot", "query_slot")).applyInArrow(search, "query_id long, id long, score long, beyond binary")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("beyond"), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")

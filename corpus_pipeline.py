@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from darkroom.llm import bpe, mixing, quality, repeats, shingles
-from darkroom.llm.common import bounded_broadcast, shared_dir, staged, table
+from darkroom.llm.common import bounded_broadcast, joined_by_count, shared_dir, staged, table
 
 #: Ids that are broadcast at most, about 16 MB of them; more are joined by shuffling.
 MOST_BROADCAST = 500_000
@@ -21,31 +21,47 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject; it learns from the labels that are not held out."""
+    """Documents that the quality classifier does not reject; it learns from the labels that are not held out.
+
+    A null or empty text is judged as a text without words. Each row is judged by its text alone, so repeated rows stay or
+    go together, and null ids do no harm. No documents give none.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).where("predicted = 1").select(*COLUMNS)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near copies: texts whose five-word shingles have a Jaccard
-    likeness of 0.8 or more, or SimHash fingerprints within two bits.
+    """One row of each component of near copies: texts whose five-word shingles have a Jaccard likeness of 0.8 or more, or
+    SimHash fingerprints within two bits. Null and empty texts are copies of each other. No documents give none.
 
-    Texts are not shuffled while the ids to drop are few enough to broadcast: their number is counted first. A
-    document that stands there several times, by its id, stays once. Documents without an id all stay.
+    The row of the smallest id stays (null ids come last), of repeated ids that of the smallest text hash, and of
+    repeated rows one. Rows are told apart by id and text hash, so of two texts with one id each has its own fate. Texts
+    are not shuffled while the rows to drop are few enough to broadcast: their number is counted first.
     """
-    found = shingles.near_copies(docs, width=5).where("id is not null").select(F.col("id").alias("doc_id"), "component_id")
-    found = staged(found.groupBy("doc_id").agg(F.min("component_id").alias("first"), F.count("*").alias("n")), "components")
-    drop, twice = found.where("doc_id <> first").select("doc_id"), found.where("doc_id = first and n > 1").select("doc_id")
+    found = staged(shingles.near_copies(docs, width=5).select("id", "hash", "root"), "components")
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "hash")
+    groups = found.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
+    groups = staged(groups.select("root", F.col("first.id").alias("kept"), F.col("first.hash").alias("kept_hash"), "n"), "groups")
+    rows = joined_by_count(found, groups, "root", "n", found.count())
+    rows = rows.groupBy("id", "hash", (F.col("id").eqNullSafe(F.col("kept")) & (F.col("hash") == F.col("kept_hash"))).alias("stays")).agg(F.count("*").alias("n"))
+    rows = staged(rows.withColumnsRenamed({"id": "_id", "hash": "_hash"}), "decided")
+    drop, twice = rows.where("not stays").select("_id", "_hash"), rows.where("stays and n > 1").select("_id", "_hash")
     many, again = drop.count(), twice.count()
-    left = docs.join(bounded_broadcast(drop, many, MOST_BROADCAST), "doc_id", "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    docs = docs.select(*COLUMNS)
+    left = docs.join(bounded_broadcast(drop, many, MOST_BROADCAST), same, "left_anti")
     if again:
         few = bounded_broadcast(twice, again, MOST_BROADCAST)
-        left = left.join(few, "doc_id", "left_anti").unionByName(left.join(few, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return left.select(*COLUMNS)
+        left = left.join(few, same, "left_anti").unionByName(left.join(few, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return left
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the words of repeated windows; untouched texts stay as they are, and emptied ones go."""
+    """Documents without the words of repeated windows; untouched texts stay as they are, and emptied ones go.
+
+    A null or empty text has no window and stays. Repeated rows repeat each other's windows, so those of 35 words or more
+    lose them all. Ids are not looked at. No documents give none.
+    """
     out = repeats.without_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     out = out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
@@ -53,13 +69,16 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
+    """Each document as often as the mix takes it, none to three times. Null sources are one source. A document without
+    words weighs nothing and comes as often as its hash says; a source without words is left out whole. Rows that agree in id and
+    text are taken together. No documents give none."""
     out = mixing.mixed(docs)
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).where("copies > 0").select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of each document of the mix."""
+    """Ids and decoded text of each document of the mix. A null or empty text has no ids; repeated rows are encoded each, and
+    other columns stay. No documents give none."""
     import public_tokenizers
 
     return bpe.encoded(docs, public_tokenizers.path("word_bpe_49k.json"))

@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from darkroom.operators import evaluation, fusion, pairs, ranking
+from darkroom.operators import evaluation, fusion, ranking, sessions
 from darkroom.sources.schema import read_records
 from darkroom.sources.weights import Weights
 
@@ -42,7 +42,7 @@ def main(args: list[str] | None = None) -> int:
             weights = Weights.from_toml(Path(said.weights).read_text()) if said.weights else Weights()
             out = fusion.fused(rows, weights).select("id", "junk", "miss", "aesthetic", "reasons", "should_queue")
         else:
-            members = pairs.clusters(_flat(rows))
+            members = sessions.clusters(_flat(rows))
             if said.command == "cluster":
                 out = members.groupBy("cluster_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"]).alias("member_ids"))
             else:

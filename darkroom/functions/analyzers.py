@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from darkroom.functions.scalars import cosine, f32, keyword_hits
 
 MOST_PROMPTS = 10_000
+#: Limits of eye and mouth openings and of the head's angles.
 BLINK_EAR, YAW, PITCH, MOUTH_OPEN = 0.18, 0.35, 0.45, 0.55
 
 #: Prompts of utility shots; the first eight are the built-in ones.
@@ -71,6 +72,24 @@ def text_features(blocks: DataFrame, keywords: tuple[str, ...] | None = None) ->
     return joined.select("asset_id", "text_block_count", (F.col("text_block_count") >= 4).alias("has_dense_text"), hits.cast("int").alias("utility_keyword_hits"))
 
 
+def text_block(assets: DataFrame, blocks: DataFrame, barcodes: DataFrame, documents: DataFrame, keywords: tuple[str, ...] | None = None) -> DataFrame:
+    """(asset_id, text) for each of assets (asset_id): the whole text part of its features.
+
+    From text blocks (asset_id, seq, text), barcodes (asset_id), and found documents (asset_id, seq, confidence), of which the
+    first counts. An asset without any of them has no dense text, no hits and no flags.
+    """
+    found = text_features(blocks, keywords)
+    codes = barcodes.select("asset_id").distinct().withColumn("has_barcode", F.lit(True))
+    first = documents.groupBy("asset_id").agg(F.min(F.struct("seq", "confidence"))["confidence"].alias("c"))
+    first = first.select("asset_id", document_flag(F.array("c")).alias("has_document"))
+    rows = assets.select("asset_id").distinct().join(found, "asset_id", "left").join(codes, "asset_id", "left").join(first, "asset_id", "left")
+    no, none = F.lit(False), F.lit(0)
+    return rows.select("asset_id", F.struct(
+        F.coalesce("has_dense_text", no).alias("has_dense_text"), F.coalesce("has_barcode", no).alias("has_barcode"), F.coalesce("has_document", no).alias("has_document"),
+        F.coalesce("text_block_count", none).alias("text_block_count"), F.coalesce("utility_keyword_hits", none).alias("utility_keyword_hits"),
+    ).alias("text"))
+
+
 def document_flag(confidences: Column) -> Column:
     return F.coalesce(F.get(confidences, F.lit(0)) > 0.5, F.lit(False))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -36,9 +38,9 @@ def resized(images: np.ndarray, width: int, height: int) -> np.ndarray:
 
 
 def fitted(width: int, height: int, most: int) -> tuple[int, int]:
-    """The size of an image whose longest side is at most `most`: sides keep their ratio, and none grows."""
+    """The size of an image whose longest side is at most `most`: sides keep their ratio, halves round up, and none grows."""
     scale = min(1.0, most / max(width, height))
-    return max(1, round(width * scale)), max(1, round(height * scale))
+    return max(1, int(width * scale + 0.5)), max(1, int(height * scale + 0.5))
 
 
 def thumbnail(width: int, height: int, data: bytes, most: int) -> tuple[int, int, bytes]:
@@ -101,26 +103,34 @@ def analyze(width: int | None, height: int | None, data: bytes | None) -> dict:
     return {k: v[0].item() for k, v in analyze_all(width, height, [data]).items()} | {"error": None}
 
 
+def by_size(width: pd.Series, height: pd.Series, data: pd.Series) -> Iterator[tuple[np.ndarray, int, int, list[bytes]]]:
+    """(rows, width, height, buffers) of the whole images of a batch, those of one size together, IMAGE_BYTES at most."""
+    groups: dict[tuple[int, int], list[int]] = {}
+    for i, (w, h, d) in enumerate(zip(width, height, data)):
+        w, h = (None if pd.isna(x) else int(x) for x in (w, h))
+        if not problem(w, h, d):
+            groups.setdefault((w, h), []).append(i)
+    for (w, h), rows in groups.items():
+        step = max(1, IMAGE_BYTES // (8 * 4 * max(w * h, 256 * 256)))
+        for k in range(0, len(rows), step):
+            yield np.array(rows[k : k + step]), w, h, [data.iloc[i] for i in rows[k : k + step]]
+
+
+def problems(width: pd.Series, height: pd.Series, data: pd.Series) -> list[str | None]:
+    return [problem(*(None if pd.isna(x) else int(x) for x in (w, h)), d) for w, h, d in zip(width, height, data)]
+
+
 def signals(width: Column, height: Column, data: Column) -> Column:
     """The signals of RGBA buffers as a struct with an error field; images of one size are worked on together."""
 
     @F.pandas_udf(SIGNALS)
     def of(w: pd.Series, h: pd.Series, d: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame(dict.fromkeys(COLUMNS), index=range(len(d)), dtype=object)
-        groups: dict[tuple[int, int], list[int]] = {}
-        for i, (a, b, c) in enumerate(zip(w, h, d)):
-            a, b = (None if pd.isna(x) else int(x) for x in (a, b))
-            if said := problem(a, b, c):
-                out.at[i, "error"] = said
-            else:
-                groups.setdefault((a, b), []).append(i)
-        for (a, b), rows in groups.items():
-            step = max(1, IMAGE_BYTES // (8 * 4 * max(a * b, 256 * 256)))
-            for k in range(0, len(rows), step):
-                some = rows[k : k + step]
-                for name, values in analyze_all(a, b, [d[i] for i in some]).items():
-                    out.loc[some, name] = values.tolist()
-        return out
+        found = {c: np.full(len(d), None, dtype=object) for c in COLUMNS}
+        found["error"][:] = problems(w, h, d)
+        for rows, a, b, images in by_size(w, h, d):
+            for name, values in analyze_all(a, b, images).items():
+                found[name][rows] = values.tolist()
+        return pd.DataFrame(found)
 
     return of(width, height, data)
 
@@ -130,14 +140,11 @@ def dhash(width: Column, height: Column, data: Column) -> Column:
 
     @F.pandas_udf("long")
     def of(w: pd.Series, h: pd.Series, d: pd.Series) -> pd.Series:
-        found: list[int | None] = []
-        for a, b, c in zip(w, h, d):
-            a, b = (None if pd.isna(x) else int(x) for x in (a, b))
-            if problem(a, b, c):
-                found.append(None)
-            else:
-                found.append(int(difference_hash(np.frombuffer(c, dtype=np.uint8, count=a * b * 4).reshape(1, b, a, 4))[0]))
-        return pd.Series(found, dtype="Int64")
+        found, known = np.zeros(len(d), dtype=np.int64), np.zeros(len(d), dtype=bool)
+        for rows, a, b, images in by_size(w, h, d):
+            found[rows] = difference_hash(np.stack([np.frombuffer(x, dtype=np.uint8, count=a * b * 4) for x in images]).reshape(-1, b, a, 4))
+            known[rows] = True
+        return pd.Series(pd.array(np.where(known, found, 0), dtype="Int64")).mask(~known)
 
     return of(width, height, data)
 

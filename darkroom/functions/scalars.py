@@ -60,7 +60,8 @@ def cosine(a: Column, b: Column, least_norm: float = 1e-12, truncate: bool = Fal
 
 
 def within_window(a: Column, b: Column, seconds: int) -> Column:
-    return F.abs(F.unix_micros(a) - F.unix_micros(b)) <= seconds * 1_000_000
+    """Whether two times are at most so many whole seconds apart: parts of a second are cut off, unlike in band_pairs."""
+    return F.floor(F.abs(F.unix_micros(a) - F.unix_micros(b)) / 1_000_000) <= seconds
 
 
 def luma(r: Column, g: Column, b: Column) -> Column:
@@ -82,6 +83,12 @@ def byte_size(size: Column, width: Column, height: Column) -> Column:
     return F.when(F.coalesce(size, F.lit(0)) > 0, size).otherwise(F.floor(width * height / 4).cast("long"))
 
 
+def resource_bytes(sizes: Column, width: Column, height: Column) -> Column:
+    """The bytes of a shot: those of all its resources whose size is known, or an estimate by its pixels."""
+    known = F.aggregate(F.coalesce(sizes, F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x, F.lit(0)))
+    return byte_size(known, width, height)
+
+
 def locally_available(primary: Column, every: Column) -> Column:
     """Whether all primary resources are local; without primary ones all resources count, and none is local."""
     return F.when(F.size(primary) > 0, F.forall(primary, lambda x: x)).when(F.size(every) > 0, F.forall(every, lambda x: x)).otherwise(F.lit(True))

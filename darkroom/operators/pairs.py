@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.scalars import cosine, hamming, haversine_m
-from darkroom.operators.components import components
+from darkroom.sources.staging import staged
 
 
 @dataclass(frozen=True)
@@ -54,37 +54,27 @@ def similar(config: ClusterConfig) -> Column:
 
 def links(df: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
     """(id_a, id_b) of rows that belong together. df has id, created_at, latitude, longitude, burst_id, dhash and
-    optionally vector. Vectors meet only for near pairs that neither burst nor hash links."""
-    pairs = band_pairs(df.select("id", "created_at", "latitude", "longitude", "burst_id", "dhash"), "created_at", config.seconds)
+    optionally vector. Vectors meet only for near pairs that neither burst nor hash links. With a column fresh, only
+    pairs of which one row is fresh are looked at."""
+    fresh = ["fresh"] if "fresh" in df.columns else []
+    pairs = band_pairs(df.select("id", "created_at", "latitude", "longitude", "burst_id", "dhash", *fresh), "created_at", config.seconds)
+    if fresh:
+        pairs = pairs.where("fresh_a or fresh_b")
     pairs = pairs.where(near_place(config.metres)).select("id_a", "id_b", "gap", (same_burst() | similar(config)).alias("linked"))
-    sure = pairs.where("linked").select("id_a", "id_b", "gap")
     if "vector" not in df.columns:
-        return sure
+        return pairs.where("linked").select("id_a", "id_b", "gap")
+    pairs = staged(pairs, "pairs")  # read twice below, joined once
     own = df.where("vector is not null")
     both = pairs.where("not linked").join(own.select(F.col("id").alias("id_a"), F.col("vector").alias("vector_a")), "id_a")
     both = both.join(own.select(F.col("id").alias("id_b"), F.col("vector").alias("vector_b")), "id_b")
     close = F.coalesce(cosine(F.col("vector_a"), F.col("vector_b")) >= config.cosine, F.lit(False))
-    return sure.unionByName(both.where(close).select("id_a", "id_b", "gap"))
+    return pairs.where("linked").unionByName(both.where(close).select("id_a", "id_b", "gap", "linked")).select("id_a", "id_b", "gap")
 
 
-def clusters(df: DataFrame, config: ClusterConfig = ClusterConfig()) -> DataFrame:
-    """(cluster_id, id, pos) of all members of groups of two or more; cluster_id is the smallest member id.
-
-    Components are found on 64-bit hashes of the ids by star steps, however long a chain of links is; pos numbers a
-    cluster's members by time, newest first, then by id.
-    """
-    found = links(df, config)
-    key = lambda c: F.xxhash64(c)
-    roots = components(found.select(key("id_a").alias("a"), key("id_b").alias("b")))
-    members = df.select("id", "created_at", key("id").alias("node")).join(roots, "node")
-    named = members.groupBy("root").agg(F.min("id").alias("cluster_id"))
-    order = Window.partitionBy("cluster_id").orderBy(F.desc("created_at"), "id")
-    return members.join(named, "root").select("cluster_id", "id", "created_at").withColumn("pos", (F.row_number().over(order) - 1).cast("int")).drop("created_at")
-
-
-def sessions(df: DataFrame, time_col: str, seconds: int, by: str | None = None) -> DataFrame:
-    """df with session: how many gaps of more than `seconds` lie before a row, in each group of `by`."""
-    w = Window.partitionBy(by if by else F.lit(0)).orderBy(time_col)
+def sessions(df: DataFrame, time_col: str, seconds: int, by: str) -> DataFrame:
+    """df with session: how many gaps of more than `seconds` lie before a row, in each group of `by`. For one order of all
+    rows see operators.sessions.numbered."""
+    w = Window.partitionBy(by).orderBy(time_col)
     at = F.unix_micros(time_col)
     new = F.coalesce(at - F.lag(at).over(w) > seconds * 1_000_000, F.lit(True)).cast("int")
     return df.withColumn("_new", new).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")

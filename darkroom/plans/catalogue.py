@@ -5,18 +5,23 @@ Assets come from sources.adapter. Floating-point results are rounded on both sid
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions import analyzers, pixels, scalars
-from darkroom.operators import evaluation, fusion, pairs, queue, ranking, scheduler
-from darkroom.plans.engine import enumerate_assets, numbered
+from darkroom.operators import evaluation, fusion, incremental, pairs, queue, ranking, scheduler, sessions
+from darkroom.plans import sql
+from darkroom.plans.engine import Engine, enumerate_assets, numbered
+from darkroom.plans.pages import Pages
 from darkroom.sources import adapter, schema, store
 from darkroom.sources.adapter import SQL as ASSETS
-from darkroom.sources.staging import staged
+from darkroom.sources.bucketed import Bucketed
+from darkroom.sources.staging import shared_dir, staged
 from darkroom.sources.weights import Weights
+from darkroom.streaming import decisions as undo
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -117,9 +122,15 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return staged(_fused(spark, sf_dir), "fused")
 
 
+def _as_stored(df: DataFrame) -> DataFrame:
+    """df with the columns of a stored row that no cluster pass has written yet."""
+    blank = {"junk": scalars.f32(0), "miss": scalars.f32(0), "aesthetic": scalars.f32(0.5), "reasons": F.array().cast(schema.REASONS), "cluster_id": F.lit(None).cast("string"), "is_best_in_cluster": F.lit(False), "analyzed_at": F.lit(None).cast("timestamp")}
+    return df.withColumns({c: x for c, x in blank.items() if c not in df.columns})
+
+
 def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = adapter.flat_assets(spark, sf_dir).select("id", "created_at", "latitude", "longitude", "burst_id", "dhash", "seq")
-    return pairs.clusters(adapter.with_vectors(flat, spark, sf_dir))
+    return sessions.clusters(adapter.with_vectors(flat, spark, sf_dir))
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -218,9 +229,11 @@ def q08(spark, sf_dir):
 )
 def q09(spark, sf_dir):
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
-    k = vectors.count()
-    flat = adapter.flat_assets(spark, sf_dir).select("id", "created_at", (F.col("seq") % k).alias("vec_id")).join(vectors, "vec_id").drop("vec_id")
-    out = pairs.band_pairs(flat, "created_at", 30).withColumn("c", scalars.cosine(F.col("vector_a"), F.col("vector_b")))
+    flat = adapter.flat_assets(spark, sf_dir).select("id", "created_at", (F.col("seq") % vectors.count()).alias("vec_id"))
+    out = pairs.band_pairs(flat, "created_at", 30)
+    for side in ("a", "b"):  # vectors meet pairs of ids, not the rows that pairs are looked for among
+        out = out.join(vectors.withColumnsRenamed({"vec_id": f"vec_id_{side}", "vector": f"vector_{side}"}), f"vec_id_{side}")
+    out = out.withColumn("c", scalars.cosine(F.col("vector_a"), F.col("vector_b")))
     return out.where("c >= 0.1").select("id_a", "id_b", F.round("c", 4).alias("cosine"))
 
 
@@ -404,8 +417,10 @@ def q30(spark, sf_dir):
     incoming = adapter.assets(spark, sf_dir).where("seq % 3 = 0").withColumn("byte_size", F.col("byte_size") + 1)
     # the write that comes last is the one that counts
     twice = incoming.withColumn("at", F.lit(2)).unionByName(incoming.withColumn("byte_size", F.lit(0).cast("bigint")).withColumn("at", F.lit(1)))
-    out = store.upserted(every.where("seq % 2 = 0"), twice, "at")
-    return out.select("id", "byte_size", _round(F.col("junk")).alias("junk"), _round(F.col("aesthetic")).alias("aesthetic"), "tier_completed")
+    kept = store.Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", buckets=8)
+    kept.replace(_as_stored(every.where("seq % 2 = 0")))
+    kept.upsert(twice, "at")
+    return kept.assets().select("id", "byte_size", _round(F.col("junk")).alias("junk"), _round(F.col("aesthetic")).alias("aesthetic"), "tier_completed")
 
 
 @_query(
@@ -603,7 +618,12 @@ def _grey(value):
     return F.concat(h, h, h, F.lit("FF"))
 
 
-@_query("q48_pixel_signals")
+@_query(
+    "q48_pixel_signals",
+    """with e as (select event_id, (event_id % 256)::int as v from events)
+    select event_id, 0.0::float as blur_variance, case when v < 16 then 1.0 else 0.0 end::float as dark_fraction, case when v >= 240 then 1.0 else 0.0 end::float as bright_fraction,
+      v::float as mean_luminance, 0::bigint as dhash, true as is_pocket_shot, 1.0::float as uniformity, null::varchar as error from e""",
+)
 def q48(spark, sf_dir):
     """Signals of an image of one colour for each event, by the Arrow UDF; q49 and q50 have images with structure."""
     e = _table(spark, sf_dir, "events").select(F.col("event_id"), F.lpad(F.hex(F.col("event_id") % 256), 2, "0").alias("h"))
@@ -703,7 +723,8 @@ def q51(spark, sf_dir):
     "q52_row_rules",
     """with e as (select event_id as n, event_id % 101 as j, event_id % 97 as m, event_id % 89 as a from events)
     select n as event_id, 'junk ' || j || '% · miss ' || m || '% · aesthetic ' || a || '%' as badge, case when n % 3 <> 0 then n % 2 = 0 when n % 6 <> 0 then n % 5 = 0 else true end as local,
-      n % 2 = 0 as intact, n % 4 <> 0 and n % 10 > 5 as document, n % 7 = 0 or n % 9 = 0 as burst, case when n % 8 = 0 then 1 else 2024 end::int as year from e""",
+      n % 2 = 0 as intact, n % 4 <> 0 and n % 10 > 5 as document, n % 7 = 0 or n % 9 = 0 as burst, case when n % 8 = 0 then 1 else 2024 end::int as year,
+      (27000 + n % 7000) // 1000 <= 30 as near, case when n % 5 = 0 then n % 13 + (n % 17) * 7 else 0 end::bigint + case when n % 5 <> 0 or n % 13 + n % 17 = 0 then (n % 40) * 3 // 4 else 0 end::bigint as bytes from e""",
 )
 def q52(spark, sf_dir):
     n = F.col("event_id")
@@ -718,4 +739,122 @@ def q52(spark, sf_dir):
         analyzers.document_flag(F.when(n % 4 != 0, F.array((n % 10) / 10)).otherwise(F.array().cast("array<double>"))).alias("document"),
         scalars.is_burst(F.when(n % 7 == 0, F.lit(True)), F.when(n % 9 == 0, F.lit("b"))).alias("burst"),
         F.year(scalars.created(F.when(n % 8 != 0, F.lit("2024-05-01 00:00:00").cast("timestamp")))).alias("year"),
+        # parts of a second are cut off: 30.9 seconds are within 30
+        scalars.within_window(F.timestamp_millis(n), F.timestamp_millis(n - 27000 - n % 7000), 30).alias("near"),
+        scalars.resource_bytes(F.when(n % 5 == 0, F.array(n % 13, F.lit(None).cast("bigint"), (n % 17) * 7)), n % 40, F.lit(3).cast("bigint")).alias("bytes"),
     )
+
+
+def _folder(spark, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@_query(
+    "q53_sessions_of_all",
+    f"""with {ASSETS}, n as (select id, coalesce(epoch(created_at) - epoch(lag(created_at) over w) > 60, true)::int as new, created_at from assets window w as (order by created_at, seq))
+    select id, (sum(new) over (order by created_at rows unbounded preceding))::bigint as session from n""",
+)
+def q53(spark, sf_dir):
+    """Sessions over one order of all assets, without a window over all of them."""
+    return sessions.numbered(adapter.flat_assets(spark, sf_dir).select("id", "created_at"), "created_at", 60).select("id", "session")
+
+
+@_query(
+    "q54_bucketed_joins",
+    f"""with recursive {_FUSED}, {_LINKS}, {_DECISIONS} select m.cluster_id, m.id, round(f.junk::double, 4) as junk, f.byte_size from members m join fused f on f.id = m.id
+    where f.id not in (select asset_id from decisions where decision = 'keep')""",
+)
+def q54(spark, sf_dir):
+    """Members of clusters with their records, without kept ones, from tables bucketed by id: the joins shuffle nothing."""
+    tables = Bucketed(spark, _folder(spark, "bucketed"), 8)
+    tables.write(_fused(spark, sf_dir).select("id", "junk", "byte_size"), "assets")
+    tables.write(_members(spark, sf_dir), "members")
+    tables.write(_decisions(spark, sf_dir), "decisions", "asset_id")
+    kept = queue.kept_ids(tables.table("decisions"))
+    out = tables.members().join(kept.hint("merge"), "id", "left_anti")
+    return out.select("cluster_id", "id", _round(F.col("junk")).alias("junk"), "byte_size")
+
+
+@_query("q55_sql_links", f"with {ASSETS} select a.id as id_a, b.id as id_b, bit_count(xor(a.dhash, b.dhash))::int as bits, round({_HAVERSINE}, 2) as metres {_PAIRS} where coalesce({_HAVERSINE} <= 50.0, true) and bit_count(xor(a.dhash, b.dhash)) <= 12")
+def q55(spark, sf_dir):
+    """Pairs by the engine's functions in SQL."""
+    name = sql.register(spark, _as_stored(adapter.assets(spark, sf_dir)))
+    return spark.sql(f"""
+      select id_a, id_b, {name["hamming"]}(a.dhash, b.dhash) as bits, round({name["haversine_m"]}(a.latitude, a.longitude, b.latitude, b.longitude), 2) as metres
+      from {name["band_pairs"]}(30) p join {name["assets"]} a on a.id = p.id_a join {name["assets"]} b on b.id = p.id_b
+      where coalesce({name["haversine_m"]}(a.latitude, a.longitude, b.latitude, b.longitude) <= 50.0, true) and {name["hamming"]}(a.dhash, b.dhash) <= 12""")
+
+
+@_query("q56_queue_pages", f"{_ALL} select id, (row_number() over (order by byte_size desc, area desc, greatest(junk, miss) desc, id) - 1)::bigint as position from reviewed qualify position between 50 and 149")
+def q56(spark, sf_dir):
+    """The second and third page of fifty of the queue as a sorted table, by a place and by a cursor."""
+    pages = Pages.write(_review(spark, sf_dir), _folder(spark, "pages"), parts=8)
+    after = pages.cursor(100)
+    second = pages.page(1, 50)
+    return second.select("id", "position") if after is None else second.unionByName(pages.after(after, 50)[0]).select("id", "position")
+
+
+@_query(
+    "q57_json_records",
+    f"""with {_FUSED} select id, created_at, byte_size, dhash, round(blur_variance::double, 4) as blur, round(junk::double, 4) as junk, len(list_filter(string_split(kinds, ','), lambda k: k <> ''))::int as reasons,
+    'receipt' as label, round(((seq % 100)::double / 100)::float::double, 4) as similarity, tier_completed from fused""",
+)
+def q57(spark, sf_dir):
+    """Records written as JSON, with nested metadata and scores, unsigned hashes and similarity pairs, and read from the files."""
+    rows = adapter.assets(spark, sf_dir)
+    similar = F.array(F.struct(F.lit("receipt").alias("label"), ((F.col("seq") % 100) / 100).cast("float").alias("similarity")))
+    embedding = F.struct(F.array(scalars.f32(0.5)).alias("embedding"), F.col("features.embedding.aesthetic_raw").alias("aesthetic_raw"), similar.alias("junk_similarities"))
+    fused = _fused(spark, sf_dir).drop("features")
+    full = rows.select("id", F.struct(*[(embedding if p == "embedding" else F.col(f"features.{p}")).alias(p) for p in ("pixel", "face", "text", "composition", "embedding", "vlm")]).alias("features"))
+    path = _folder(spark, "records")
+    schema.write_records(_as_stored(fused.join(full, "id")), path)
+    back = schema.read_records(spark, path, lines=True)
+    first = F.get("features.embedding.junk_similarities", F.lit(0))
+    return back.select(
+        "id", "created_at", "byte_size", F.col("features.pixel.dhash").alias("dhash"), _round(F.col("features.pixel.blur_variance")).alias("blur"), _round(F.col("junk")).alias("junk"),
+        F.size("reasons").alias("reasons"), first["label"].alias("label"), _round(first["similarity"]).alias("similarity"), "tier_completed",
+    )
+
+
+@_query(
+    "q58_cascade",
+    f"""with {ASSETS}, r as (select *, seq % 11 <> 0 as live, seq % 7 <> 0 as good, tier_completed < 2 and not is_favorite and not is_hidden as pending from assets)
+    select id, is_hidden or (pending and not live) as is_hidden, case when pending and (good or not live) then 2 else tier_completed end::int as tier_completed from r""",
+)
+def q58(spark, sf_dir):
+    """What a cascade leaves: done, failed and so as before, or hidden because the library has lost it."""
+    engine = Engine(spark, _folder(spark, "store"))
+    engine.store.replace(_as_stored(adapter.assets(spark, sf_dir)))
+    number = F.substring("id", 2, 20).cast("long")
+    live = engine.store.assets().select("id").where(number % 11 != 0)
+    engine.state = scheduler.SchedulerState(batch_size=10_000_000)
+    engine.run_cascade(lambda due, tier: due.where(number % 7 != 0), live, most=10_000_000)
+    return engine.store.assets().select("id", "is_hidden", "tier_completed")
+
+
+@_query("q59_clusters_of_new", f"with recursive {ASSETS}, {_LINKS} select cluster_id, id from members")
+def q59(spark, sf_dir):
+    """Clusters of two thirds of the assets, extended by the rest: those of a whole pass."""
+    flat = adapter.flat_assets(spark, sf_dir).select("id", "created_at", "latitude", "longitude", "burst_id", "dhash", "seq")
+    rows = staged(adapter.with_vectors(flat, spark, sf_dir), "flat")
+    before = staged(sessions.clusters(rows.where("seq % 3 <> 1")).select("cluster_id", "id"), "before")
+    return incremental.extended(before, rows, rows.where("seq % 3 = 1").select("id"))
+
+
+@_query("q60_undo_stream", f"with {_LOG} select queue_id, seq, asset_id, decision from folded")
+def q60(spark, sf_dir):
+    """The fold of q35 from a file stream in two micro-batches, the undo stacks kept as state."""
+    path, kind = _folder(spark, "stream"), "queue_id long, seq long, asset_id string, decision string"
+    log = staged(_log(spark, sf_dir).select("queue_id", "seq", "asset_id", "decision"), "log")
+    for part in (F.col("seq") <= 20, F.col("seq") > 20):
+        log.where(part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(conf)
+    undo.use_state(spark)
+    try:
+        stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        writer = undo.changes(stream, 40).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state")
+        writer.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(conf, before)
+    return undo.standing(spark.read.schema(undo.CHANGES).parquet(f"{path}/out"))

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from darkroom.operators import fusion, pairs, queue, ranking, scheduler
+from darkroom.operators import fusion, pairs, queue, ranking, scheduler, sessions
 from darkroom.sources.staging import staged
 from darkroom.sources.store import Store
 from darkroom.sources.weights import Weights
@@ -77,7 +76,7 @@ class Engine:
         return asset
 
     def _log(self, asset: str, decision: str) -> None:
-        self.store.decide(self.spark.createDataFrame([(asset, decision, time.time_ns())], "asset_id string, decision string, decided_at bigint"))
+        self.store.log_decision(asset, decision)
 
     def staged_toss_ids(self) -> list[str]:
         return [a for a, d in self.history if d == "toss"]
@@ -128,49 +127,61 @@ class Engine:
         every = fusion.fused(self.store.assets(), self.weights).drop("should_queue")
         some = ranking.recent(every, limit)
         flat = some.select("id", "created_at", "latitude", "longitude", "burst_id", F.col("features.pixel.dhash").alias("dhash"), F.col("features.embedding.embedding").alias("vector"))
-        members = pairs.clusters(flat, config)
+        members = sessions.clusters(flat, config)
         joined = members.join(some.drop("cluster_id"), "id")
         self.store.replace(ranking.with_clusters(every, joined))
         return members.select("cluster_id").distinct().count()
 
     def prune(self, live: DataFrame) -> None:
         """Hides pending assets (below tier 2) that live (id) no longer holds, and marks them done."""
-        self.store.replace(scheduler.pruned(self.store.assets(), live))
+        rows = self.store.assets()
+        gone = scheduler.pruned(rows, live).where("tier_completed = 2 and is_hidden")
+        self.store.put(gone.join(rows.where("tier_completed < 2").select("id"), "id", "left_semi"))
 
     def lookup(self, ids: DataFrame) -> DataFrame:
         """The stored assets of ids (id), of which unknown ones are left out."""
-        return self.store.assets().join(ids.select("id").distinct(), "id", "left_semi")
+        return self.store.assets_of(ids)
 
     def asset(self, id: str) -> dict | None:
-        rows = self.store.assets().where(F.col("id") == id).limit(1).collect()
-        return rows[0].asDict(True) if rows else None
+        return self.store.asset(id)
+
+    def without_missing(self, rows: DataFrame, live: DataFrame) -> DataFrame:
+        """The rows that live (id) holds; the others are hidden in the store and count as past tier 2."""
+        rows, missing = scheduler.reachable(staged(rows, "batch"), live)
+        if missing.limit(1).count():
+            self.store.put(missing.withColumns({"is_hidden": F.lit(True), "tier_completed": F.lit(2)}))
+        return rows
 
     def run_cascade(self, analyze: Callable[[DataFrame, int], DataFrame], live: DataFrame | None = None, most: int = 500, power: str = "battery", ram_gb: int = 8) -> int:
         """Batches of the lowest tier that has work, analysed and saved one after the other, until `most` assets are
         done, nothing is pending or heat pauses; the number of assets done.
 
-        analyze(rows, tier) gives rows with their features. What it leaves out, or live no longer holds, is set aside for
-        this run, so that no batch comes twice. The ids set aside are at most those of the run's batches.
+        analyze(rows, tier) gives rows with their features. What it leaves out is set aside for this run, so that no batch
+        comes twice. What live no longer holds is hidden and marked done, so that no later run meets it either. Batches and
+        what is set aside are tables; the driver sees their sizes.
         """
-        done, aside = 0, set()
+        done, aside = 0, None
         while done < most and not self.state.paused:
             open_rows = self.store.assets()
-            if aside:
-                open_rows = open_rows.join(self.spark.createDataFrame([(x,) for x in aside], "id string"), "id", "left_anti")
-            batch = scheduler.next_batch(open_rows, self.state, self.state.can_run_vlm(power, ram_gb)).orderBy("position").limit(most - done).collect()
-            if not batch:
+            if aside is not None:
+                open_rows = open_rows.join(aside, "id", "left_anti")
+            batch = scheduler.next_batch(open_rows, self.state, self.state.can_run_vlm(power, ram_gb))
+            batch = staged(batch.orderBy("position").limit(most - done), "batch")
+            size = batch.agg(F.count("*").alias("n"), F.min("tier").alias("tier"), F.max_by("id", "position").alias("last")).first()
+            if not size["n"]:
                 break
-            tier, ids = batch[0]["tier"], [r["id"] for r in batch]
-            rows = self.lookup(self.spark.createDataFrame([(x,) for x in ids], "id string"))
+            rows = self.lookup(batch)
             if live is not None:
-                rows = scheduler.reachable(rows, live)[0]
-            found = staged(analyze(rows, tier), "analysed")
-            saved = [r["id"] for r in found.select("id").collect()]
+                rows = self.without_missing(rows, live)
+            found = staged(analyze(rows, size["tier"]), "analysed")
+            saved = found.count()
             if saved:
-                self.save_fused(found, tier)
-                self.record_batch_progress(tier, len(saved), ids[-1])
-            aside |= set(ids) if tier == 3 else set(ids) - set(saved)
-            done += len(ids)
+                self.save_fused(found, size["tier"])
+                self.record_batch_progress(size["tier"], saved, size["last"])
+            # a row whose junk stays ambiguous after tier 3 would come again
+            left = batch.select("id") if size["tier"] == 3 else batch.join(found.select("id"), "id", "left_anti").select("id")
+            aside = staged(left if aside is None else aside.unionByName(left), "aside")
+            done += size["n"]
         return done
 
 

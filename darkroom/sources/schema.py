@@ -111,10 +111,20 @@ def _from_raw(raw: Column, kind: T.StructType) -> Column:
     return F.struct(*parts)
 
 
+def _json(x: Column) -> Column:
+    """The JSON text of a struct or array, with nulls written out; null itself is the text null."""
+    return F.coalesce(F.to_json(x, {"ignoreNullFields": "false"}), F.lit("null"))
+
+
+def _pairs_json(similarities: Column) -> Column:
+    """[["label", number], ...]: arrays of mixed types, which no type of Spark has."""
+    pair = lambda p: F.concat(F.regexp_replace(F.to_json(F.array(p["label"])), r"\]$", ""), F.lit(","), F.coalesce(p["similarity"].cast("string"), F.lit("null")), F.lit("]"))
+    return F.concat(F.lit("["), F.array_join(F.transform(similarities, pair), ","), F.lit("]"))
+
+
 def features_to_json(features: Column) -> Column:
-    """The JSON text of features: hashes unsigned, similarities as pairs."""
-    kind = T._parse_datatype_string(FEATURES)
-    parts = []
+    """The JSON text of features: hashes unsigned, similarities as pairs of text and number, missing parts null."""
+    kind, parts = T._parse_datatype_string(FEATURES), []
     for part in kind.fields:
         fields = []
         for f in part.dataType.fields:
@@ -122,17 +132,65 @@ def features_to_json(features: Column) -> Column:
             if f.name == "dhash":
                 wide = x.cast("decimal(20,0)")
                 x = F.when(x < 0, wide + _unsigned(1 << 64)).otherwise(wide).cast("decimal(20,0)")
-            elif f.name == "junk_similarities":
-                x = F.transform(x, lambda p: F.array(p["label"], p["similarity"].cast("string")))
-            fields.append(x.alias(f.name))
-        parts.append(F.when(features[part.name].isNotNull(), F.struct(*fields)).alias(part.name))
-    return F.to_json(F.struct(*parts))
-
-
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Asset records from a JSON file that holds an array of them, or one."""
-    return spark.read.schema(T._parse_datatype_string(ASSETS)).option("multiLine", True).json(path)
+            if f.name != "junk_similarities":
+                fields.append(x.alias(f.name))
+        text = _json(F.struct(*fields))
+        if part.name == "embedding":
+            similar = F.coalesce(_pairs_json(features["embedding"]["junk_similarities"]), F.lit("null"))
+            text = F.concat(F.regexp_replace(text, r"\}$", ""), F.lit(',"junk_similarities":'), similar, F.lit("}"))
+        parts += [F.lit(f'"{part.name}":'), F.when(features[part.name].isNotNull(), text).otherwise(F.lit("null")), F.lit(",")]
+    return F.when(features.isNotNull(), F.concat(F.lit("{"), *parts[:-1], F.lit("}")))
+
+
+SCORES = ("junk", "miss", "aesthetic")
+#: What stands in a record beside meta, features and scores.
+_REST = ("reasons", "cluster_id", "is_best_in_cluster", "tier_completed", "analyzed_at")
+
+
+def _record_type() -> T.StructType:
+    """A record as its JSON has it: metadata and scores nested, features raw."""
+    flat = T._parse_datatype_string(ASSETS)
+    nested = [
+        T.StructField("meta", T.StructType([flat[c] for c in META_COLUMNS])), T.StructField("features", _raw(flat["features"].dataType)),
+        T.StructField("scores", T.StructType([flat[c] for c in SCORES])), *[flat[c] for c in _REST], T.StructField("_corrupt_record", T.StringType()),
+    ]
+    return T.StructType(nested)
+
+
+def record_problem(df: DataFrame) -> Column:
+    """Why a parsed record is none: its text does not fit the schema, or it has no id or time."""
+    broken = F.when(F.col("_corrupt_record").isNotNull(), F.concat(F.lit("not a record: "), F.substring("_corrupt_record", 1, 200)))
+    return broken.when(F.col("meta.id").isNull(), F.lit("no id")).when(F.col("meta.created_at").isNull(), F.lit("no time"))
+
+
+def read_records(spark: SparkSession, path: str, lines: bool = False, errors: str = "refuse") -> DataFrame:
+    """Asset records from JSON files that hold an array of them, or one; with lines, one on each line.
+
+    Records have meta and scores nested, hashes unsigned and similarities as pairs, as write_records leaves them. What
+    does not fit, or has no id or time, fails the read; with errors="report" it stays as a row of nulls whose column error says why.
+    """
+    kind = _record_type()
+    # a read of the corrupt column alone is what Spark refuses; all columns are read here
+    rows = spark.read.schema(kind).option("multiLine", not lines).option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    problem = record_problem(rows)
+    feature_type = T._parse_datatype_string(FEATURES)
+    features = F.element_at(F.transform(F.array("features"), lambda raw: _from_raw(raw, feature_type)), 1)
+    of = {c: F.col(f"meta.{c}") for c in META_COLUMNS} | {"features": features} | {c: F.col(f"scores.{c}") for c in SCORES} | {c: F.col(c) for c in _REST}
+    names = T._parse_datatype_string(ASSETS).fieldNames()
+    if errors == "report":
+        return rows.select(*[F.when(problem.isNull(), of[c]).alias(c) for c in names], problem.alias("error"))
+    fine = F.when(problem.isNotNull(), F.raise_error(problem).cast("string")).otherwise(of["id"])
+    return rows.select(fine.alias("id"), *[of[c].alias(c) for c in names if c != "id"])
+
+
+def records_json(df: DataFrame) -> DataFrame:
+    """(value): the JSON text of each record."""
+    flat = lambda names: _json(F.struct(*names))
+    rest = F.regexp_replace(flat(_REST), r"^\{", "")
+    features = F.coalesce(features_to_json(F.col("features")), F.lit("{}"))
+    return df.select(F.concat(F.lit('{"meta":'), flat(META_COLUMNS), F.lit(',"features":'), features, F.lit(',"scores":'), flat(SCORES), F.lit(","), rest).alias("value"))
 
 
 def write_records(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    """Records as JSON, one on each line; read_records(lines=True) reads them back unchanged."""
+    records_json(df).write.mode("overwrite").text(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from darkroom.functions import analyzers, pixels, scalars
-from darkroom.operators import fusion, pairs, queue, ranking, scheduler
+from darkroom.operators import fusion, pairs, queue, ranking, scheduler, sessions
 from darkroom.operators.evaluation import score_report
 from darkroom.plans.engine import Engine
 from darkroom.sources import schema
@@ -115,7 +115,7 @@ def test_clusters_and_chains(spark):
     rows += [asset("e", 5000, burst_id="x", latitude=0.0, longitude=0.0), asset("f", 5001, burst_id="x", latitude=1.0, longitude=0.0), asset("g", 5002, burst_id="x"), asset("h", 5100, burst_id=""), asset("i", 5101, burst_id="")]
     df = frame(spark, *rows).select("id", "created_at", "latitude", "longitude", "burst_id", F.col("features.pixel.dhash").alias("dhash"))
     got = {}
-    for r in pairs.clusters(df).collect():
+    for r in sessions.clusters(df).collect():
         got.setdefault(r.cluster_id, []).append((r.pos, r.id))
     assert {k: [x for _, x in sorted(v)] for k, v in got.items()} == {"a": ["b", "a"], "d000": [f"d{i:03}" for i in reversed(range(40))], "e": ["g", "f", "e"]}
 
@@ -256,8 +256,9 @@ def test_cli(spark, tmp_path, capsys):
     from darkroom.cli import main
 
     path = str(tmp_path / "r.json")
-    rows = [{"id": "a", "created_at": "2024-01-01T00:00:00Z", "is_favorite": False, "is_hidden": False, "is_screenshot": False, "is_locally_available": True, "features": {"pixel": PIXEL}, "reasons": []}]
-    rows.append(rows[0] | {"id": "b"})
+    meta = {"id": "a", "created_at": "2024-01-01T00:00:00Z", "is_favorite": False, "is_hidden": False, "is_screenshot": False, "is_locally_available": True}
+    rows = [{"meta": meta, "features": {"pixel": PIXEL}, "scores": {"junk": 0.0, "miss": 0.0, "aesthetic": 0.5}, "reasons": []}]
+    rows.append(rows[0] | {"meta": meta | {"id": "b"}})
     (tmp_path / "r.json").write_text(json.dumps(rows))
     assert main(["weights"]) == main(["fuse", path]) == main(["cluster", path]) == main(["rank", path]) == 0
     out = capsys.readouterr().out

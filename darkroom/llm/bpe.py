@@ -9,6 +9,7 @@ a sequence is the encoding of its text when each two neighbours are the encoding
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -64,6 +65,28 @@ def _byte_letters() -> dict[int, int]:
 BYTE_LETTERS = _byte_letters()
 
 
+def form_of(tokenizer) -> tuple[dict | None, dict | None]:
+    """What a tokenizer file says of its normalizer and its pre-tokenizer, without offsets, which ids do not depend on."""
+    said = [json.loads(x.__getstate__()) if x is not None else None for x in (tokenizer.normalizer, tokenizer.pre_tokenizer)]
+    for x in said:
+        for part in [x, *(x.get("pretokenizers", []) if x else [])]:
+            if part:
+                part.pop("trim_offsets", None)
+    return said[0], said[1]
+
+
+#: The forms of file whose rules this package relies on: words end at white space, and signs after letters
+#: begin a token. Files of any other form are read by the library alone, whole text by whole text.
+BYTE_FORM = (None, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True})
+WORD_FORM = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False},
+    ]},
+)
+
+
 def byte_level(text: str) -> str:
     return text.encode("utf-8").decode("latin-1").translate(BYTE_LETTERS)
 
@@ -122,7 +145,8 @@ def gathered(lists: pa.ListArray, ids_of: Remembered) -> tuple[np.ndarray, np.nd
 
 
 class Encoder:
-    """Encodes with a tokenizer file whose pre-tokenizer drops white space and whose model is BPE."""
+    """Encodes with a tokenizer file: by words and trees if its form is WORD_FORM and its model BPE without a decoder, else
+    by the library alone."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,7 +154,9 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-        self.path, self.suffix = path, self.tokenizer.model.end_of_word_suffix or ""
+        model = self.tokenizer.model
+        self.usual = form_of(self.tokenizer) == WORD_FORM and type(model).__name__ == "BPE" and not model.dropout and self.tokenizer.decoder is None
+        self.path, self.suffix = path, getattr(model, "end_of_word_suffix", None) or ""
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.added_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.tokens = np.array([self.tokenizer.id_to_token(i) for i in range(self.tokenizer.get_vocab_size(with_added_tokens=True))], dtype=object)
@@ -147,6 +173,9 @@ class Encoder:
 
     def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of whole texts end to end, their number by text); null texts count as empty."""
+        if not self.usual:
+            found = [self.tokenizer.encode(x or "", add_special_tokens=False).ids for x in texts.to_pylist()]
+            return np.array([i for x in found for i in x], dtype="<u4"), np.array(list(map(len, found)), dtype=np.int64)
         self.known.turn()
         return gathered(pc.ascii_split_whitespace(pc.fill_null(texts, "")), self.known)
 
@@ -166,7 +195,9 @@ class Encoder:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
-        """As the library's decode(ids, skip_special_tokens=False) where the file names no decoder."""
+        """As the library's decode(ids, skip_special_tokens=False)."""
+        if not self.usual:
+            return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         return " ".join(self.tokens[ids].tolist())
 
     def pretokens(self, run: str) -> Iterator[str | int]:
@@ -226,6 +257,9 @@ def encoder(path: str) -> Encoder:
 def _pieces(encoder: Encoder, text: str) -> Iterator[tuple[int, str]]:
     """Parts of a long text that can be encoded apart: (kind, part). Kind 0: whole words. Kind 1: part of a
     pre-token, to be joined with the next one. Kind 2: the final part of a pre-token. Kind 3: an added token's id."""
+    if not encoder.usual:
+        yield 0, text
+        return
     plain: list[str] = []
     size = 0
     for word in text.encode("utf-8").split():
@@ -269,8 +303,8 @@ def encoded(docs: DataFrame, tokenizer_path: str, text_col: str = "text", prefix
     """All rows and columns of docs with the columns ids (binary, little-endian unsigned 32-bit integers) and decoded.
 
     Null texts count as empty: no ids, decoded ''. Columns of docs with these names are replaced. tokenizer_path is a
-    file that every executor has, of a BPE tokenizer that drops white space. Texts of over LONG characters are cut
-    into pieces that separate tasks encode.
+    file that every executor has. With a file of WORD_FORM, texts of over LONG characters are cut into pieces that
+    separate tasks encode; any other file encodes each text whole.
     """
     docs = docs.drop(f"{prefix}ids", f"{prefix}decoded")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)

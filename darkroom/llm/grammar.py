@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from darkroom.llm.bpe import Remembered, byte_level, gathered, plain, without_signs
+from darkroom.llm.bpe import BYTE_FORM, Remembered, byte_level, form_of, gathered, plain, without_signs
 from darkroom.llm.common import slices
 
 SYMBOLS = 1 << 16
@@ -51,7 +51,8 @@ def _cut(text: str) -> str:
 
 
 class ByteEncoder:
-    """Ids of whole texts by a byte-level BPE file of the tokenizers library, without added ids."""
+    """Ids of whole texts by a file of the tokenizers library, without added ids: piece by piece if its form is BYTE_FORM and
+    its model BPE, else by the library alone. Its ids must fit 16 bits and leave some of them free."""
 
     def __init__(self, path: str):
         import os
@@ -61,7 +62,11 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding(), self.tokenizer.no_truncation()
-        self.tokenize = self.tokenizer.model.tokenize
+        model = self.tokenizer.model
+        self.usual = form_of(self.tokenizer) == BYTE_FORM and type(model).__name__ == "BPE" and not model.dropout
+        if self.tokenizer.get_vocab_size(with_added_tokens=True) > SYMBOLS:
+            raise ValueError(f"more than {SYMBOLS} ids")
+        self.tokenize = model.tokenize
         self.known = Remembered(self.ids_of, "<u2", REMEMBERED)
 
     def ids_of(self, piece: str) -> bytes:
@@ -83,6 +88,9 @@ class ByteEncoder:
         distinct piece is encoded once. A text with white space next to white space is one piece.
         """
         self.known.turn()
+        if not self.usual:
+            each = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u2") for x in texts]
+            return np.concatenate([np.zeros(0, "<u2"), *each]), np.array(list(map(len, each)), dtype=np.int64)
         if any("\0" in x for x in texts):  # the mark of a cut
             each = [np.array(self.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u2") if "\0" in x else self.encode_all([x])[0] for x in texts]
             return np.concatenate(each), np.array([len(x) for x in each], dtype=np.int64)
@@ -175,6 +183,13 @@ def repair(ids: np.ndarray, lengths: np.ndarray, terminals: int) -> tuple[np.nda
         if not len(chosen):
             break
         places, found = _places(keys, chosen)
+        # pairs that others' places have left but one of their own make no rule; they may in a later round
+        paying = np.bincount(found, minlength=len(chosen)) > 1
+        if not paying.any():
+            break
+        if not paying.all():
+            places, found = places[paying[found]], (np.cumsum(paying, dtype=np.uint32) - np.uint32(1))[found[paying[found]]]
+            chosen = chosen[paying]
         symbols[places] = found + np.uint32(SYMBOLS - free)
         kept = flags[:n]
         kept[:] = True

@@ -147,10 +147,10 @@ def read_prompts(spark: SparkSession, path: str | None) -> DataFrame:
 
 def zero_shot(assets: DataFrame, prompts: DataFrame, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """(id, similarities: array<struct<label, similarity>>) in label order. prompts (label, vector) must be few, as a
-    prompt file is; they are joined to each row as one array, and more than MOST_PROMPTS are refused."""
-    if (n := prompts.limit(MOST_PROMPTS + 1).count()) > MOST_PROMPTS:
-        raise ValueError(f"more than {MOST_PROMPTS} prompts ({n})")
-    few = prompts.agg(F.sort_array(F.collect_list(F.struct("label", "vector"))).alias("prompts"))
+    prompt file is; they are joined to each row as one array, and a query with more than MOST_PROMPTS fails."""
+    few = prompts.limit(MOST_PROMPTS + 1).agg(F.sort_array(F.collect_list(F.struct("label", "vector"))).alias("prompts"))
+    refused = F.raise_error(F.lit(f"more than {MOST_PROMPTS} prompts")).cast(few.schema["prompts"].dataType)
+    few = few.select(F.when(F.size("prompts") > MOST_PROMPTS, refused).otherwise(F.col("prompts")).alias("prompts"))
     similar = F.transform("prompts", lambda p: F.struct(p["label"].alias("label"), cosine(F.col(vector_col), p["vector"], 1e-9, True).cast("float").alias("similarity")))
     return assets.select(id_col, vector_col).crossJoin(F.broadcast(few)).select(id_col, similar.alias("similarities"))
 

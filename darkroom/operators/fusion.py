@@ -34,7 +34,7 @@ class Rule:
 
 
 def signal_rules(w: Weights) -> list[Rule]:
-    """The rules on signals, in the order in which their reasons are listed."""
+    """The rules on signals. Their order, the texts of their details and their shares."""
     c = lambda path: F.col(f"features.{path}")
     blur, dark, bright = c("pixel.blur_variance"), c("pixel.dark_fraction"), c("pixel.bright_fraction")
     top, vlm = F.col("_top"), c("vlm.confidence")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.scalars import f32
 
+#: Batch sizes by thermal state, the memory that tier 3 needs, and the junk that it is asked about.
 NOMINAL_BATCH, FAIR_BATCH, HOT_BATCH, LEAST_RAM_GB = 32, 16, 4, 6
 AMBIGUOUS = (0.35, 0.70)
 

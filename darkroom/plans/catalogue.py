@@ -858,3 +858,62 @@ def q60(spark, sf_dir):
     finally:
         spark.conf.set(conf, before)
     return undo.standing(spark.read.schema(undo.CHANGES).parquet(f"{path}/out"))
+
+
+@_query(
+    "q61_rank_odd",
+    """with a as (select event_id as n, event_id // 4 as c, 'a' || event_id as id, (event_id % 4)::int as pos, (((event_id * 29) % 300)::double / 100 - 0.5)::float as quality, (((event_id * 13) % 700)::double)::float as blur,
+      (((event_id * 31) % 100)::double / 100)::float as aesthetic, (((event_id * 7) % 100)::double / 100)::float as miss, event_id % 5 as faces, event_id % 3 <> 0 as pixel from events),
+    s as (select *, aesthetic * 0.45::float + (case when faces > 0 then greatest(least(quality, 1::float), 0::float) else 0.5::float end) * 0.20::float
+      + (case when pixel then greatest(least(blur / 200::float, 1::float), 0::float) else 0.5::float end) * 0.20::float - miss * 0.35::float as score from a),
+    r as (select *, row_number() over (partition by c order by score desc, pos)::int as rank_no, count(*) over (partition by c) as size from s)
+    select id, rank_no, round(score::double, 4) as score from r where size >= 2""",
+)
+def q61(spark, sf_dir):
+    """Ranks where qualities and sharpness lie out of range, and faces or pixels are missing."""
+    n, f = F.col("event_id"), lambda k, m, d, less=0.0: (((n * k) % m) / F.lit(float(d)) - less).cast("double").cast("float")
+    pixel = F.when(n % 3 != 0, F.struct(((n * 13) % 700).cast("double").cast("float").alias("blur_variance")))
+    face = F.struct((n % 5).cast("int").alias("face_count"), f(29, 300, 100, 0.5).alias("avg_capture_quality"))
+    members = _table(spark, sf_dir, "events").select(
+        F.floor(n / 4).cast("string").alias("cluster_id"), (n % 4).cast("int").alias("pos"), F.concat(F.lit("a"), n).alias("id"), F.struct(pixel.alias("pixel"), face.alias("face")).alias("features"),
+        f(31, 100, 100).alias("aesthetic"), f(7, 100, 100).alias("miss"), F.array().cast(schema.REASONS).alias("reasons"),
+    )
+    return ranking.ranked(members).select("id", "rank_no", _round(F.col("rank_score")).alias("score"))
+
+
+@_query(
+    "q62_part_seconds",
+    """with a as (select event_id, epoch_us(ts) // 1000000 * 1000 + (event_id * 617) % 1000 as at from events)
+    select a.event_id as id_a, b.event_id as id_b, ((b.at - a.at) // 1000)::bigint as gap from a join a b on b.at >= a.at and b.at - a.at <= 20000 and (b.at > a.at or a.event_id < b.event_id)""",
+)
+def q62(spark, sf_dir):
+    """Pairs of times with parts of seconds: at most 20 seconds apart to the last part."""
+    at = F.timestamp_millis(F.unix_seconds(F.col("ts").cast("timestamp")) * 1000 + (F.col("event_id") * 617) % 1000)
+    rows = _table(spark, sf_dir, "events").select("event_id", at.alias("at"))
+    return pairs.band_pairs(rows, "at", 20, "event_id").select(F.col("event_id_a").alias("id_a"), F.col("event_id_b").alias("id_b"), "gap")
+
+
+@_query(
+    "q63_resized_hash",
+    """with seeds as (select event_id // 10 as image, sum(event_id)::bigint as n from events group by 1),
+    big as (select image, y, x, 64 * ((n + y * x + x) % 4) as r, 64 * ((n * y + x * 3) % 4) as g, 64 * ((n + y * 5 + x * x) % 4) as b from seeds, range(24) t(y), range(27) s(x)),
+    taps as (select o, i, greatest(0, 1 - abs(i + 0.5::double - (o + 0.5::double) * 3) / 3) as w from range(9) t(o), range(27) s(i)),
+    down as (select o, i, w / sum(w) over (partition by o) as w from taps where o < 8 and i < 24), across as (select o, i, w / sum(w) over (partition by o) as w from taps),
+    rows as (select image, d.o as y, x, sum(w * r) as r, sum(w * g) as g, sum(w * b) as b from big join down d on d.i = big.y where w > 0 group by 1, 2, 3),
+    small as (select image, y, a.o as x, round(sum(w * r))::int as r, round(sum(w * g))::int as g, round(sum(w * b))::int as b from rows join across a on a.i = rows.x where w > 0 group by 1, 2, 3),
+    luma as (select image, y, x, (299 * r + 587 * g + 114 * b) // 1000 as l from small),
+    bits as (select a.image, 8 * a.y + a.x as place from luma a join luma b on a.image = b.image and a.y = b.y and b.x = a.x + 1 where a.l > b.l)
+    select s.image, coalesce(b.h, 0)::bigint as dhash from seeds s left join
+      (select image, sum(case when place = 63 then -9223372036854775808::hugeint else (1::bigint << place::int)::hugeint end) as h from bits group by image) b on s.image = b.image""",
+)
+def q63(spark, sf_dir):
+    """Difference hashes of 27 x 24 colour images, which are shrunk to 9 x 8 by the triangle filter first."""
+    seeds = _table(spark, sf_dir, "events").groupBy(F.floor(F.col("event_id") / 10).alias("image")).agg(F.sum("event_id").alias("n"))
+    n, byte = F.col("n"), lambda v: F.lpad(F.hex((v % 4) * 64), 2, "0")
+
+    def pixel(p):
+        y, x = F.floor(p / 27), p % 27
+        return F.concat(byte(n + y * x + x), byte(n * y + x * 3), byte(n + y * 5 + x * x), F.lit("FF"))
+
+    image = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(27 * 24 - 1)), pixel), ""))
+    return seeds.select("image", image.alias("d")).select("image", pixels.dhash(F.lit(27), F.lit(24), F.col("d")).alias("dhash"))

@@ -8,6 +8,7 @@ from dataclasses import asdict, dataclass, fields
 
 @dataclass(frozen=True)
 class Weights:
+    # The keys of the file and the weights that stand where none is given.
     version: int = 1
     blur_junk: float = 0.55
     dark_junk: float = 0.45
@@ -47,6 +48,7 @@ class Weights:
 
     def of_reason(self, kind: str) -> float:
         """The weight behind a reason kind; 0.5 for kinds that have none."""
+        # fixed values: the weight of each kind
         names = {
             "Blur": "blur_junk", "Underexposed": "dark_junk", "Overexposed": "bright_junk", "PocketShot": "pocket_junk", "Screenshot": "screenshot_junk",
             "ReceiptOrDocument": "text_document_junk", "BarcodeOrLabel": "barcode_junk", "UtilityJunk": "zero_shot_junk", "VlmEphemeral": "vlm_ephemeral_junk",

@@ -413,7 +413,7 @@ def q29(spark, sf_dir):
     round(coalesce(s.aesthetic, 0.5::float)::double, 4) as aesthetic, coalesce(s.tier_completed, 0) as tier_completed from stored s full join incoming i on s.id = i.id""",
 )
 def q30(spark, sf_dir):
-    every = _stored(spark, sf_dir).drop("should_queue")
+    every = _fused(spark, sf_dir)
     incoming = adapter.assets(spark, sf_dir).where("seq % 3 = 0").withColumn("byte_size", F.col("byte_size") + 1)
     # the write that comes last is the one that counts
     twice = incoming.withColumn("at", F.lit(2)).unionByName(incoming.withColumn("byte_size", F.lit(0).cast("bigint")).withColumn("at", F.lit(1)))

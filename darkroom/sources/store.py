@@ -198,33 +198,33 @@ class Store:
         for _ in range(TRIES):
             base = self.version()
             commit = self._commit_of(base)
-            if "*" in commit:
-                touched = list(range(self.buckets))
-            if not touched or self._written(merge(self._read(commit, touched), rows), base, commit, touched):
+            some = list(range(self.buckets)) if "*" in commit else touched
+            if not some:
+                return
+            written = self._written(merge(self._read(commit, some), rows))
+            if self._committed(base, {b: f for b, f in commit.items() if b != "*" and int(b) not in some} | written):
                 return
         raise RuntimeError("other writers committed in between, again and again")
 
-    def _written(self, df: DataFrame, base: int, commit: dict[str, str], touched: list[int]) -> bool:
-        """Writes buckets and commits them; False if another writer has committed since base."""
+    def _written(self, df: DataFrame) -> dict[str, str]:
+        """Writes rows to a new folder; where each bucket that has some lies."""
         folder = f"data-{uuid.uuid4().hex}"
         out = df.select(*T._parse_datatype_string(ASSETS).fieldNames()).withColumn("bucket", self.bucket())
-        out = out.repartition(max(1, len(touched)), "bucket").sortWithinPartitions("bucket", "id")
-        out.write.partitionBy("bucket").parquet(f"{self.path}/assets/{folder}")
-        new = {b: f for b, f in commit.items() if b != "*" and int(b) not in touched}
-        new |= {x.split("=")[1]: f"{folder}/{x}" for x in self._names(f"{self.path}/assets/{folder}") if x.startswith("bucket=")}
-        done = self._create(f"{self.path}/assets/commits/{base + 1:012}.json", json.dumps(new), False)
+        out.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{self.path}/assets/{folder}")
+        return {x.split("=")[1]: f"{folder}/{x}" for x in self._names(f"{self.path}/assets/{folder}") if x.startswith("bucket=")}
+
+    def _committed(self, base: int, commit: dict[str, str]) -> bool:
+        """Makes a commit the one after base; False if another writer was first."""
+        done = self._create(f"{self.path}/assets/commits/{base + 1:012}.json", json.dumps(commit), False)
         if done:
             self._put("schema_version", str(SCHEMA_VERSION))
         return done
 
     def replace(self, df: DataFrame) -> None:
         """df as all assets."""
-        rows = staged(df.select(*T._parse_datatype_string(ASSETS).fieldNames()), "assets")
-        for _ in range(TRIES):
-            base = self.version()
-            if self._written(rows, base, {}, list(range(self.buckets))):
-                return
-        raise RuntimeError("other writers committed in between, again and again")
+        written = self._written(df)
+        while not self._committed(self.version(), written):
+            pass
 
     def put(self, rows: DataFrame) -> None:
         """Whole rows in place of those of the same id."""

@@ -917,3 +917,97 @@ def q63(spark, sf_dir):
 
     image = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(27 * 24 - 1)), pixel), ""))
     return seeds.select("image", image.alias("d")).select("image", pixels.dhash(F.lit(27), F.lit(24), F.col("d")).alias("dhash"))
+
+
+@_query(
+    "q64_store_lookup",
+    f"with {_FUSED}, {_DECISIONS} select id, round(case when event_type <> 'view' then junk else 0 end::double, 4) as junk, case when event_type <> 'view' then 2 else tier_completed end::int as tier_completed, byte_size from fused where id in (select asset_id from decisions where decision <> 'keep')",
+)
+def q64(spark, sf_dir):
+    """Assets without a keep, looked up by id in a store in which a part of the assets has been analysed."""
+    engine = Engine(spark, _folder(spark, "store"))
+    rows = adapter.assets(spark, sf_dir)
+    engine.store.replace(_as_stored(rows))
+    engine.save_fused(rows.where("event_type <> 'view'"), 2)
+    wanted = _decisions(spark, sf_dir).where("decision <> 'keep'").select(F.col("asset_id").alias("id"))
+    return engine.lookup(wanted).select("id", _round(F.col("junk")).alias("junk"), "tier_completed", "byte_size")
+
+
+@_query(
+    "q65_decision_log",
+    """with d as (select 'a' || event_id % 700 as asset_id, event_id as made, case when event_type in ('purchase', 'click') then 'keep' when event_type = 'error' then 'clear_keep' when event_type = 'view' then 'toss' else 'skip' end as decision from events),
+    clears as (select asset_id, max(made) as cleared from d where decision = 'clear_keep' group by 1)
+    select asset_id, decision, count(*)::bigint as n from d left join clears using (asset_id) where decision <> 'clear_keep' and (decision <> 'keep' or cleared is null or made >= cleared) group by 1, 2""",
+)
+def q65(spark, sf_dir):
+    """The decisions that stand after a log was folded once, and went on."""
+    e, kept = F.col("event_type"), store.Store(spark, _folder(spark, "store"))
+    kind = F.when(e.isin("purchase", "click"), "keep").when(e == "error", "clear_keep").when(e == "view", "toss").otherwise("skip")
+    log = _table(spark, sf_dir, "events").select(F.concat(F.lit("a"), F.col("event_id") % 700).alias("asset_id"), kind.alias("decision"), F.col("event_id").alias("decided_at"))
+    middle = log.agg(F.avg("decided_at")).first()[0] or 0
+    kept.decide(log.where(F.col("decided_at") <= middle))
+    kept.fold_decisions()
+    kept.decide(log.where(F.col("decided_at") > middle))
+    return kept.decisions().groupBy("asset_id", "decision").agg(F.count("*").alias("n"))
+
+
+_CATEGORIES = {c: [k for k, v in schema.REASON_LABELS.items() if v in labels] for c, labels in schema.CATEGORY_LABELS.items()}
+
+
+@_query(
+    "q66_categories",
+    f"{_ALL}, c(category, kinds) as (values {', '.join(f'({c!r}, {kinds!r})' for c, kinds in _CATEGORIES.items())}) select category, r.id from reviewed r join c on list_has_any(string_split(r.all_kinds, ','), c.kinds) union all select 'all', id from reviewed",
+)
+def q66(spark, sf_dir):
+    """The queue by review category: those with any of a category's labels, and all for all categories."""
+    rows = staged(_review(spark, sf_dir), "queue")
+    out = queue.in_categories(rows, schema.labels_for(list(schema.CATEGORY_LABELS))).select(F.lit("all").alias("category"), "id")
+    for c in schema.CATEGORY_LABELS:
+        out = out.unionByName(queue.in_categories(rows, schema.labels_for([c])).select(F.lit(c).alias("category"), "id"))
+    return out
+
+
+_PROMPTS_SQL = ", ".join(f"({i + 1}, '{p}')" for i, p in enumerate(analyzers.JUNK_PROMPTS))
+
+
+@_query(
+    "q67_builtin_prompts",
+    f"""with p(i, label) as (values {_PROMPTS_SQL}), s as (select vec_id, p.label as label, (list_extract(embedding, i)::double / sqrt(list_inner_product(embedding::double[], embedding::double[])))::float as c from embeddings, p)
+    select vec_id, count(*)::int as prompts, arg_max(label, (c, label)) as label, round(max(c)::double, 4) as similarity from s group by vec_id""",
+)
+def q67(spark, sf_dir):
+    """Similarities to the prompts that are built in, whose vectors are one-hot stubs."""
+    found = analyzers.zero_shot(_table(spark, sf_dir, "embeddings"), analyzers.builtin_prompts(spark, 10), "vec_id")
+    top = found.select("vec_id", F.size("similarities").alias("prompts"), analyzers.top_similarity(F.col("similarities")).alias("t"))
+    return top.select("vec_id", "prompts", "t.label", _round(F.col("t.similarity")).alias("similarity"))
+
+
+_OTHER = _FUSED.replace("is_pocket_shot then 0.95::float", "is_pocket_shot then 0.5::float").replace("any_blink then 0.85::float", "any_blink then 0.25::float").replace("0.55::float * 0.9::float", "0.75::float * 0.9::float").replace("0.55::float * 0.6::float", "0.75::float * 0.6::float")
+
+
+@_query("q68_weights_file", f"with {_OTHER} select id, round(junk::double, 4) as junk, round(miss::double, 4) as miss, kinds from fused")
+def q68(spark, sf_dir):
+    """Fusion by weights that were written as TOML and read back."""
+    weights = Weights.from_toml(Weights(pocket_junk=0.5, blink_miss=0.25, blur_junk=0.75).to_toml())
+    return fusion.fused(adapter.assets(spark, sf_dir), weights).select("id", _round(F.col("junk")).alias("junk"), _round(F.col("miss")).alias("miss"), _kinds().alias("kinds"))
+
+
+@_query(
+    "q69_session",
+    f"""{_ALL}, page as (select id, byte_size, row_number() over (order by byte_size desc, area desc, greatest(junk, miss) desc, id) as place from reviewed qualify place <= 40)
+    select id, byte_size, place % 4 = 1 as tossed, place % 4 = 2 as kept, (sum(case when place % 4 = 1 then byte_size else 0 end) over ())::bigint as freed from page where place % 4 in (1, 2)""",
+)
+def q69(spark, sf_dir):
+    """A review session over the head of the queue: tosses become tombstones, keeps are logged, undone decisions leave nothing."""
+    engine = Engine(spark, _folder(spark, "store"), page=40)
+    engine.store.replace(_clustered(spark, sf_dir))
+    engine.store.decide(_decisions(spark, sf_dir).withColumn("decided_at", F.lit(0)))
+    for place in range(1, engine.rebuild_review_queue() + 1):
+        engine.decide(("undone", "toss", "keep", "skip")[place % 4] if place % 4 else "keep")
+        if not place % 4:
+            engine.decide("undo")
+    engine.commit_deletes()
+    gone = engine.store.deleted().select("id", F.lit(True).alias("tossed"), F.lit(False).alias("kept"))
+    kept = engine.store.decisions().where("decision = 'keep' and decided_at > 0").select(F.col("asset_id").alias("id"), F.lit(False).alias("tossed"), F.lit(True).alias("kept"))
+    sizes = engine.store.assets().select("id", "byte_size")
+    return gone.unionByName(kept).join(sizes, "id").select("id", "byte_size", "tossed", "kept", F.lit(engine.freed_bytes).cast("long").alias("freed"))

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from darkroom.operators.queue import without_keeps
 from darkroom.sources.schema import ASSETS, META_COLUMNS, REASONS
 from darkroom.sources.staging import staged
 
@@ -245,7 +244,7 @@ class Store:
         return [x for x in self._names(f"{self.path}/decisions/entries") if x > log["folded"] and not x.startswith((".", "_"))]
 
     def decisions(self) -> DataFrame:
-        """The decisions that stand: the base and what was logged since, without keeps that were cleared after they were made."""
+        """The decisions that stand: the base and what was logged since, without keeps that an asset had before a clear."""
         log = self._log()
         return self._standing(log, self._entries(log))
 
@@ -257,13 +256,9 @@ class Store:
             rows = rows.unionByName(new)
         if not entries:  # a base holds no clears
             return rows
-        return without_keeps(rows.where("decision <> 'clear_keep'"), self._cleared(rows))
-
-    @staticmethod
-    def _cleared(log: DataFrame) -> DataFrame:
-        """Assets whose last keep was cleared after it was made."""
-        last = log.where("decision in ('keep', 'clear_keep')").groupBy("asset_id").agg(F.max_by("decision", F.struct("decided_at", "decision")).alias("d"))
-        return last.where("d = 'clear_keep'").select("asset_id")
+        clears = rows.where("decision = 'clear_keep'").groupBy("asset_id").agg(F.max("decided_at").alias("cleared"))
+        left = rows.where("decision <> 'clear_keep'").join(clears, "asset_id", "left")
+        return left.where(F.col("cleared").isNull() | (F.col("decision") != "keep") | (F.col("decided_at") >= F.col("cleared"))).drop("cleared")
 
     def _entry(self) -> str:
         return f"{time.time_ns():020}-{uuid.uuid4().hex[:8]}"

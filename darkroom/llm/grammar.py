@@ -111,7 +111,7 @@ SLICE = 1 << 14
 
 
 def _chosen(pairs: np.ndarray, most: int, flags: np.ndarray) -> np.ndarray:
-    """The pairs that a round replaces, ascending: those at least a third as frequent as the most frequent one, up to
+    """The pairs that a round replaces, ascending: those at least a quarter as frequent as the most frequent one, up to
     `most` of them. The others wait, as this round may change their counts. pairs is ascending; flags is spare room."""
     flags = flags[: len(pairs)]
     flags[0] = True
@@ -123,7 +123,7 @@ def _chosen(pairs: np.ndarray, most: int, flags: np.ndarray) -> np.ndarray:
         distinct, counts = distinct[:-1], counts[:-1]
     if not len(distinct):
         return distinct
-    often = np.flatnonzero(counts >= max(LEAST_COUNT, (counts.max() + 2) // 3))
+    often = np.flatnonzero(counts >= max(LEAST_COUNT, (counts.max() + 3) // 4))
     if len(often) > most:
         often = np.sort(often[np.argpartition(counts[often], len(often) - most)[len(often) - most :]])
     # of pairs whose slots agree, one waits for a later round

@@ -785,8 +785,8 @@ def q55(spark, sf_dir):
       where coalesce({name["haversine_m"]}(a.latitude, a.longitude, b.latitude, b.longitude) <= 50.0, true) and {name["hamming"]}(a.dhash, b.dhash) <= 12""")
 
 
-@_query("q56_queue_pages", f"{_ALL} select id, (row_number() over (order by byte_size desc, area desc, greatest(junk, miss) desc, id) - 1)::bigint as position from reviewed qualify position between 50 and 149")
-def q56(spark, sf_dir):
+@_query("q70_queue_pages", f"{_ALL} select id, (row_number() over (order by byte_size desc, area desc, greatest(junk, miss) desc, id) - 1)::bigint as position from reviewed qualify position between 50 and 149")
+def q70(spark, sf_dir):
     """The second and third page of fifty of the queue as a sorted table, by a place and by a cursor."""
     pages = Pages.write(_review(spark, sf_dir), _folder(spark, "pages"), parts=8)
     after = pages.cursor(100)
@@ -817,11 +817,11 @@ def q57(spark, sf_dir):
 
 
 @_query(
-    "q58_cascade",
+    "q71_cascade",
     f"""with {ASSETS}, r as (select *, seq % 11 <> 0 as live, seq % 7 <> 0 as good, tier_completed < 2 and not is_favorite and not is_hidden as pending from assets)
     select id, is_hidden or (pending and not live) as is_hidden, case when pending and (good or not live) then 2 else tier_completed end::int as tier_completed from r""",
 )
-def q58(spark, sf_dir):
+def q71(spark, sf_dir):
     """What a cascade leaves: done, failed and so as before, or hidden because the library has lost it."""
     engine = Engine(spark, _folder(spark, "store"))
     engine.store.replace(_as_stored(adapter.assets(spark, sf_dir)))
@@ -955,10 +955,10 @@ _CATEGORIES = {c: [k for k, v in schema.REASON_LABELS.items() if v in labels] fo
 
 
 @_query(
-    "q66_categories",
+    "q72_categories",
     f"{_ALL}, c(category, kinds) as (values {', '.join(f'({c!r}, {kinds!r})' for c, kinds in _CATEGORIES.items())}) select category, r.id from reviewed r join c on list_has_any(string_split(r.all_kinds, ','), c.kinds) union all select 'all', id from reviewed",
 )
-def q66(spark, sf_dir):
+def q72(spark, sf_dir):
     """The queue by review category: those with any of a category's labels, and all for all categories."""
     rows = staged(_review(spark, sf_dir), "queue")
     out = queue.in_categories(rows, schema.labels_for(list(schema.CATEGORY_LABELS))).select(F.lit("all").alias("category"), "id")
@@ -985,8 +985,8 @@ def q67(spark, sf_dir):
 _OTHER = _FUSED.replace("is_pocket_shot then 0.95::float", "is_pocket_shot then 0.5::float").replace("any_blink then 0.85::float", "any_blink then 0.25::float").replace("0.55::float * 0.9::float", "0.75::float * 0.9::float").replace("0.55::float * 0.6::float", "0.75::float * 0.6::float")
 
 
-@_query("q68_weights_file", f"with {_OTHER} select id, round(junk::double, 4) as junk, round(miss::double, 4) as miss, kinds from fused")
-def q68(spark, sf_dir):
+@_query("q73_weights_file", f"with {_OTHER} select id, round(junk::double, 4) as junk, round(miss::double, 4) as miss, kinds from fused")
+def q73(spark, sf_dir):
     """Fusion by weights that were written as TOML and read back."""
     weights = Weights.from_toml(Weights(pocket_junk=0.5, blink_miss=0.25, blur_junk=0.75).to_toml())
     return fusion.fused(adapter.assets(spark, sf_dir), weights).select("id", _round(F.col("junk")).alias("junk"), _round(F.col("miss")).alias("miss"), _kinds().alias("kinds"))

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.scalars import clamp, f32, ratio, rounded_text
+from darkroom.operators.ranges import in_ranges
+from darkroom.sources.staging import staged
+
+#: A cluster of more rows is not ranked in one window.
+LONG = 50_000
 
 
 def composite() -> Column:
@@ -15,21 +20,45 @@ def composite() -> Column:
     return F.col("aesthetic") * f32(0.45) + face * f32(0.20) + sharp * f32(0.20) - F.col("miss") * f32(0.35)
 
 
-def ranked(members: DataFrame) -> DataFrame:
-    """members (cluster_id, pos, id and fused columns) with rank_score, rank_no (1 is best), best_id and, for the
-    others, two more reasons. Ties go to the smaller pos; clusters of one row are left out."""
+def ranks(scored: DataFrame, long: int = LONG) -> DataFrame:
+    """scored (cluster_id, pos, id, rank_score and more) with rank_no (1 is best), best_id and rank_delta, the score that
+    is missing to the best. Ties go to the smaller pos; clusters of one row are left out.
+
+    A cluster is ranked in one window; those of more than `long` rows, which are few, by ranges.
+    """
     order = Window.partitionBy("cluster_id").orderBy(F.desc("rank_score"), "pos")
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    df = members.withColumn("rank_score", composite()).withColumns({
-        "rank_no": F.row_number().over(order), "best_id": F.first("id").over(whole), "_best": F.first("rank_score").over(whole), "_n": F.count("*").over(Window.partitionBy("cluster_id")),
-    }).where("_n >= 2")
-    gap = F.col("_best") - F.col("rank_score")
+    top = F.max(F.struct("rank_score", (-F.col("pos")).alias("p"), "id"))
+    large = staged(scored.groupBy("cluster_id").agg(top.alias("_top"), F.count("*").alias("_n")).where(F.col("_n") > max(1, long)).select("cluster_id", "_top"), "large")
+    some = bool(large.limit(1).count())
+    columns = [*scored.columns, "rank_no", F.col("_top.id").alias("best_id"), (F.col("_top.rank_score") - F.col("rank_score")).alias("rank_delta")]
+    whole = Window.partitionBy("cluster_id")
+    rest = scored.join(F.broadcast(large.select("cluster_id")), "cluster_id", "left_anti") if some else scored
+    out = rest.withColumns({"rank_no": F.row_number().over(order), "_top": top.over(whole), "_n": F.count("*").over(whole)}).where("_n >= 2").select(*columns)
+    if not some:
+        return out
+    placed = in_ranges(scored.join(F.broadcast(large), "cluster_id"), "cluster_id", [F.desc("rank_score"), F.asc("pos")], "rank_no")
+    return out.unionByName(placed.withColumn("rank_no", F.col("rank_no").cast("int")).select(*columns))
+
+
+def told(ranked: DataFrame) -> DataFrame:
+    """Rows with ranks (rank_no, rank_delta, best_id) and reasons, with is_best_in_cluster and, for those that are not, two more reasons."""
+    gap = F.col("rank_delta")
     reason = lambda kind, detail, confidence: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), confidence.alias("confidence"))
     more = F.array(
         reason("LowerAesthetic", F.concat(F.lit("1 better shot(s) in this burst (Δ"), rounded_text(gap, 2), F.lit(")")), clamp(f32(0.5) + gap * f32(0.4))),
         reason("NearDuplicate", F.concat(F.lit("Near duplicate of "), F.col("best_id")), f32(0.8)),
     )
-    return df.withColumns({"rank_delta": gap, "is_best_in_cluster": F.col("rank_no") == 1, "reasons": F.when(F.col("rank_no") == 1, F.col("reasons")).otherwise(F.concat("reasons", more))}).drop("_best", "_n")
+    return ranked.withColumns({"is_best_in_cluster": F.col("rank_no") == 1, "reasons": F.when(F.col("rank_no") > 1, F.concat("reasons", more)).otherwise(F.col("reasons"))})
+
+
+def ranked(members: DataFrame, long: int = LONG) -> DataFrame:
+    """members (cluster_id, pos, id and fused columns) with rank_score, ranks() and what told() adds."""
+    return told(ranks(members.withColumn("rank_score", composite()), long))
+
+
+def scored(members: DataFrame, assets: DataFrame) -> DataFrame:
+    """members (cluster_id, pos, id) with the rank_score of their assets alone, as ranks() reads them: rows stay narrow."""
+    return members.select("cluster_id", "pos", "id").join(assets.select("id", composite().alias("rank_score")), "id")
 
 
 def ranked_clusters(members: DataFrame) -> DataFrame:
@@ -41,15 +70,14 @@ def ranked_clusters(members: DataFrame) -> DataFrame:
 
 
 def with_clusters(assets: DataFrame, members: DataFrame) -> DataFrame:
-    """assets with cluster_id, best flag, reasons and junk (at least 0.6 for the others) rewritten from ranked members;
-    what an earlier pass left is cleared first."""
-    found = ranked(members).select("id", F.col("cluster_id").alias("_c"), F.col("is_best_in_cluster").alias("_b"), F.col("reasons").alias("_r"))
-    df = assets.drop("cluster_id", "is_best_in_cluster").join(found, "id", "left")
-    loser = F.coalesce(~F.col("_b"), F.lit(False))
+    """assets with cluster_id, best flag, reasons and junk (at least 0.6 for the others) rewritten from their ranks among
+    members (cluster_id, pos, id); what an earlier pass left is cleared first. Whole assets are shuffled once, by id."""
+    found = ranks(scored(members, assets)).select("id", "cluster_id", "rank_no", "rank_delta", "best_id")
+    df = told(assets.drop("cluster_id", "is_best_in_cluster").join(found, "id", "left"))
+    loser = F.col("rank_no") > 1
     return df.withColumns({
-        "cluster_id": F.col("_c"), "is_best_in_cluster": F.coalesce(F.col("_b"), F.lit(False)), "reasons": F.coalesce("_r", "reasons"),
-        "junk": F.when(loser, F.greatest("junk", f32(0.6))).otherwise(F.col("junk")),
-    }).drop("_c", "_b", "_r")
+        "is_best_in_cluster": F.coalesce("is_best_in_cluster", F.lit(False)), "junk": F.when(loser, F.greatest("junk", f32(0.6))).otherwise(F.col("junk")),
+    }).drop("rank_no", "rank_delta", "best_id")
 
 
 def recent(assets: DataFrame, limit: int) -> DataFrame:

@@ -36,12 +36,14 @@ def _functions(assets: str) -> list[str]:
         f"keyword_hits(t string) returns int return {hits}",
         f"reason_label(kind string) returns string return case kind {labels} end",
         f"band_pairs(seconds int) returns table (id_a string, id_b string, gap bigint) return select a.id, b.id, (b.at - a.at) div 1000000 {bands}",
+        f"""band_records(seconds int) returns table (id_a string, id_b string, gap bigint, latitude_a double, longitude_a double, dhash_a bigint, latitude_b double, longitude_b double, dhash_b bigint)
+          return select a.id, b.id, (b.at - a.at) div 1000000, a.latitude, a.longitude, a.dhash, b.latitude, b.longitude, b.dhash {bands}""",
         f"""near_links(seconds int, bits int, metres double) returns table (id_a string, id_b string) return select a.id, b.id {bands}
           where coalesce({far_of} <= metres, true) and ({same} or coalesce(bit_count(a.dhash ^ b.dhash) <= bits, false))""",
     ]
 
 
-FUNCTIONS = ("luma", "hamming", "haversine_m", "within_window", "byte_size_of", "keyword_hits", "reason_label", "band_pairs", "near_links")
+FUNCTIONS = ("luma", "hamming", "haversine_m", "within_window", "byte_size_of", "keyword_hits", "reason_label", "band_pairs", "band_records", "near_links")
 
 
 def register(spark: SparkSession, assets: DataFrame, decisions: DataFrame | None = None, weights: Weights = Weights(), prefix: str = "dark_") -> dict[str, str]:
@@ -49,7 +51,8 @@ def register(spark: SparkSession, assets: DataFrame, decisions: DataFrame | None
 
     assets is what the store holds. Views: assets (with dhash beside the features), fused (scores and reasons by the weights), chips
     (id, kind, title, related_id) and queue (with position by the queue's order in a window of its own, so select a
-    page of it by order and limit). Functions are those of FUNCTIONS, of which band_pairs and near_links are table functions.
+    page of it by order and limit). Functions are those of FUNCTIONS, of which band_pairs,
+    band_records (pairs with place and hash of both, so that no join by id follows) and near_links are table functions.
     """
     name = {x: prefix + x for x in (*FUNCTIONS, "assets", "fused", "chips", "queue")}
     assets.withColumn("dhash", F.col("features.pixel.dhash")).createOrReplaceTempView(name["assets"])

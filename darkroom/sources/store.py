@@ -209,7 +209,9 @@ class Store:
         """Writes rows to a new folder; where each bucket that has some lies."""
         folder = f"data-{uuid.uuid4().hex}"
         out = df.select(*T._parse_datatype_string(ASSETS).fieldNames()).withColumn("bucket", self.bucket())
-        out.repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{self.path}/assets/{folder}")
+        # ranges, not a task a bucket: what a task sorts does not grow with the store
+        parts = max(self.buckets, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        out.repartitionByRange(parts, "bucket", "id").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").parquet(f"{self.path}/assets/{folder}")
         return {x.split("=")[1]: f"{folder}/{x}" for x in self._names(f"{self.path}/assets/{folder}") if x.startswith("bucket=")}
 
     def _committed(self, base: int, commit: dict[str, str]) -> bool:

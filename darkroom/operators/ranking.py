@@ -57,8 +57,9 @@ def ranked(members: DataFrame, long: int = LONG) -> DataFrame:
 
 
 def scored(members: DataFrame, assets: DataFrame) -> DataFrame:
-    """members (cluster_id, pos, id) with the rank_score of their assets alone, as ranks() reads them: rows stay narrow."""
-    return members.select("cluster_id", "pos", "id").join(assets.select("id", composite().alias("rank_score")), "id")
+    """members (cluster_id, pos, id) with the rank_score of their assets alone, as ranks() reads them: rows stay narrow, and are
+    written once, as they are read more than once. Files are far smaller than their rows, so no join goes by the size of a file."""
+    return staged(members.select("cluster_id", "pos", "id").hint("merge").join(assets.select("id", composite().alias("rank_score")), "id"), "scored")
 
 
 def ranked_clusters(members: DataFrame) -> DataFrame:
@@ -73,7 +74,7 @@ def with_clusters(assets: DataFrame, members: DataFrame) -> DataFrame:
     """assets with cluster_id, best flag, reasons and junk (at least 0.6 for the others) rewritten from their ranks among
     members (cluster_id, pos, id); what an earlier pass left is cleared first. Whole assets are shuffled once, by id."""
     found = ranks(scored(members, assets)).select("id", "cluster_id", "rank_no", "rank_delta", "best_id")
-    df = told(assets.drop("cluster_id", "is_best_in_cluster").join(found, "id", "left"))
+    df = told(assets.drop("cluster_id", "is_best_in_cluster").join(found.hint("merge"), "id", "left"))
     loser = F.col("rank_no") > 1
     return df.withColumns({
         "is_best_in_cluster": F.coalesce("is_best_in_cluster", F.lit(False)), "junk": F.when(loser, F.greatest("junk", f32(0.6))).otherwise(F.col("junk")),

@@ -44,6 +44,12 @@ def with_vectors(flat: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame
     return flat.withColumn("_v", F.col("seq") % F.lit(vectors.count())).join(vectors, "_v", "left").drop("_v")
 
 
+def naming_vectors(flat: DataFrame, spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """flat with vector_id, which names the vectors that with_vectors() would add, and these (vector_id, vector)."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").cast("long").alias("vector_id"), F.col("embedding").alias("vector"))
+    return flat.withColumn("vector_id", F.col("seq") % F.lit(vectors.count())), vectors
+
+
 def _split(text: str) -> list[str]:
     """A select list at its top-level commas."""
     out, depth, start = [], 0, 0

@@ -84,3 +84,29 @@ def test_a_store_sorts_ranges_smaller_than_buckets(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert len(list((tmp_path / "s" / "assets").rglob("*.parquet"))) >= 12 and kept.assets().count() == rows.count()
+
+
+@pytest.mark.parametrize(("long", "parts"), [(sessions.LONG, 4), (sessions.LONG, 1), (40, 4)])
+def test_named_vectors_give_what_held_ones_give(spark, long, parts):
+    rng, config = random.Random(11), pairs.ClusterConfig(seconds=2, hamming=1, cosine=0.95)
+    rows = library(rng, 300, 150)
+    some = sorted({tuple(r[6]) for r in rows if r[6]})
+    named = [(*r[:6], some.index(tuple(r[6])) if r[6] else None if i % 2 else -1) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(named, FLAT.rsplit(",", 1)[0] + ", vector_id long")
+    vectors = spark.createDataFrame([(i, list(x)) for i, x in enumerate([*some, (9.0, 9.0)])], "vector_id long, vector array<float>")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        assert {tuple(r) for r in sessions.clusters(df, config, long, vectors).collect()} == brute(rows, config)
+        assert sessions.clusters(df.limit(0), config, long, vectors).count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_copies_of_a_vector_go_to_a_cell_once(spark):
+    """100 rows of one cell name two vectors: two rows hold one, and the rows themselves none."""
+    dealt = spark.range(100).selectExpr("id", "0L as cell", "true as own", "true as head", "id % 3 as vector_id")
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vector_id long, vector array<float>")
+    out = sessions._with_vectors(dealt, vectors)
+    assert out.count() == 102 and {(r.cell, r.vector_id) for r in out.where("vector is not null and id is null and not own").collect()} == {(0, 0), (0, 1)}
+    assert out.where("vector is not null").count() == 2

@@ -12,7 +12,7 @@ of a bucket still are, so no group is missed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +38,8 @@ BATCH = 1 << 20
 ROWS = 1000
 #: Words of 64 bits of a set's sketch: a bit is set where a shingle of the set has its number.
 SKETCH = 8
+#: In buckets of more entries sets have another sketch of FINE words, as pairs that are not like enough grow with the square there.
+MANY, FINE = 64, 64
 #: Fixed value: the seed of Spark's xxhash64(), which a null leaves as it is.
 SEED = 42
 #: An entry of a bucket as it is sent.
@@ -60,9 +62,9 @@ def _read(batches: Iterator[pa.RecordBatch], width: int, seed: int) -> Iterator[
             yield some, hashes, [x.view(np.int64) for x in sets], keys
 
 
-def _sketch(shingles: np.ndarray) -> np.ndarray:
-    held = np.zeros(SKETCH * 64, dtype=bool)
-    held[(shingles.view(np.uint64) >> np.uint64(20)) % np.uint64(SKETCH * 64)] = True
+def _sketch(shingles: np.ndarray, words: int = SKETCH) -> np.ndarray:
+    held = np.zeros(words * 64, dtype=bool)
+    held[(shingles.view(np.uint64) >> np.uint64(20)) % np.uint64(words * 64)] = True
     return np.packbits(held, bitorder="little").view("<i8")
 
 
@@ -173,12 +175,18 @@ def _buckets(rows: DataFrame, common: np.ndarray, width: int, seed: int) -> Data
     return staged(sent.groupBy("part").applyInArrow(match, "shingle long, key long, n int, place int"), "entries")
 
 
-def _held(rows: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, seed: int) -> DataFrame:
-    """(key, tokens): the shingles of each set of pairs (x, y), 32 bits of each, read again from a row that has it.
+def _tokens(shingles: np.ndarray) -> bytes:
+    """The shingles of a set, 32 bits of each. Where these don't tell two apart, a set seems more like another, never less."""
+    return np.sort(shingles.view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes()
 
-    Where 32 bits don't tell two shingles apart, a set seems more like another, never less.
-    """
-    keys = staged(pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct(), "paired")
+
+def _fine_sketch(shingles: np.ndarray) -> bytes:
+    return _sketch(shingles, FINE).tobytes()
+
+
+def _held(rows: DataFrame, prints: DataFrame, keys: DataFrame, width: int, seed: int, form: Callable[[np.ndarray], bytes] = _tokens) -> DataFrame:
+    """(key, tokens): a form of each set of keys (key), once each, read again from a row that has it."""
+    keys = staged(keys, "paired")
     few = keys.count()
     ids = prints.join(bounded_broadcast(keys, few, MOST_BROADCAST), "key", "left_semi").groupBy("key").agg(F.min("id").alias("id")).select("id").distinct()
     ids = staged(ids, "read")
@@ -189,7 +197,7 @@ def _held(rows: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, seed
     @giving_back
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, sets, keys in _read(batches, width, seed):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([np.sort(x.view(np.uint64) >> np.uint64(32)).astype("<u4").tobytes() for x in sets], pa.binary())], names=["key", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(list(map(form, sets)), pa.binary())], names=["key", "tokens"])
 
     found = some.select("id", "text").mapInArrow(of, "key long, tokens binary")
     # rows of the same id may hold other texts, and the same one again
@@ -198,7 +206,8 @@ def _held(rows: DataFrame, prints: DataFrame, pairs: DataFrame, width: int, seed
 
 def _alike(pairs: DataFrame, rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFrame:
     """The pairs (x, y) of sets whose likeness is at least LEAST."""
-    held = _held(rows, prints, pairs, width, seed)
+    keys = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
+    held = _held(rows, prints, keys, width, seed)
     p, q = LEAST
 
     @giving_back
@@ -232,6 +241,24 @@ def _overlapping(x_n: Column, x_bits: Column, y_n: Column, y_bits: Column) -> Co
     return (p + q) * F.least(x_n - lacks(x_bits, y_bits), y_n - lacks(y_bits, x_bits)) >= p * (x_n + y_n)
 
 
+def _finely_overlapping(x_n: Column, x_fine: Column, y_n: Column, y_fine: Column) -> Column:
+    """As _overlapping(), by long sketches; true where there are none."""
+    p, q = LEAST
+    lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda s, t: F.bit_count(s.bitwiseAND(F.bitwise_not(t)))), F.lit(0), lambda n, m: n + m)
+    return F.coalesce((p + q) * F.least(x_n - lacks(x_fine, y_fine), y_n - lacks(y_fine, x_fine)) >= p * (x_n + y_n), F.lit(True))
+
+
+def _fine(rows: DataFrame, prints: DataFrame, keys: DataFrame, width: int, seed: int) -> DataFrame:
+    """(key, fine): long sketches of the sets of keys."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = [np.frombuffer(x, dtype="<i8").tolist() for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fine, pa.list_(pa.int64()))], names=["key", "fine"])
+
+    return _held(rows, prints, keys, width, seed, _fine_sketch).select("key", "tokens").mapInArrow(of, "key long, fine array<long>")
+
+
 def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFrame:
     """(a, b): fingerprints of pairs of texts that are like enough; all groups of such texts are connected by them."""
     keyed = staged(prints.select("key", "fp").distinct().groupBy("key").agg(F.min("fp").alias("first"), F.collect_set("fp").alias("every")), "keys")
@@ -259,10 +286,16 @@ def links(rows: DataFrame, prints: DataFrame, width: int, seed: int) -> DataFram
     of = staged(of.select("shingle", "key", "n", "place", "label", "pivot", (F.col("label") != F.col("p_label")).alias("out")), "labelled")
     open_ = of.groupBy("shingle").agg(F.count("*").alias("held"), F.bool_or("out").alias("any")).where("any").select("shingle", "held")
     marks = prints.groupBy("key").agg(F.first("bits").alias("bits"))
-    of = staged(joined_by_count(of, staged(open_, "buckets"), "shingle", "held", entries).join(marks.hint("merge"), "key"), "open")
-    x, y = (of.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place", "label", "pivot", "out", "bits")]) for side in "xy")
+    of = joined_by_count(of, staged(open_.withColumn("many", F.col("held") > MANY), "buckets"), "shingle", "held", entries)
+    of = staged(of, "opened")
+    dense = of.where("many").select("key").distinct()
+    fine = _fine(rows, prints, dense, width, seed)
+    of = of.join(marks.hint("merge"), "key").join(fine.hint("merge"), "key", "left").withColumn("fine", F.when(F.col("many"), F.col("fine")))
+    of = staged(of, "open")
+    x, y = (of.select("shingle", *[F.col(c).alias(f"{side}_{c}") for c in ("key", "n", "place", "label", "pivot", "out", "bits", "fine")]) for side in "xy")
     able = (F.col("x_label") != F.col("y_label")) & (~F.col("y_out") | (F.col("x_key") < F.col("y_key"))) & _able(F.col("x_n"), F.col("x_place"), F.col("y_n"), F.col("y_place"))
     able = able & _overlapping(F.col("x_n"), F.col("x_bits"), F.col("y_n"), F.col("y_bits"))
+    able = able & _finely_overlapping(F.col("x_n"), F.col("x_fine"), F.col("y_n"), F.col("y_fine"))
     left = x.where("x_out and x_key <> x_pivot").join(y.where("y_key <> y_pivot").withColumnRenamed("shingle", "_shingle").hint("merge"), (F.col("shingle") == F.col("_shingle")) & able)
     left = left.select(F.least("x_key", "y_key").alias("x"), F.greatest("x_key", "y_key").alias("y")).distinct()
     like = near.unionByName(_alike(staged(left, "left"), rows, prints, width, seed))

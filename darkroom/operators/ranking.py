@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions.scalars import clamp, f32, ratio, rounded_text
 from darkroom.operators.ranges import in_ranges
+from darkroom.operators.sessions import large_groups
 from darkroom.sources.staging import staged
 
 #: A cluster of more rows is not ranked in one window.
@@ -40,10 +41,29 @@ def ranks(scored: DataFrame, long: int = LONG) -> DataFrame:
     return out.unionByName(placed.withColumn("rank_no", F.col("rank_no").cast("int")).select(*columns))
 
 
+def ranks_of(rows: DataFrame, long: int = LONG) -> DataFrame:
+    """(id, cluster_id, rank_score, rank_no, best_id, rank_delta) of the members of groups of two or more, from the rows of sessions.grouped()
+    that carry rank_score: what ranks() finds by cluster_id and pos, with one shuffle for ids of clusters, order by time and ranks."""
+    names = ["id", "cluster_id", "rank_score", "rank_no", "best_id", (F.col("_best") - F.col("rank_score")).alias("rank_delta")]
+    order = [F.desc("rank_score"), F.desc("at"), F.asc("id")]
+    rest, large = large_groups(rows, long)
+    group = Window.partitionBy("root")
+    best = group.orderBy(*order)
+    out = rest.withColumns({
+        "rank_no": F.row_number().over(best), "best_id": F.first("id").over(best), "_best": F.first("rank_score").over(best), "cluster_id": F.min("id").over(group), "_n": F.count("*").over(group),
+    }).where("_n >= 2").select(*names)
+    if large is None:
+        return out
+    placed = in_ranges(large, "cluster_id", order, "rank_no")
+    first = placed.where("rank_no = 1").select("cluster_id", F.col("id").alias("best_id"), F.col("rank_score").alias("_best"))
+    return out.unionByName(placed.withColumn("rank_no", F.col("rank_no").cast("int")).join(F.broadcast(first), "cluster_id").select(*names))
+
+
 def told(ranked: DataFrame) -> DataFrame:
-    """Rows with ranks (rank_no, rank_delta, best_id) and reasons, with is_best_in_cluster and, for those that are not, two more reasons."""
-    gap = F.col("rank_delta")
-    reason = lambda kind, detail, confidence: F.struct(F.lit(kind).alias("kind"), detail.alias("detail"), confidence.alias("confidence"))
+    """Rows with ranks (rank_no, rank_delta, best_id) and reasons, with is_best_in_cluster and, for those that are not, two more reasons.
+    Reasons may have some of their fields only; then the two have these."""
+    gap, fields = F.col("rank_delta"), ranked.schema["reasons"].dataType.elementType.names
+    reason = lambda kind, detail, confidence: F.struct(*[x.alias(f) for f, x in (("kind", F.lit(kind)), ("detail", detail), ("confidence", confidence)) if f in fields])
     more = F.array(
         reason("LowerAesthetic", F.concat(F.lit("1 better shot(s) in this burst (Δ"), rounded_text(gap, 2), F.lit(")")), clamp(f32(0.5) + gap * f32(0.4))),
         reason("NearDuplicate", F.concat(F.lit("Near duplicate of "), F.col("best_id")), f32(0.8)),
@@ -56,12 +76,6 @@ def ranked(members: DataFrame, long: int = LONG) -> DataFrame:
     return told(ranks(members.withColumn("rank_score", composite()), long))
 
 
-def scored(members: DataFrame, assets: DataFrame) -> DataFrame:
-    """members (cluster_id, pos, id) with the rank_score of their assets alone, as ranks() reads them: rows stay narrow, and are
-    written once, as they are read more than once. Files are far smaller than their rows, so no join goes by the size of a file."""
-    return staged(members.select("cluster_id", "pos", "id").hint("merge").join(assets.select("id", composite().alias("rank_score")), "id"), "scored")
-
-
 def ranked_clusters(members: DataFrame) -> DataFrame:
     """(cluster_id, best_id, toss_ids worst first, reasons_by_id worst first) of each cluster."""
     losers = ranked(members)
@@ -70,11 +84,25 @@ def ranked_clusters(members: DataFrame) -> DataFrame:
     return out.select("cluster_id", "best_id", F.transform("l", lambda x: x["id"]).alias("toss_ids"), F.transform("l", lambda x: F.struct(x["id"].alias("id"), x["reasons"].alias("reasons"))).alias("reasons_by_id"))
 
 
-def with_clusters(assets: DataFrame, members: DataFrame) -> DataFrame:
-    """assets with cluster_id, best flag, reasons and junk (at least 0.6 for the others) rewritten from their ranks among
-    members (cluster_id, pos, id); what an earlier pass left is cleared first. Whole assets are shuffled once, by id."""
-    found = ranks(scored(members, assets)).select("id", "cluster_id", "rank_no", "rank_delta", "best_id")
-    df = told(assets.drop("cluster_id", "is_best_in_cluster").join(found.hint("merge"), "id", "left"))
+def kinds_as_text(reasons: Column) -> Column:
+    """The kinds of reasons in one text, which takes far less room in a shuffle than an array of them."""
+    return F.array_join(F.transform(reasons, lambda r: r["kind"]), ",")
+
+
+def kinds_of_text(text: Column) -> Column:
+    """Reasons with a kind alone, from kinds_as_text()."""
+    return F.transform(F.filter(F.split(text, ","), lambda k: k != ""), lambda k: F.struct(k.alias("kind")))
+
+
+def with_clusters(assets: DataFrame, ranks: DataFrame, kinds_only: bool = False) -> DataFrame:
+    """assets with cluster_id, best flag, reasons and junk (at least 0.6 for the others) rewritten from ranks (id, cluster_id, rank_no,
+    rank_delta, best_id); what an earlier pass left is cleared first. Assets are shuffled once, by id; with kinds_only their reasons
+    have a kind alone and go as a short text. Files are far smaller than their rows, so the join does not go by their size."""
+    # all that is asked of a rank is whether it is the first
+    found = ranks.select("id", "cluster_id", F.least("rank_no", F.lit(2)).alias("rank_no"), "rank_delta", "best_id")
+    assets = assets.withColumn("reasons", kinds_as_text(F.col("reasons"))) if kinds_only else assets
+    df = assets.drop("cluster_id", "is_best_in_cluster").join(found.hint("merge"), "id", "left")
+    df = told(df.withColumn("reasons", kinds_of_text(F.col("reasons"))) if kinds_only else df)
     loser = F.col("rank_no") > 1
     return df.withColumns({
         "is_best_in_cluster": F.coalesce("is_best_in_cluster", F.lit(False)), "junk": F.when(loser, F.greatest("junk", f32(0.6))).otherwise(F.col("junk")),

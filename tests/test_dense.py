@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from darkroom.functions import pixels
 from darkroom.operators import incremental, pairs, ranking, sessions
+from darkroom.plans import catalogue
 from test_sessions import FLAT, brute, library
 
 
@@ -110,3 +111,26 @@ def test_copies_of_a_vector_go_to_a_cell_once(spark):
     out = sessions._with_vectors(dealt, vectors)
     assert out.count() == 102 and {(r.cell, r.vector_id) for r in out.where("vector is not null and id is null and not own").collect()} == {(0, 0), (0, 1)}
     assert out.where("vector is not null").count() == 2
+
+
+@pytest.mark.parametrize("long", [1, 4, sessions.LONG])
+def test_ranks_of_carried_scores_are_those_of_members(spark, long):
+    """Scores that rows carry to their clusters give the ranks that members joined with their scores have."""
+    rng, config = random.Random(21), pairs.ClusterConfig(seconds=2, hamming=1, cosine=0.95)
+    rows = library(rng, 200, 120)
+    scores = [(r[0], rng.choice([None, 0.5, rng.random(), float("nan")])) for r in rows]
+    df = spark.createDataFrame(rows, FLAT).join(spark.createDataFrame(scores, "id string, rank_score float"), "id")
+    got = ranking.ranks_of(sessions.grouped(df, config, long, carried=("rank_score",)), long)
+    wanted = ranking.ranks(sessions.clusters(df, config).join(df.select("id", "rank_score"), "id"))
+    assert sorted(map(str, got.select(*wanted.drop("pos").columns).collect())) == sorted(map(str, wanted.drop("pos").collect()))
+    assert wanted.count() > 50
+
+
+def test_ranks_join_nothing_by_id(spark):
+    """Of the rows of clusters one shuffle is left, by cluster; kinds go to the queue as a text, not as an array."""
+    folder = "/root/testdata/sf0.001"
+    plan = catalogue._ranks(spark, folder)._jdf.queryExecution().toString()
+    assert "Join" not in plan.split("Physical Plan")[1] and plan.split("Physical Plan")[1].count("Exchange") == 1
+    wide, narrow = (ranking.with_clusters(catalogue._fused(spark, folder), catalogue._ranks(spark, folder), x) for x in (False, True))
+    kinds = lambda df: sorted(map(tuple, df.select("id", "is_best_in_cluster", "junk", catalogue._kinds().alias("kinds")).collect()), key=str)
+    assert kinds(narrow) == kinds(wide) and narrow.schema["reasons"].dataType.elementType.names == ["kind"]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,14 +96,15 @@ def kinds_of_text(text: Column) -> Column:
     return F.transform(F.filter(F.split(text, ","), lambda k: k != ""), lambda k: F.struct(k.alias("kind")))
 
 
-def with_clusters(assets: DataFrame, ranks: DataFrame, kinds_only: bool = False) -> DataFrame:
+def with_clusters(assets: DataFrame, ranks: DataFrame, kinds_only: bool = False, fuse: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """assets with cluster_id, best flag, reasons and junk (at least 0.6 for the others) rewritten from ranks (id, cluster_id, rank_no,
     rank_delta, best_id); what an earlier pass left is cleared first. Assets are shuffled once, by id; with kinds_only their reasons
-    have a kind alone and go as a short text. Files are far smaller than their rows, so the join does not go by their size."""
+    have a kind alone and go as a short text; with fuse, scores and reasons are made after that shuffle and do not go along. Files are far smaller than their rows, so the join does not go by their size."""
     # all that is asked of a rank is whether it is the first
     found = ranks.select("id", "cluster_id", F.least("rank_no", F.lit(2)).alias("rank_no"), "rank_delta", "best_id")
     assets = assets.withColumn("reasons", kinds_as_text(F.col("reasons"))) if kinds_only else assets
     df = assets.drop("cluster_id", "is_best_in_cluster").join(found.hint("merge"), "id", "left")
+    df = fuse(df) if fuse else df
     df = told(df.withColumn("reasons", kinds_of_text(F.col("reasons"))) if kinds_only else df)
     loser = F.col("rank_no") > 1
     return df.withColumns({

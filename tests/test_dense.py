@@ -134,3 +134,16 @@ def test_ranks_join_nothing_by_id(spark):
     wide, narrow = (ranking.with_clusters(catalogue._fused(spark, folder), catalogue._ranks(spark, folder), x) for x in (False, True))
     kinds = lambda df: sorted(map(tuple, df.select("id", "is_best_in_cluster", "junk", catalogue._kinds().alias("kinds")).collect()), key=str)
     assert kinds(narrow) == kinds(wide) and narrow.schema["reasons"].dataType.elementType.names == ["kind"]
+
+
+def test_scores_are_made_after_the_join_with_ranks(spark):
+    from darkroom.operators import fusion
+    from darkroom.sources import adapter
+
+    assets = adapter.assets(spark, "/root/testdata/sf0.001")
+    ranks = spark.createDataFrame([("a1", "a1", 1, 0.0, "a1"), ("a2", "a1", 2, 0.25, "a1")], "id string, cluster_id string, rank_no int, rank_delta float, best_id string")
+    late, early = ranking.with_clusters(assets, ranks, fuse=fusion.fused), ranking.with_clusters(fusion.fused(assets), ranks)
+    under = lambda df: (p := df._jdf.queryExecution().optimizedPlan().toString())[p.index("Join") :]
+    assert "Soft focus" in under(early) and "Soft focus" not in under(late)
+    text = lambda df: sorted(map(str, df.select(*sorted(early.columns)).collect()))
+    assert text(late) == text(early)

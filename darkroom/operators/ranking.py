@@ -8,12 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from darkroom.functions.scalars import clamp, f32, ratio, rounded_text
+from darkroom.operators import sessions
+from darkroom.operators.pairs import ClusterConfig
 from darkroom.operators.ranges import in_ranges
 from darkroom.operators.sessions import large_groups
 from darkroom.sources.staging import staged
 
 #: A cluster of more rows is not ranked in one window.
 LONG = 50_000
+#: What a row gets from its cluster.
+RANK = ("cluster_id", "rank_no", "best_id", "rank_delta")
 
 
 def composite() -> Column:
@@ -43,17 +47,20 @@ def ranks(scored: DataFrame, long: int = LONG) -> DataFrame:
     return out.unionByName(placed.withColumn("rank_no", F.col("rank_no").cast("int")).select(*columns))
 
 
-def ranks_of(rows: DataFrame, long: int = LONG) -> DataFrame:
-    """(id, cluster_id, rank_score, rank_no, best_id, rank_delta) of the members of groups of two or more, from the rows of sessions.grouped()
-    that carry rank_score: what ranks() finds by cluster_id and pos, with one shuffle for ids of clusters, order by time and ranks."""
-    names = ["id", "cluster_id", "rank_score", "rank_no", "best_id", (F.col("_best") - F.col("rank_score")).alias("rank_delta")]
+def ranks_of(rows: DataFrame, long: int = LONG, more: tuple[str, ...] = (), alone: bool = False) -> DataFrame:
+    """(id, cluster_id, rank_score, rank_no, best_id, rank_delta and more) of the members of groups of two or more, from the rows of sessions.grouped()
+    that carry rank_score: what ranks() finds by cluster_id and pos, with one shuffle for ids of clusters, order by time and ranks.
+    With alone, rows of no group are there too, without these."""
+    names = ["id", "cluster_id", "rank_score", "rank_no", "best_id", (F.col("_best") - F.col("rank_score")).alias("rank_delta"), *more]
     order = [F.desc("rank_score"), F.desc("at"), F.asc("id")]
     rest, large = large_groups(rows, long)
     group = Window.partitionBy("root")
     best = group.orderBy(*order)
     out = rest.withColumns({
         "rank_no": F.row_number().over(best), "best_id": F.first("id").over(best), "_best": F.first("rank_score").over(best), "cluster_id": F.min("id").over(group), "_n": F.count("*").over(group),
-    }).where("_n >= 2").select(*names)
+    })
+    out = out.withColumns({c: F.when(F.col("_n") >= 2, F.col(c)) for c in ("cluster_id", "rank_no", "best_id", "_best")}) if alone else out.where("_n >= 2")
+    out = out.select(*names)
     if large is None:
         return out
     placed = in_ranges(large, "cluster_id", order, "rank_no")
@@ -61,6 +68,20 @@ def ranks_of(rows: DataFrame, long: int = LONG) -> DataFrame:
     return out.unionByName(placed.withColumn("rank_no", F.col("rank_no").cast("int")).join(F.broadcast(first), "cluster_id").select(*names))
 
 
+def with_ranks(df: DataFrame, made: Callable[[DataFrame], DataFrame], config: ClusterConfig = ClusterConfig(), long: int = LONG, vectors: DataFrame | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(id, at, the columns named by carried, cluster_id, rank_no, best_id, rank_delta) of every row of df, the last four null for rows of no group.
+
+    df has created_at and what made() makes the rest from: id, the columns that sessions.clusters() takes, and rank_score (see
+    sessions.settled()). Rows are shuffled once, by time, in the form df has them, and those of groups that reach over a cell of time once more, by group.
+    """
+    names = ["id", "at", *carried, *RANK]
+    narrow = df.withColumn("at", F.unix_micros("created_at")).drop("created_at")
+    rows, links, done = sessions.settled(narrow.where("at is not null"), config, long, vectors, carried, made=made)
+    found = ranks_of(sessions.rooted(rows, links), long, ("at", *carried), alone=True).select(*names)
+    timeless = made(narrow.where("at is null")).select("id", "at", *carried, *[F.lit(None).cast(found.schema[c].dataType).alias(c) for c in RANK])
+    return done.select(*names).unionByName(found).unionByName(timeless)
+
+
 def told(ranked: DataFrame) -> DataFrame:
     """Rows with ranks (rank_no, rank_delta, best_id) and reasons, with is_best_in_cluster and, for those that are not, two more reasons.
     Reasons may have some of their fields only; then the two have these."""
@@ -105,8 +126,13 @@ def with_clusters(assets: DataFrame, ranks: DataFrame, kinds_only: bool = False,
     assets = assets.withColumn("reasons", kinds_as_text(F.col("reasons"))) if kinds_only else assets
     df = assets.drop("cluster_id", "is_best_in_cluster").join(found.hint("merge"), "id", "left")
     df = fuse(df) if fuse else df
-    df = told(df.withColumn("reasons", kinds_of_text(F.col("reasons"))) if kinds_only else df)
-    loser = F.col("rank_no") > 1
+    return rewritten(df.withColumn("reasons", kinds_of_text(F.col("reasons"))) if kinds_only else df)
+
+
+def rewritten(fused: DataFrame) -> DataFrame:
+    """Fused assets with their ranks (cluster_id, rank_no, rank_delta, best_id, null for those in no cluster), with best flag, reasons and junk (at
+    least 0.6 for the others) rewritten from these."""
+    loser, df = F.col("rank_no") > 1, told(fused)
     return df.withColumns({
         "is_best_in_cluster": F.coalesce("is_best_in_cluster", F.lit(False)), "junk": F.when(loser, F.greatest("junk", f32(0.6))).otherwise(F.col("junk")),
     }).drop("rank_no", "rank_delta", "best_id")

@@ -32,10 +32,25 @@ SQL = (
 
 def flat_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of SQL's `assets`."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"), "ts", "user_id", "event_type", "value")
+    return _flat_of(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("n"), "ts", "user_id", "event_type", "value"))
+
+
+def _flat_of(events: DataFrame, *more: str) -> DataFrame:
     columns = _split(_COLUMNS.format(text="string", div="div", xor=f"({_HASH} ^ (n%16))"))
     pocket = (F.col("dark_fraction") > F.lit(0.85).cast("float")) & (F.col("blur_variance") < F.lit(20).cast("float"))
-    return events.selectExpr(*columns).withColumn("is_pocket_shot", pocket)
+    return events.selectExpr(*columns, *more).withColumn("is_pocket_shot", pocket)
+
+
+def narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(n, created_at, event_type, value): what assets are made of, in the least room. assets_of() makes them."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return events.select(F.col("event_id").alias("n"), F.date_trunc("second", "ts").alias("created_at"), "event_type", F.col("value").cast("float").alias("value"))
+
+
+def assets_of(rows: DataFrame) -> DataFrame:
+    """assets() from rows with what narrow() gives, the time as `at` in microseconds; other columns of rows stay. user_id is null."""
+    events = rows.withColumns({"ts": F.timestamp_micros("at"), "user_id": F.lit(None).cast("long")})
+    return _featured(_flat_of(events, *[c for c in rows.columns if c != "event_type"]), [c for c in rows.columns if c != "event_type"])
 
 
 def with_vectors(flat: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +78,10 @@ def _split(text: str) -> list[str]:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Asset rows with the nested features that fusion reads."""
-    flat = flat_assets(spark, sf_dir)
+    return _featured(flat_assets(spark, sf_dir))
+
+
+def _featured(flat: DataFrame, more: list[str] = []) -> DataFrame:
     count = lambda flag: F.when(F.col(flag), 1).otherwise(0).cast("int")
     zero = F.lit(0.0).cast("float")
     features = F.struct(
@@ -79,4 +97,4 @@ def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     from darkroom.sources.schema import META_COLUMNS
 
-    return flat.select(*META_COLUMNS, "seq", "user_id", "event_type", "tier_completed", features.alias("features"))
+    return flat.select(*META_COLUMNS, "seq", "user_id", "event_type", "tier_completed", features.alias("features"), *more)

@@ -147,3 +147,35 @@ def test_scores_are_made_after_the_join_with_ranks(spark):
     assert "Soft focus" in under(early) and "Soft focus" not in under(late)
     text = lambda df: sorted(map(str, df.select(*sorted(early.columns)).collect()))
     assert text(late) == text(early)
+
+
+@pytest.mark.parametrize("long", [1, 4, sessions.LONG])
+def test_ranks_made_in_the_cell_are_those_of_members(spark, long):
+    """Every row, those without a time too, has the rank that ranks() finds; groups within a cell get it there, without a shuffle by group."""
+    rng, config = random.Random(22), pairs.ClusterConfig(seconds=2, hamming=1, cosine=0.95)
+    rows = [*library(rng, 200, 120), ("zz", None, None, None, None, None, None)]
+    scores = [(r[0], rng.choice([None, 0.5, 0.0, rng.random(), float("nan")])) for r in rows]
+    df = spark.createDataFrame(rows, FLAT).join(spark.createDataFrame(scores, "id string, rank_score float"), "id").withColumn("twice", F.concat("id", "id"))
+    late = lambda x: x.withColumn("id", F.substring("twice", F.lit(1), F.length("twice") / 2))
+    got = ranking.with_ranks(df.drop("id"), late, config, long, carried=("twice",)).select("id", "twice", *ranking.RANK)
+    clustered = ranking.ranks(sessions.clusters(df, config).join(df.select("id", "rank_score"), "id")).select("id", *ranking.RANK)
+    wanted = df.select("id", "twice").join(clustered, "id", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, wanted.collect())) and wanted.where("rank_no > 1").count() > 25
+    flat = sessions._flat(df, "rank_score")
+    rest, _, done = sessions.settled(flat, config)
+    assert rest.count() + done.count() == df.where("created_at is not null").count() and done.where("rank_no > 1").count() > 10
+
+
+def test_the_queue_shuffles_what_assets_are_made_of(spark, monkeypatch):
+    """Signals are made after the shuffle by time, and no row is joined to its rank by id."""
+    seen = []
+
+    def noted(df, *args):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return kept(df, *args)
+
+    kept = sessions.staged
+    monkeypatch.setattr(sessions, "staged", noted)
+    plan = catalogue._clustered(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    cells = next(x for x in seen if "RepartitionByExpression" in x)
+    assert "Join" not in plan and "latitude" not in cells[cells.index("RepartitionByExpression") :].split("Join")[0]

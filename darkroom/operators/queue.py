@@ -32,14 +32,18 @@ def queue_order() -> list[Column]:
 def review_queue(assets: DataFrame, decisions: DataFrame, weights: Weights = Weights(), labels: list[str] | None = None, deleted: DataFrame | None = None) -> DataFrame:
     """Assets to review: neither favourite nor hidden, eligible, not the best of a cluster, not kept before, with any
     of the labels if some are given. Rows whose reasons are null are dropped. Unordered; sort by queue_order()."""
-    df = assets.where(~F.col("is_favorite") & ~F.col("is_hidden")).where(eligible(weights.junk_queue_threshold, weights.miss_queue_threshold))
-    df = df.where(F.col("cluster_id").isNull() | ~F.coalesce("is_best_in_cluster", F.lit(False))).where(F.col("reasons").isNotNull())
-    df = df.join(kept_ids(decisions), "id", "left_anti")
+    df = waiting(assets, weights).join(kept_ids(decisions), "id", "left_anti")
     if deleted is not None:
         df = df.join(deleted.select("id").distinct(), "id", "left_anti")
     return in_categories(df, labels or [])
 
 
+def waiting(assets: DataFrame, weights: Weights = Weights()) -> DataFrame:
+    """Assets to review whatever was decided."""
+    df = assets.where(~F.col("is_favorite") & ~F.col("is_hidden")).where(eligible(weights.junk_queue_threshold, weights.miss_queue_threshold))
+    return df.where(F.col("cluster_id").isNull() | ~F.coalesce("is_best_in_cluster", F.lit(False))).where(F.col("reasons").isNotNull())
+
+
 def in_categories(df: DataFrame, labels: list[str]) -> DataFrame:
     if not labels:
         return df

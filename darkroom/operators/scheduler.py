@@ -72,6 +72,19 @@ def next_batch(assets: DataFrame, state: SchedulerState, vlm: bool = False) -> D
     return out.withColumn("_low", lowest).where("tier = _low").drop("_low")
 
 
+def whole_batch(assets: DataFrame, vlm: bool = False) -> DataFrame:
+    """(tier, id, position) of all pending rows, the lowest tier of each; positions sort as those of next_batch() do. Nothing
+    is cut, sorted or numbered."""
+    age = F.coalesce(-F.unix_micros("created_at"), F.lit(2**63 - 1))
+    tiers = [(1, ids_below_tier(assets, 1)), (2, ids_below_tier(assets, 2).where("tier_completed >= 1")), (3, ambiguous(assets))]
+    out = None
+    for tier, pending in tiers[: 3 if vlm else 2]:
+        first, second = (F.lit(0).cast("long"), F.abs(F.col("junk") - f32(0.5))) if tier == 3 else (age, f32(0))
+        some = pending.select(F.lit(tier).alias("tier"), "id", F.struct(first.alias("age"), second.alias("distance"), "id").alias("position"))
+        out = some if out is None else out.unionByName(some)
+    return out
+
+
 def reachable(batch: DataFrame, live: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The rows of a batch whose id is among the live ones, and the missing ones."""
     ids = live.select("id").distinct()

@@ -7,9 +7,12 @@ import os
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.classic.dataframe import DataFrame
 from test_engine import FACE, PIXEL, asset, frame
 
 from darkroom.operators import queue
+from darkroom.operators.scheduler import SchedulerState, next_batch, whole_batch
+from darkroom.plans import catalogue
 from darkroom.plans.engine import Engine
 from darkroom.plans.pages import Cursor, Pages
 from darkroom.sources import schema, store
@@ -181,6 +184,46 @@ def test_cascade_run(spark, tmp_path):
     assert e.rebuild_review_queue() == 1 and e.decide("toss") == "a0" and e.commit_deletes() == (1, 5) and (e.deleted_count, e.freed_bytes) == (1, 5)
 
 
+def test_cascade_takes_all_that_is_pending(spark, tmp_path, monkeypatch):
+    rows = [asset(f"a{i:03}", i % 50, tier_completed=i % 2) for i in range(400)]
+    e = Engine(spark, str(tmp_path / "paced"))
+    e.upsert_meta(frame(spark, *rows[:300]))
+    e.state = SchedulerState(batch_size=200)
+    assert e.run_cascade(lambda due, tier: due) == 600 and e.store.assets().where("tier_completed = 2").count() == 300
+    e = Engine(spark, str(tmp_path / "whole"))
+    e.store.replace(frame(spark, *rows, asset(None)))
+    live, seen = spark.createDataFrame([(f"a{i:03}",) for i in range(390)], "id string"), []
+
+    def analyze(due, tier):
+        seen.append((tier, due.count()))
+        return due.where("id <> 'a000'")
+
+    assert e.run_cascade(analyze, live, paced=False) == 200 + 394 and seen == [(1, 195), (2, 389)]
+    assert {r.id: r.tier_completed for r in e.store.assets().collect()} == {r["id"]: 0 if r["id"] == "a000" else 2 for r in rows} | {None: 1}
+    assert e.store.assets().where("is_hidden").count() == 10 and (e.state.tier1, e.state.tier2) == (194, 389)
+    e.store.replace(frame(spark, *rows))
+    assert e.run_cascade(lambda due, tier: due, most=250, paced=False) == 250 and e.store.assets().where("tier_completed = 0").count() == 0
+    # the query on top cuts nothing either
+    cuts, limit = [], DataFrame.limit
+    monkeypatch.setattr(DataFrame, "limit", lambda df, n: cuts.append(n) or limit(df, n))
+    rows = spark.createDataFrame([(i, i * 1000, 1, "view", 1.0) for i in range(60)], "event_id long, us long, user_id long, event_type string, value double")
+    rows.select("event_id", F.timestamp_micros("us").alias("ts"), "user_id", "event_type", "value").write.parquet(str(tmp_path / "events.parquet"))
+    left = {r.id: (r.is_hidden, r.tier_completed) for r in catalogue.queries()["q71_cascade"](spark, str(tmp_path)).collect()}
+    want = {}
+    for n in range(60):
+        due, gone = n % 3 < 2 and n % 37 and n % 53, n % 11 == 0
+        want[f"a{n}"] = (n % 53 == 0 or bool(due and gone), 2 if due and (gone or n % 7) else n % 3)
+    assert left == want and cuts and max(cuts) == 1
+
+
+def test_whole_batch(spark):
+    rows = [asset(x, at, tier_completed=0) for x, at in (("p", 3), ("q", 1), ("r", 1))] + [asset("s", 2), asset("t", 2, is_favorite=True), asset("u", 5, tier_completed=2, junk=0.5), asset("v", 5, tier_completed=2, junk=0.625)]
+    df = frame(spark, *rows)
+    got = lambda **more: [(r.tier, r.id) for r in whole_batch(df, **more).orderBy("tier", "position").collect()]
+    assert got() == [(1, "p"), (1, "q"), (1, "r"), (2, "s")] and got(vlm=True) == got() + [(3, "u"), (3, "v")]
+    assert [i for _, i in got()[:3]] == [r.id for r in next_batch(df, SchedulerState()).orderBy("position").collect()]
+
+
 def test_records_in_their_own_layout(spark, tmp_path):
     meta = dict(id="x1", created_at="2024-05-01T10:00:00.250Z", is_favorite=False, is_hidden=False, is_screenshot=True, is_burst=False, is_live=False, burst_id=None, latitude=1.5, longitude=None,
                 pixel_width=10, pixel_height=20, byte_size=30, is_locally_available=True, secondary_backup_label=None)
